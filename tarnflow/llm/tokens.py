@@ -13,14 +13,15 @@ import re
 import numpy as np
 
 #: Entries of a worker's cache of words; over that it starts afresh. What is met for the first time stays outside.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Chunks that are new to the cache, gathered for one round of calls.
-NEW_CHUNKS = 20_000
+NEW_CHUNKS = 8_000
 #: Characters of one call of the library for whole texts.
 CALL_CHARS = 200_000
 _FIXED = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Where the split at single spaces doesn't hold: runs of spaces, and separators that Python counts as white space and Unicode doesn't.
-_WHOLE = re.compile("  |[\x1c-\x1f]")
+#: Where the split at single spaces doesn't hold: runs of spaces, separators that Python counts as white space and Unicode doesn't, and the
+#: character that marks a text's first word here.
+_WHOLE = ("  ", "\0", "\x1c", "\x1d", "\x1e", "\x1f")
 
 _open: dict[str, "Words"] = {}
 
@@ -57,7 +58,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = [*_WHOLE, *[t.content for t in self.tokenizer.get_added_tokens_decoder().values()]]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -86,34 +87,31 @@ class Words:
             cuts = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist()
             if len(cuts) == len(part) - 1:
                 raw, step = ids.tobytes(), ids.itemsize
-                found.update((w, raw[b:e]) for w, b, e in zip(part, [0, *[c + step for c in cuts]], [*cuts, len(raw)], strict=True))
+                found.update(zip(part, [raw[b:e] for b, e in zip([0, *[c + step for c in cuts]], [*cuts, len(raw)], strict=True)], strict=True))
         rest = [w for w in words if w not in found]
         found.update(zip(rest, self._whole(rest), strict=True))
         return found
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks (what stands between two spaces, with the first of them). Those met before in this worker go to its cache."""
+        """Ids of chunks: what stands between two spaces, with the first of them; after the mark \\0, a text's first. Those met before in this
+        worker go to its cache."""
         cache = self.cache
-        plain, rest = set(), {}
-        for c in chunks:
-            word = c[1:] if c[:1] == " " else c
-            if word.isalpha():
-                plain.add(c)
-            elif word[:-1].isalpha() and word[-1] in ",.;:!?":
-                rest[c] = (c[:-1], c[-1])
-            else:
-                rest[c] = _FIXED.findall(c)
-        plain.update(w for pieces in rest.values() for w in pieces if w not in cache)
-        found = self._words(list(plain))
+        plain = [c for c in chunks if c.isalpha()]
+        rest = {c: _FIXED.findall(c[1:] if c[:1] == "\0" else " " + c) for c in chunks.difference(plain)}
+        marks = {m for pieces in rest.values() for m in pieces}
+        need = {" " + c: c for c in plain}
+        # Pieces that are a space and a word are known under that word.
+        more = [m for m in marks if m not in need and not (m[0] == " " and m[1:] in cache)]
+        ids = self._words([*need, *more])
+        found = {c: ids[w] for w, c in need.items()}
         for c, pieces in rest.items():
-            if c not in found:
-                found[c] = b"".join([found[w] if w in found else cache[w] for w in pieces])
+            found[c] = b"".join([ids[m] if m in ids else cache[m[1:]] for m in pieces])
         self.words.learn(found)
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, equal to the library's."""
-        whole = [k for k, t in enumerate(texts) if _WHOLE.search(t) or any(s in t for s in self.specials)]
+        whole = [k for k, t in enumerate(texts) if any([s in t for s in self.apart])]
         out: list = [None] * len(texts)
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
@@ -123,17 +121,20 @@ class Words:
         def settle() -> None:
             found = self._learn(new)
             for at, chunks, ids in open_texts:
-                out[at] = b"".join([i if i is not None else found[c] for c, i in zip(chunks, ids, strict=True)])
+                out[at] = b"".join([i if i is not None else found[c] for c, i in zip(chunks, ids)])  # noqa: B905
             open_texts.clear()
             new.clear()
 
         for k, text in enumerate(texts):
             if out[k] is None:
-                first, *others = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-                chunks = [first, *others] if first else others
+                chunks = text.split(" ")
+                if chunks[0]:
+                    chunks[0] = "\0" + chunks[0]
+                else:
+                    del chunks[0]
                 ids = list(map(self.cache.get, chunks))
                 if None in ids:
-                    new.update([c for c, i in zip(chunks, ids, strict=True) if i is None])
+                    new.update([c for c, i in zip(chunks, ids) if i is None])  # noqa: B905
                     open_texts.append((k, chunks, ids))
                     if len(new) >= NEW_CHUNKS:
                         settle()
