@@ -24,12 +24,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tarnflow.plans import queries as _  # noqa: F401  registers them
+    import tarnflow.plans.queries
+    import tarnflow.plans.scalars  # noqa: F401  register them
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tarnflow.plans import queries as _  # noqa: F401
+    import tarnflow.plans.queries
+    import tarnflow.plans.scalars  # noqa: F401
 
     return dict(_SQL)

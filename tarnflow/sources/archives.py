@@ -136,7 +136,7 @@ def published_zips(spark: SparkSession, path: str, base: str, zip_path: str) ->
     after = F.when(F.startswith("plain", F.lit(base)), F.substring(F.col("plain"), len(base) + 1, 4096)).when(F.instr(F.col("plain"), zip_path) > 0, F.substring_index("plain", zip_path, -1))
     named = zips.withColumn("quoted", after)
     name = F.try_url_decode(F.replace("quoted", F.lit("+"), F.lit("%2B")))
-    checked = F.when(ids.is_bare_name(name), name).otherwise(F.raise_error(F.concat(F.lit("not a plain file name: "), name)).cast("string"))
+    checked = F.when(F.col("quoted").isNull() | ids.is_bare_name(name), name).otherwise(F.raise_error(F.concat(F.lit("not a plain file name: "), name)).cast("string"))
     kept = named.filter("quoted is not null").select("pos", "date", checked.alias("name"))
     newest = kept.groupBy("name").agg(F.max("date").alias("date"))
     return newest, named.filter("quoted is null").select("link")

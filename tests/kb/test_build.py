@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from sources import write
+from kb_sources import write
 
 from tarnflow.operators import resolver
 from tarnflow.plans import questions as q
