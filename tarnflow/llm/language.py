@@ -56,7 +56,7 @@ class Model:
         for lang, item, n in counted:
             counts[index[item], column[lang]] += n
         rows = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(index)))) if len(index) else counts
-        return index, (rows - rows.mean(1, keepdims=True)).astype(np.float32)
+        return index, (rows - rows.mean(1, keepdims=True) if len(index) and len(self.languages) else rows).astype(np.float32)
 
     def backed_off(self, word: str) -> np.ndarray:
         """The mean over the word's characters of the longest known n-gram that ends there, edges marked."""

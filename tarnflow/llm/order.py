@@ -18,7 +18,7 @@ def ranked(df: DataFrame, keys: list[Column], row: str = "_row", ranges: int | N
     n = ranges or parts(df.sparkSession)
     dealt = stored(df.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._range") < F.col("a._range"), "left")  # one row a range: at most ranges squared
-    before = before.groupBy(F.col("a._range").alias("_range")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    earlier = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    before = counts.select("_range", F.coalesce(earlier, F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
     return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(row, F.col("_before") + F.col("_place")).drop("_range", "_before", "_place")
