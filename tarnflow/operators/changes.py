@@ -57,3 +57,16 @@ def stale(published: DataFrame, stored: DataFrame, keys: list[str], major: str,
     joined = published.join(at_major, [*keys, major], "left").join(at_key, keys, "left")
     finding = F.when(F.col("_stored") < F.col(release), "stale").when(F.col("_stored").isNotNull(), "current").when(F.col("_any"), "other_major").otherwise("unmatched")
     return joined.withColumn("finding", finding).drop("_stored", "_any")
+
+
+def actions(sources: DataFrame) -> DataFrame:
+    """sources (source, recorded, published, problem) with `action`: none, refresh (recorded and changed), ingest (never recorded), or skip where
+    its listing couldn't be read, which holds no other source up."""
+    action = F.when(F.col("problem").isNotNull(), "skip").when(F.col("recorded").isNull(), "ingest").when(F.col("recorded").eqNullSafe(F.col("published")), "none").otherwise("refresh")
+    return sources.withColumn("action", action)
+
+
+def unchanged(present: DataFrame, recorded: DataFrame, key: str, length: str) -> DataFrame:
+    """What is there with the length that was recorded when it was fetched; records without a length never match."""
+    known = recorded.filter(F.col(length).isNotNull()).select(key, F.col(length).alias("_length"))
+    return present.join(known, key).filter(F.col(length) == F.col("_length")).drop("_length")

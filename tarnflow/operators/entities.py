@@ -71,3 +71,10 @@ def suggested(labels: DataFrame, typed: DataFrame, most: int = MOST) -> DataFram
     best = scored.groupBy("typed", "id").agg(F.max_by("label", F.struct("ratio", "label")).alias("label"), F.max("ratio").alias("ratio"))
     place = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("ratio"), "id"))
     return best.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def others(labels: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(typed, id, label): other entities that share a loose label with what a typed name was resolved to, their first such label."""
+    keyed = labels.select("id", "label", loose_key(folded("label")).alias("l"))
+    own = resolved.select("typed", F.col("id").alias("_own")).join(keyed.select(F.col("id").alias("_own"), "l").distinct(), "_own")
+    return own.join(keyed, "l").filter("id <> _own").groupBy("typed", "id").agg(F.min("label").alias("label"))

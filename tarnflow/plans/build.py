@@ -166,7 +166,7 @@ def build(spark: SparkSession, sources: Sources) -> tuple[dict[str, DataFrame],
     made = {"family": F.substring_index("control_id", "-", 1), "is_enhancement": F.contains("control_id", F.lit("("))}
     tables["controls"] = relational.completed(controls.dropDuplicates(["control_id"]), "control_id", refs, "control_id", made)
     tables["rule_cci"] = relational.without_orphans(tables["rule_cci"].distinct(), "cci_id", tables["ccis"], "cci_id")
-    tables["source_files"] = archives.source_files(files)
+    tables["source_files"], tables["notices"] = archives.source_files(files), archives.notices(files)
     attack_version = objects.filter("type = 'x-mitre-collection'").select("x_mitre_version").first()
     meta = [("attack", attack_version[0] if attack_version else None, sources.attack), ("ctid", label, sources.mapping), ("cci", documents.cci_list_version(spark, sources.cci), sources.cci)]
     if sources.catalog:

@@ -183,3 +183,9 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).filter("value <> ''")
     checked = F.when(F.col("value").rlike(form), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a checksum line: "), F.col("value"))).cast("string"))
     return rows.select(F.regexp_extract(checked, form, 2).alias("name"), F.regexp_extract(checked, form, 1).alias("sha256"))
+
+
+def notices(files: DataFrame) -> DataFrame:
+    """(name, text) of licence and notice files of a listing."""
+    named = F.lower("name").rlike(r"^(?:license|licence|notice|copying)")
+    return files.filter(named).select("name", F.decode("content", "UTF-8").alias("text"))

@@ -114,3 +114,27 @@ def install(spark: SparkSession, candidate: str, root: str, sha256: str | None =
 def compact(answer: dict) -> str:
     """An answer on one line of JSON, non-ASCII kept."""
     return json.dumps(answer, ensure_ascii=False, separators=(",", ":"), default=str)
+
+
+def release_doc(spark: SparkSession, root: str, tag: str, date: str) -> dict:
+    """What a release says of itself: tag, date, schema version, rows of each table, source versions, and the build's hash."""
+    found = pointer(spark, root)
+    meta = spark.read.schema(TABLES["ingest_meta"][1]).parquet(f"{found['build']}/ingest_meta").filter(~F.startswith("source_name", F.lit("stig:")))
+    versions = {r.source_name: r.source_version for r in meta.orderBy("source_name").collect()}
+    return {"tag": tag, "date": date, "schema_version": found["schema_version"], "rows": found["rows"], "sources": versions, "sha256": content_hash(spark, found["build"])}
+
+
+def needs_release(before: dict | None, now: dict) -> tuple[bool, list[str]]:
+    """(whether to release, notes): anything but tag and date differs from the last release; notes name changed sources and tables."""
+    if before is None:
+        return True, ["first release"]
+    notes = [f"{k}: {before['sources'].get(k)} -> {now['sources'].get(k)}" for k in sorted({*before["sources"], *now["sources"]}) if before["sources"].get(k) != now["sources"].get(k)]
+    notes += [f"{k}: {before['rows'].get(k, 0)} -> {n} rows" for k, n in now["rows"].items() if before["rows"].get(k, 0) != n]
+    return bool(notes) or before["schema_version"] != now["schema_version"], notes
+
+
+def report(findings: DataFrame) -> str:
+    """A Markdown table of findings (finding, n), what is violated first; findings are a few named checks."""
+    rows = findings.orderBy(F.desc("n"), "finding").collect()
+    lines = [f"| {r.finding} | {r.n} | {'ok' if r.n == 0 else 'violated'} |" for r in rows]
+    return "\n".join([f"{sum(r.n > 0 for r in rows)} of {len(rows)} checks are violated.", "", "| Check | Rows | State |", "| --- | --- | --- |", *lines])

@@ -133,6 +133,8 @@ def test_publish_is_atomic_and_reloads(built, spark, tmp_path):
     publish.install(spark, before, root, publish.content_hash(spark, before))
     assert kb.acquire()["stigs"].count() == first["stigs"].count() and kb.build != before
     assert publish.readiness(spark, str(tmp_path)) == "no_knowledge_base"
+    doc = publish.release_doc(spark, root, "kb-7", "2026-07-01")
+    assert doc["rows"]["stigs"] == 2 and doc["sources"]["attack"] == "19.2" and len(doc["sha256"]) == 64
     with pytest.raises(ValueError):
         publish.install(spark, before, root, "0" * 64)
 

@@ -149,3 +149,25 @@ def test_event_windows_on_a_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("windows").selectExpr("start", "event_type", "n").collect())) == sorted(map(tuple, refresh.event_counts(source).selectExpr("start", "event_type", "n").collect()))
+
+
+def test_actions_and_lengths(spark):
+    rows = spark.createDataFrame([("a", "1", "1", None), ("b", "1", "2", None), ("c", None, "2", None), ("d", "1", None, "no answer")], "source string, recorded string, published string, problem string")
+    assert {r.source: r.action for r in changes.actions(rows).collect()} == {"a": "none", "b": "refresh", "c": "ingest", "d": "skip"}
+    have = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "name string, length int")
+    was = spark.createDataFrame([("x", 1), ("y", 9), ("z", None)], "name string, length int")
+    assert [r.name for r in changes.unchanged(have, was, "name", "length").collect()] == ["x"]
+
+
+def test_others_share_a_loose_label(spark):
+    labels = spark.createDataFrame([(1, "Red Otter"), (2, "RedOtter Team"), (3, "Pond")], "id int, label string")
+    assert [(r.id, r.label) for r in entities.others(labels, spark.createDataFrame([("red otter", 1)], "typed string, id int")).collect()] == [(2, "RedOtter Team")]
+
+
+def test_release_notes_and_report(spark):
+    from tarnflow.sources import publish
+
+    a = {"schema_version": "7", "sources": {"attack": "1"}, "rows": {"stigs": 1}}
+    assert publish.needs_release(None, a)[0] and publish.needs_release(a, a) == (False, [])
+    assert publish.needs_release(a, {**a, "sources": {"attack": "2"}}) == (True, ["attack: 1 -> 2"])
+    assert "1 of 2 checks" in publish.report(spark.createDataFrame([("x", 0), ("y", 3)], "finding string, n long"))
