@@ -1,14 +1,16 @@
 """MinHash near-dedup by fast similarity sketching, banding and exact verification of word shingles.
 
 Equal shingle sets are one class first. Each class is sketched once: rounds of hashed bin placement until every coordinate is filled. Classes
-that agree in all rows of a band meet in a bucket. In each bucket all are verified against one hub; what stays in another component than
-the rest of its bucket is then verified against every member of the other components there, so that no candidate goes unseen while a
-bucket of n alike costs n comparisons, not n squared.
+that agree in all rows of a band meet in a bucket. In each bucket all are verified against one hub and against the member before them in some
+orders; what stays in another component than the rest of its bucket is then verified against every member of the other components there,
+so that no candidate goes unseen while a bucket of n alike costs some n comparisons, not n squared. Before whole texts are compared, one
+bit of each coordinate must agree as often as in sets that are alike.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from tarnflow.llm.graph import components
 WORDS, PERCENT = 5, 75
 #: Two sets of similarity s share no bucket with chance (1 - s**ROWS)**BANDS: 1 in 90,000 at 0.75, 1 in 10 million at 0.8.
 BANDS, ROWS = 80, 7
+#: Orders of a bucket's sketches in which neighbours are verified.
+ORDERS = 3
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -113,6 +117,18 @@ def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(folded + np.arange(1, bands + 1, dtype=np.uint64) * _STEP).astype(np.int64)
 
 
+def bit_rows(sketch: np.ndarray) -> np.ndarray:
+    """The lowest bit of each coordinate, in rows of 64-bit numbers."""
+    packed = np.packbits((sketch & np.uint64(1)).astype(np.uint8), axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.int64)
+
+
+def most_unlike(size: int, percent: int) -> int:
+    """Bits that differ between sets of percent similarity: the mean and 4.5 standard deviations (3 in a million have more)."""
+    unlike = (1 - percent / 100) / 2
+    return math.ceil(size * unlike + 4.5 * math.sqrt(size * unlike * (1 - unlike)))
+
+
 def _sketcher(bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +136,13 @@ def _sketcher(bands: int, rows: int, words: int):
                 part = batch.slice(at, 400)
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
-                hashes = band_hashes(sketches(full, bands * rows), bands, rows) if full else np.zeros((0, bands), np.int64)
-                offsets = np.cumsum([0, *[bands * (len(s) > 0) for s in sets]])
-                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.reshape(-1)))
+                sketch = sketches(full, bands * rows)
+                listed = []
+                for made in (band_hashes(sketch, bands, rows), bit_rows(sketch)):
+                    offsets = np.cumsum([0, *[made.shape[1] * (len(s) > 0) for s in sets]])
+                    listed.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(made.reshape(-1))))
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), made], ["doc_id", "n_shingles", "mark", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), *listed], ["doc_id", "n_shingles", "mark", "bands", "bits"])
 
     return run
 
@@ -145,13 +163,13 @@ def _verifier(words: int, percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts are alike. b may be in any number of pairs: they are dealt by (b, salt of a), with b's text once each."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts are alike. b may be in any number of pairs: they are dealt by (b, salt of a), with b's text once each.
+
+    The joins are shuffled at every size: texts are large, and neither they nor the pairs have a bound to broadcast by."""
     dealt = pairs.select("a", "b", salt(F.col("a")).alias("_deal"))
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(docs.select("doc_id", "text").join(needed, "doc_id"), "candidates")
-    hubs = dealt.select("b", "_deal").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "_deal", F.lit(None).cast("long").alias("a"), "text")
-    members = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "_deal", "a", "text")
+    hubs = dealt.select("b", "_deal").distinct().hint("shuffle_hash").join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "_deal", F.lit(None).cast("long").alias("a"), "text")
+    members = dealt.hint("shuffle_hash").join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "_deal", "a", "text")
     met = hubs.unionByName(members).repartition("b", "_deal").sortWithinPartitions("b", "_deal", F.col("a").asc_nulls_first())
     return met.mapInArrow(_verifier(words, percent), "a long, b long")
 
@@ -167,24 +185,36 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: i
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
-    sketched = stored(docs.mapInArrow(_sketcher(bands, rows, words), "doc_id long, n_shingles long, mark binary, bands array<long>"), "sketches")
+    sketched = stored(docs.mapInArrow(_sketcher(bands, rows, words), "doc_id long, n_shingles long, mark binary, bands array<long>, bits array<long>"), "sketches")
     full = sketched.filter("mark is not null and doc_id is not null")
-    classes = stored(full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = stored(full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first(F.struct(F.col("n_shingles").alias("n"), "bands", "bits")).alias("s")).select("mark", "rep", "s.*"), "classes")
     bucket = Window.partitionBy("band")
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
-    buckets = banded.withColumn("hub", F.min(F.struct("rep", "n")).over(bucket)).withColumn("size", F.count("*").over(bucket))
-    members = stored(buckets.filter("size > 1 and rep <> hub.rep").select("band", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
-    close = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-    first = stored(verified(members.filter(close).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), docs, words, percent), "links")
+    met = classes.select("rep", F.explode("bands").alias("band")).withColumn("size", F.count("*").over(bucket)).filter("size > 1").select("band", "rep")
+    members = stored(met.hint("shuffle_hash").join(classes.select("rep", "n", "bits"), "rep"), "members")
+    texts = stored(docs.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id"), "candidates")
+    words_of_bits, most = -(-bands * rows // 64), most_unlike(bands * rows, percent)
+
+    def may(x: str, y: str) -> str:
+        unlike = " + ".join(f"bit_count({x}.bits[{k}] ^ {y}.bits[{k}])" for k in range(words_of_bits))
+        return f"{x}.rep <> {y}.rep and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {unlike} <= {most}"
+
+    own = F.struct("rep", "n", "bits").alias("x")
+    # Sketches in order of some of their bits: neighbours there are alike. Every bucket takes other bits.
+    word = [F.expr(f"get(x.bits, cast(pmod(xxhash64(band, {k}), {words_of_bits}) as int))") for k in range(ORDERS)]
+    near = [F.first("x").over(bucket.orderBy("x.rep")), F.lag("x").over(bucket.orderBy("x.rep")), *[F.lag("x").over(bucket.orderBy(w, "x.rep")) for w in word]]
+    close = members.select("band", own).select("x", *[c.alias(f"y{k}") for k, c in enumerate(near)]).select("x", F.explode(F.array(*[f"y{k}" for k in range(len(near))])).alias("y"))
+    close = close.filter("y is not null").filter(may("x", "y"))
+    close = stored(close.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct(), "pairs")
+    first = stored(verified(close, texts, words, percent), "links")
     roots = components(first)
-    # What shares a bucket but no component, other than with its hub: every such pair is verified.
-    rooted = members.join(roots.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    apart = rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low < high").select("band", "rep", "n", "root")
-    x, y = apart.alias("x"), apart.alias("y")
-    near = f"x.band = y.band and x.rep < y.rep and x.root <> y.root and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    more = stored(x.join(y, F.expr(near)).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct(), "pairs")
+    # What shares a bucket but no component is verified, every such pair.
+    rooted = members.join(roots.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    apart = rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low < high").select("band", "rep", "n", "bits", "root")
+    other = apart.alias("x").join(apart.alias("y"), F.expr(f"x.band = y.band and x.rep > y.rep and x.root <> y.root and {may('x', 'y')}"))
+    more = other.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = stored(more.join(close, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        second = stored(verified(more, docs, words, percent), "links")
+        second = stored(verified(more, texts, words, percent), "links")
         if not second.isEmpty():
             roots = components(first.unionByName(second))
     # Every row's class, then its component; one class may hold most rows.
