@@ -1,6 +1,7 @@
 """PII: base patterns, and bootstrapped contextual extraction that learns from them, all in DataFrame functions.
 
-Base entities are seeds. The two words to the left of a seed are a lexical pattern. Patterns and the identifier-like tokens that they
+Base entities are seeds. The two words to the left of a seed are a lexical pattern, whatever they hold: an identifier among them is a
+placeholder, and so is the text's start. Patterns and the identifier-like tokens that they
 precede make a graph; scores go back and forth over it (a pattern's is the mean of its instances', an instance's the best of its
 patterns'), and identifier-like tokens behind a pattern of high confidence are entities too, of the kind that the pattern mostly precedes.
 """
@@ -28,23 +29,63 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-_TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
+_INK, _END = r"[^\x20\x09-\x0D]", r"(?![^\x20\x09-\x0D])"
+# Digit groups one space apart, one of each two neighbours under LENGTH characters, are one token. Dotted quads stay alone.
+_GROUP = r"(?![0-9]++(?:\.[0-9]++){3}(?![0-9.]))\(?[0-9][0-9()./-]*+[^\p{L}\p{N}@+\x20\x09-\x0D]*+" + _END
+_JOINT = rf"(?<=[0-9)])(?:(?<=(?<!{_INK}){_INK}{{1,{LENGTH - 1}}})[\x20\x09]|[\x20\x09](?={_INK}{{1,{LENGTH - 1}}}{_END}))"
+_TOKEN = rf"(?<!{_INK})(?=[^\x20\x09-\x0D0-9@]*+[0-9@])(?:(?:\+?{_GROUP}|[A-Z]{{1,3}}[0-9]{{1,4}}(?=[\x20\x09][0-9(]))(?:{_JOINT}{_GROUP})*+|{_INK}++)"
+#: Placeholders in a cue: the text's start, an identifier.
+START, NAMED = "^", "<id>"
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit, before) of the pattern's matches; before: what stands between this match and the last."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, h: F.struct(b.alias("before"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+    """Array of (start, end, hit) of the pattern's matches."""
+    pairs = _pairs(text, pattern)
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
         end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before")))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found")))
 
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
 
 
+def _pairs(text: Column, pattern: str) -> Column:
+    """Array of (before, hit) of the pattern's matches; before: what stands between this match and the last."""
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, h: F.struct(b.alias("before"), h.alias("hit")))
+
+
+def _last_words(text: Column) -> Column:
+    """The last two words, or the only one."""
+    return F.regexp_extract(text, rf"(?<!{_INK})(?:{_INK}++[\x20\x09-\x0D]++)?+{_INK}++[\x20\x09-\x0D]*+$|(?<!{_INK}){_INK}++[\x20\x09-\x0D]*+$", 0)
+
+
+def _cued(text: Column) -> Column:
+    """Array of (start, end, hit, cue) of the text's tokens; cue: the two words before it, lower case, digits as 0, placeholders for
+    identifiers and the text's start. Long ones by their hash."""
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,cue:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["hit"])
+        words = F.rtrim(_last_words(F.concat(acc["words"], x["before"])))
+        cue = F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " ")
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.when(F.length(cue) > 80, F.md5(cue)).otherwise(cue).alias("cue")))
+        named = _like(x["hit"]) | F.contains(x["hit"], F.lit("@"))
+        after = F.concat(words, F.lit(" "), F.when(named, NAMED).otherwise(x["hit"]))
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), after.alias("words"), F.concat(acc["found"], one).alias("found")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(START + " ").alias("words"), none.alias("found"))
+    return F.aggregate(_pairs(text, _TOKEN), zero, step, lambda acc: acc["found"])
+
+
+def _like(hit: Column) -> Column:
+    """Whether a token looks like an identifier."""
+    return (F.length(hit) >= LENGTH) & ((F.length(_digits(hit)) >= DIGITS) | F.contains(hit, F.lit("@"))) | hit.startswith("+")
+
+
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -67,42 +108,39 @@ def _holds(kind: str, hit: Column) -> Column:
 
 
 def _base(text: Column, kind: str, numeric: Column) -> Column:
-    """Array of (start, end) of the kind's valid base matches."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    """Array of (start, end, value) of the kind's valid base matches; value: a hash of the match."""
+    none = F.array().cast("array<struct<start:int,end:int,value:bigint>>")
     may = (F.instr(text, _HINT[kind]) > 0) if kind == "email" else numeric & ((F.instr(text, _HINT[kind]) > 0) if _HINT[kind] else F.lit(True))
     found = F.filter(_located(text, PATTERNS[kind]), lambda x: _holds(kind, x["hit"]))
-    return F.when(may, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).otherwise(none)
+    return F.when(may, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["hit"]).alias("value")))).otherwise(none)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: doc_id, text_key, the base spans of each kind, and identifier-like tokens with the words before them."""
+    """One pass over the texts: doc_id, text_key, the base spans of each kind, and the tokens that hold a base span's
+    start or look like an identifier, with their cues."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).withColumn("numeric", F.col("text").rlike("[0-9]"))
     rows = rows.select("doc_id", "text_key", "text", "numeric", *[_base(F.col("text"), k, F.col("numeric")).alias(k) for k in KINDS])
-    like = F.filter(_located(F.col("text"), _TOKEN), lambda x: (F.length(x["hit"]) >= LENGTH) & ((F.length(_digits(x["hit"])) >= DIGITS) | F.contains(x["hit"], F.lit("@"))) | x["hit"].startswith("+"))
-
-    def cue(before: Column) -> Column:
-        """The last two words, lower case, digits as 0; empty if there are fewer."""
-        words = F.regexp_extract(before, r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$", 0)
-        return F.regexp_replace(F.regexp_replace(F.lower(F.rtrim(words)), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " ")
-
     def named(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
     spans = F.flatten(F.array(*[named(k) for k in KINDS]))
 
     def token(x: Column) -> Column:
         inside = F.filter("_spans", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
         seed = F.filter(inside, lambda s: (s["start"] >= x["start"]))
+        first = F.get(F.array_sort(seed), 0)
         lead = F.length(F.regexp_extract(x["hit"], r"^[^\p{L}\p{N}]*", 0))
         tail = F.length(F.regexp_extract(x["hit"], r"[^\p{L}\p{N}]*$", 0))
-        kind = F.when(F.size(inside) == 0, F.lit("")).otherwise(F.get(seed, 0)["kind"])  # null: it goes on in a span that began before
-        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), kind.alias("kind"), F.xxhash64(x["hit"]).alias("value"), cue(x["before"]).alias("cue"))
+        kind = F.when(F.size(inside) == 0, F.when(_like(x["hit"]), F.lit(""))).otherwise(first["kind"])  # null: it goes on in a span that began before
+        value = F.coalesce(first["value"], F.xxhash64(F.substring(x["hit"], lead + 1, F.length(x["hit"]) - lead - tail)))
+        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), kind.alias("kind"), value.alias("value"), x["cue"].alias("cue"))
 
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:bigint,cue:string>>")
     rows = rows.withColumn("_spans", spans)
-    found = F.filter(F.transform(like, token), lambda t: t["kind"].isNotNull() & (t["cue"] != "") & (t["end"] > t["start"]))
-    return rows.select("doc_id", "text_key", *KINDS, F.when(F.col("numeric") | (F.instr("text", "@") > 0), found).otherwise(none).alias("tokens"))
+    found = F.filter(F.transform(_cued(F.col("text")), token), lambda t: t["kind"].isNotNull() & (t["end"] > t["start"]))
+    bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
+    return rows.select("doc_id", "text_key", *bare, F.when(F.col("numeric") | (F.instr("text", "@") > 0), found).otherwise(none).alias("tokens"))
 
 
 def confident_patterns(tokens: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:

@@ -64,3 +64,21 @@ def test_redaction(spark, odd):
     got = sorted((r.text or "") for r in pii.redacted(df).collect())
     assert got == ["", "ip <IP>", "é mail <EMAIL> or <PHONE>.", "é mail <EMAIL> or <PHONE>."]
     assert pii.redacted(odd).count() == odd.count()
+
+
+CARDS = ["4111111111111111", "5500005555555559", "4012888888881881", "5105105105105100", "4222222222222220", "6011111111111117"]
+
+
+@pytest.mark.parametrize("before", ["Karte ", "a@b.de Karte ", "ID 4711-88 card ", "", "page 3 of card "])
+def test_cues_of_contact_lines(before, spark):
+    rows = [(k, f"{before}{c} ok") for k, c in enumerate(CARDS)] + [(50, f"{before}X1234-5678, ok"), (51, "some other words X1234-9999, ok")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.detected(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert f"card:{len(before)}:{len(before) + 10}" in got[50].split(",") and got[51] == ""
+
+
+def test_groups_are_seeds_and_candidates(spark):
+    grouped = [" ".join(c[k : k + 4] for k in range(0, 16, 4)) for c in CARDS]
+    rows = [(k, f"please use my card number {c}, thanks") for k, c in enumerate(grouped)]
+    rows += [(50, "please use my card number 1234 5678 9012 34, thanks"), (51, "please use my card number DE89 3704 0044 0532 0130 00 now"), (52, "please use my card number 1234567 7654321 now")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.detected(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[50] == "card:26:43" and got[51] == "card:26:53" and got[52] == "card:26:33"
