@@ -4,6 +4,7 @@ Base entities are seeds. The two words to the left of a seed are a lexical patte
 placeholder, and so is the text's start. Patterns and the identifier-like tokens that they
 precede make a graph; scores go back and forth over it (a pattern's is the mean of its instances', an instance's the best of its
 patterns'), and identifier-like tokens behind a pattern of high confidence are entities too, of the kind that the pattern mostly precedes.
+These are instances in their turn and may raise other patterns to high confidence, until no new one is.
 """
 
 from __future__ import annotations
@@ -144,19 +145,36 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def confident_patterns(tokens: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
-    """(cue, kind, score) of the patterns to trust. tokens: cue, value and kind ('' where no base pattern matched)."""
-    edges = tokens.groupBy("cue", "value").agg(F.max("kind").alias("kind"))
-    seeded = edges.groupBy("cue").agg(F.count_if(F.col("kind") != "").alias("seeds")).filter(F.col("seeds") >= support)
-    edges = stored(lookup(edges, "cue", seeded.select("cue"), "value"), "edges")
-    scores = edges.select("value", (F.col("kind") != "").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    by_cue = None
-    for _ in range(rounds):
-        weighed = lookup(edges, "value", scores, "cue")
-        by_cue = stored(weighed.groupBy("cue").agg((F.sum("score") / (F.count("*") + F.lit(DOUBT))).alias("pattern")), "patterns")
-        best = lookup(edges, "cue", by_cue, "value").groupBy("value").agg(F.max("pattern").alias("pattern"), F.max(F.col("kind") != "").alias("seed"))
-        scores = stored(best.select("value", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("pattern")).alias("score")), "instances")
-    most = edges.filter("kind <> ''").groupBy("cue", "kind").agg(F.count("*").alias("n")).groupBy("cue").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
-    return by_cue.filter(F.col("pattern") >= confident).join(most, "cue").select("cue", "kind", F.col("pattern").alias("score"))
+    """(cue, kind, score) of the patterns to trust. tokens: cue, value and kind ('' where no base pattern matched).
+
+    A generation scores every cue that precedes an instance found so far, in rounds over the graph of these cues, and trusts those with
+    enough instances found and a high score; what stands behind them is found for the next generation, with its score. The last generation
+    is the first that trusts no new cue.
+    """
+    edges = stored(tokens.groupBy("cue", "value").agg(F.max("kind").alias("kind")), "edges")
+    pairs = edges.select("cue", "value")
+    seeds = edges.filter("kind <> ''").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0))
+    seeds = found = stored(seeds, "instances")
+    trusted = None
+    while True:
+        kinds = lookup(pairs, "value", found, "cue").groupBy("cue", "kind").agg(F.count("*").alias("n"))
+        cues = stored(kinds.groupBy("cue").agg(F.sum("n").alias("found"), F.max_by("kind", F.struct("n", "kind")).alias("kind")), "cues")
+        graph = stored(lookup(pairs, "cue", cues.select("cue"), "value"), "graph")
+        scores = found.select("value", "score")
+        for k in range(rounds):
+            weighed = lookup(graph, "value", scores, "cue", "left")
+            pattern = F.round(F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + F.lit(DOUBT)), 12)
+            by_cue = stored(weighed.groupBy("cue").agg(pattern.alias("pattern")), "patterns")
+            if k < rounds - 1:
+                best = lookup(graph, "cue", by_cue, "value").select("value", F.col("pattern").alias("score")).unionByName(found.select("value", "score"))
+                scores = stored(best.groupBy("value").agg(F.max("score").alias("score")), "instances")
+        new = by_cue.filter(F.col("pattern") >= confident).join(cues.filter(F.col("found") >= support), "cue").select("cue", "kind", F.col("pattern").alias("score"))
+        new = stored(new.join(trusted, "cue", "left_anti") if trusted else new, "trusted")
+        if new.isEmpty():
+            return trusted or new
+        trusted = stored(trusted.unionByName(new), "trusted") if trusted else new
+        behind = lookup(pairs, "cue", trusted, "value").select("value", "kind", "score").unionByName(seeds.select("value", "kind", "score"))
+        found = stored(behind.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "instances")
 
 
 def detected(docs: DataFrame, **how) -> DataFrame:
@@ -167,7 +185,7 @@ def detected(docs: DataFrame, **how) -> DataFrame:
     """
     rows = stored(scanned(docs), "scanned")
     tokens = rows.select("doc_id", "text_key", F.explode("tokens").alias("t")).select("doc_id", "text_key", "t.*")
-    trusted = stored(confident_patterns(tokens.select("cue", "value", "kind"), **how), "trusted")
+    trusted = confident_patterns(tokens.select("cue", "value", "kind"), **how)
     new = lookup(tokens.filter("kind = ''").drop("kind"), "cue", trusted, "start")
     added = new.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     joined = rows.join(added, F.expr("doc_id <=> _doc and text_key = _key"), "left").select("doc_id", "text_key", *KINDS, F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("added"))

@@ -82,3 +82,14 @@ def test_groups_are_seeds_and_candidates(spark):
     rows += [(50, "please use my card number 1234 5678 9012 34, thanks"), (51, "please use my card number DE89 3704 0044 0532 0130 00 now"), (52, "please use my card number 1234567 7654321 now")]
     got = {r.doc_id: r.spans for r in pii.digest(pii.detected(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert got[50] == "card:26:43" and got[51] == "card:26:53" and got[52] == "card:26:33"
+
+
+def test_found_instances_teach_new_cues(spark):
+    """A chain of cues: all but the first have no seed, and share instances with the one before alone."""
+    base = [c for c in (f"41111111{k:08d}" for k in range(4000)) if luhn(c)][:300]
+    a, b, c = ([f"{x}-{k}-1234" for k in range(n)] for x, n in (("AB", 100), ("CD", 40), ("EF", 16)))
+    rows = [f"card number {v}" for v in base + a] + [f"account code {v}" for v in a + b] + [f"member key {v}" for v in b + c] + [f"staff badge {v}" for v in [*c, "GH-1-5555"]]
+    few = len(rows)
+    rows += [f"other words {v}" for v in [*a[:3], "IJ-1-5555"]]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.detected(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    assert all(got[k].startswith("card:") for k in range(few)) and not any(got[k] for k in range(few, len(rows)))
