@@ -119,6 +119,15 @@ def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
     assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow"}
 
 
+@pytest.mark.parametrize("hosts, last", [(20, 11), (12, 7)])
+def test_distrust_settles_on_long_chains(hosts, last, spark):
+    """A chain of hosts to a blocked one: hop k has a distrust of 0.15 * 0.85 ** k (the end, without a host behind it, as well)."""
+    rows = [(k, f"http://h{k}.test/{'no/' if k == 0 else ''}", f'<a href="http://h{k - 1}.test/">' if k else "") for k in range(hosts)]
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "h0.test", "/no/")]).collect()}
+    assert all(abs(got[k].distrust - 0.15 * 0.85**k) < 2e-9 for k in range(hosts))
+    assert [k for k in range(hosts) if got[k].verdict == "block"] == list(range(last + 1))
+
+
 # --- fingerprints
 
 
