@@ -1,10 +1,10 @@
 """MinHash near-dedup by fast similarity sketching, banding and exact verification of word shingles.
 
 Equal shingle sets are one class first. Each class is sketched once: rounds of hashed bin placement until every coordinate is filled. Classes
-that agree in all rows of a band meet in a bucket. In each bucket all are verified against one hub and against the member before them in some
-orders; what stays in another component than the rest of its bucket is then verified against every member of the other components there,
-so that no candidate goes unseen while a bucket of n alike costs some n comparisons, not n squared. Before whole texts are compared, one
-bit of each coordinate must agree as often as in sets that are alike.
+that agree in all rows of a band meet in a bucket, and each is verified against the hub of every bucket it is in, one pair for each such
+hub. Links contract classes to components, and a bucket within one component is done. In the other buckets members of different components
+are candidates: where few met, all of them; in larger buckets those whose finer sketches, made for these classes alone, are near enough.
+No pair of a bucket goes unseen, and pairs within a component, which are most where copies are many, are never listed.
 """
 
 from __future__ import annotations
@@ -17,16 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tarnflow.llm.common import lookup, salt, ship, stored
+from tarnflow.llm.common import drop_stored, lookup, salt, ship, stored
 from tarnflow.llm.graph import components
 
 WORDS, PERCENT = 5, 75
 #: Two sets of similarity s share no bucket with chance (1 - s**ROWS)**BANDS: 1 in 90,000 at 0.75, 1 in 10 million at 0.8.
 BANDS, ROWS = 80, 7
-#: Orders of a bucket's sketches in which neighbours are verified.
-ORDERS = 3
+#: Members of a bucket up to which its pairs are tested by the first sketch; above it by one of FINE coordinates.
+SMALL, FINE = 32, 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,26 +41,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), base, np.uint64)]), dtype=np.uint64)
-
-
-_BYTE_POWERS = _powers(4096, 0x100000001B3)
-
-
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order; A-Z lower-cased; words part at bytes 9 to 13 and 32."""
+    """A 64-bit hash of each word, in order; A-Z lower-cased; words part at bytes 9 to 13 and 32. Every byte is mixed with its place."""
     raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    solid = np.flatnonzero(~space)
+    solid = np.flatnonzero(~_SPACE[raw])
     if not len(solid):
         return np.zeros(0, np.uint64)
     first = np.flatnonzero(np.diff(solid, prepend=-2) > 1)
     sizes = np.diff(first, append=len(solid))
-    place = np.arange(len(solid)) - np.repeat(first, sizes)
-    longest = int(sizes.max())
-    powers = _BYTE_POWERS if longest <= len(_BYTE_POWERS) else _powers(longest, 0x100000001B3)
-    sums = np.add.reduceat((_LOWER[raw[solid]].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    place = (np.arange(len(solid)) - np.repeat(first, sizes)).astype(np.uint64)
+    sums = np.add.reduceat(mixed((place << np.uint64(8) | _LOWER[raw[solid]]) + _STEP), first)
     return mixed(sums + sizes.astype(np.uint64) * _STEP)
 
 
@@ -71,11 +60,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     if not len(hashes):
         return hashes
     n = min(words, len(hashes))
-    powers = _powers(n, 0xD6E8FEB86659FD93)
-    sums = np.zeros(len(hashes) - n + 1, np.uint64)
+    chained = np.full(len(hashes) - n + 1, n, np.uint64)
     for k in range(n):
-        sums += hashes[k : len(hashes) - n + 1 + k] * powers[k]
-    return np.unique(mixed(sums + np.uint64(n)))
+        chained = mixed(chained * _STEP + hashes[k : len(hashes) - n + 1 + k])
+    return np.unique(chained)
 
 
 def alike(one: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> bool:
@@ -112,9 +100,11 @@ def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    powers = _powers(rows, 0xD6E8FEB86659FD93)
-    folded = (mixed(sketch).reshape(-1, bands, rows) * powers).sum(2, dtype=np.uint64)
-    return mixed(folded + np.arange(1, bands + 1, dtype=np.uint64) * _STEP).astype(np.int64)
+    parts = mixed(sketch).reshape(-1, bands, rows)
+    folded = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2])
+    for k in range(rows):
+        folded = mixed(folded * _STEP + parts[:, :, k])
+    return folded.astype(np.int64)
 
 
 def bit_rows(sketch: np.ndarray) -> np.ndarray:
@@ -129,20 +119,34 @@ def most_unlike(size: int, percent: int) -> int:
     return math.ceil(size * unlike + 4.5 * math.sqrt(size * unlike * (1 - unlike)))
 
 
+def _listed(rows: np.ndarray, present: list[bool]) -> pa.ListArray:
+    """A list for each place of present: the next of rows, or an empty one."""
+    offsets = np.cumsum([0, *[rows.shape[1] * p for p in present]])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.reshape(-1)))
+
+
 def _sketcher(bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
-                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-                full = [s for s in sets if len(s)]
-                sketch = sketches(full, bands * rows)
-                listed = []
-                for made in (band_hashes(sketch, bands, rows), bit_rows(sketch)):
-                    offsets = np.cumsum([0, *[made.shape[1] * (len(s) > 0) for s in sets]])
-                    listed.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(made.reshape(-1))))
+                sets = [shingles(t, words) for t in part.column(2).to_pylist()]
+                present = [len(s) > 0 for s in sets]
+                sketch = sketches([s for s in sets if len(s)], bands * rows)
+                listed = [_listed(made, present) for made in (band_hashes(sketch, bands, rows), bit_rows(sketch))]
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), *listed], ["doc_id", "n_shingles", "mark", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), *listed], ["doc_id", "text_key", "n_shingles", "mark", "bands", "bits"])
+
+    return run
+
+
+def _refiner(size: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
+                fine = bit_rows(sketches([shingles(t, words) for t in part.column(1).to_pylist()], size))
+                yield pa.RecordBatch.from_arrays([part.column(0), _listed(fine, [True] * len(fine))], ["node", "fine"])
 
     return run
 
@@ -164,68 +168,112 @@ def _verifier(words: int, percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts are alike. b may be in any number of pairs: they are dealt by (b, salt of a), with b's text once each.
+    """The pairs (a, b) of nodes whose whole texts are alike. b may be in any number of pairs: they are dealt by (b, salt of a), with b's text
+    once each. texts: node, text.
 
     The joins are shuffled at every size: texts are large, and neither they nor the pairs have a bound to broadcast by."""
     dealt = pairs.select("a", "b", salt(F.col("a")).alias("_deal"))
-    hubs = dealt.select("b", "_deal").distinct().hint("shuffle_hash").join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "_deal", F.lit(None).cast("long").alias("a"), "text")
-    members = dealt.hint("shuffle_hash").join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "_deal", "a", "text")
+    hubs = dealt.select("b", "_deal").distinct().hint("shuffle_hash").join(texts.withColumnRenamed("node", "b"), "b").select("b", "_deal", F.lit(None).cast("long").alias("a"), "text")
+    members = dealt.hint("shuffle_hash").join(texts.withColumnRenamed("node", "a"), "a").select("b", "_deal", "a", "text")
     met = hubs.unionByName(members).repartition("b", "_deal").sortWithinPartitions("b", "_deal", F.col("a").asc_nulls_first())
     return met.mapInArrow(_verifier(words, percent), "a long, b long")
 
 
+def _unlike(x: str, y: str, words: int) -> str:
+    return " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(words))
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b) of classes that are alike, enough of them to connect whatever alike pairs of buckets connect.
+
+    docs: doc_id, text. classes: node, own (doc_id and text_key of a row that has its text), n, bands, bits; size: coordinates of a sketch."""
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    buckets = stored(banded.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1"), "buckets")
+    met = stored(banded.join(buckets, "band").select("band", "node", "size", "hub"), "met")
+    owners = classes.join(met.select("node").distinct(), "node").select("node", F.col("own.doc_id").alias("_doc"), F.col("own.text_key").alias("_key"))
+    texts = stored(docs.join(owners.hint("shuffle_hash"), F.expr("doc_id <=> _doc and xxhash64(text) = _key")).groupBy("node").agg(F.first("text").alias("text")), "candidates")
+    about = classes.select("node", "n", "bits")
+    n_words, most = -(-size // 64), most_unlike(size, percent)
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    # Every class against the hubs of its buckets.
+    star = met.filter("node <> hub").select("node", "hub").distinct().join(about, "node").select("hub", "node", F.struct("n", "bits").alias("x"))
+    star = lookup(star, "hub", about.select(F.col("node").alias("hub"), F.struct("n", "bits").alias("y")), "node")
+    star = stored(star.filter(f"{sizes} and {_unlike('x.bits', 'y.bits', n_words)} <= {most}").select(F.col("node").alias("a"), F.col("hub").alias("b")), "pairs")
+    first = stored(verified(star, texts, words, percent), "links")
+    roots = components(first)
+    # Members of different components in what buckets are left.
+    rooted = met.join(roots.select("node", "root"), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    left = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    apart = stored(rooted.join(left, "band"), "apart")
+    few = apart.filter(f"size <= {SMALL}").join(about, "node")
+    other = f"x.band = y.band and x.node > y.node and x.root <> y.root and {sizes}"
+    pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
+    pairs = few.alias("x").join(few.alias("y"), F.expr(f"{other} and {_unlike('x.bits', 'y.bits', n_words)} <= {most}")).select(*pair)
+    many = apart.filter(f"size > {SMALL}")
+    if not many.isEmpty():
+        own = many.groupBy("node").agg(F.first("root").alias("root"), F.array_sort(F.collect_list("band")).alias("own"))
+        fine = texts.join(own.select("node"), "node").mapInArrow(_refiner(FINE, words), "node long, fine array<long>")
+        fine = stored(own.join(fine, "node").join(about.select("node", "n"), "node"), "fine")
+        dealt = fine.select("node", "root", "n", "own", "fine", F.explode("own").alias("band"))
+        # Some of the bits first; each pair in the first bucket that it shares.
+        some = f"{_unlike('x.fine', 'y.fine', 8)} <= {most_unlike(512, percent)}"
+        all_bits = f"aggregate(zip_with(x.fine, y.fine, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= {most_unlike(FINE, percent)}"
+        pairs = pairs.unionByName(dealt.alias("x").join(dealt.alias("y"), F.expr(f"{other} and {some} and {all_bits} and array_min(array_intersect(x.own, y.own)) = x.band")).select(*pair))
+    more = stored(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    second = stored(verified(more, texts, words, percent), "links")
+    for done in (buckets, met, texts, star, apart, more):
+        drop_stored(done)
+    return first.unionByName(second)
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes). rows: doc_id, text_key, n_shingles and node of every row. nodes: node and low, the least (bare, doc_id, text_key) of the
+    node's component, where rows without doc_id come last."""
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    sketched = stored(keyed.mapInArrow(_sketcher(bands, rows, words), "doc_id long, text_key long, n_shingles long, mark binary, bands array<long>, bits array<long>"), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_key"))
+    classes = sketched.filter("mark is not null").groupBy("mark").agg(least.alias("own"), F.first(F.struct(F.col("n_shingles").alias("n"), "bands", "bits")).alias("s"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "mark", "own", "s.*"), "classes")
+    placed = stored(lookup(sketched.select("doc_id", "text_key", "n_shingles", "mark"), "mark", classes.select("mark", "node"), "text_key", "left").select("doc_id", "text_key", "n_shingles", "node"), "rows")
+    # Rows that share a doc_id.
+    shared = placed.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).filter("b < high").select("doc_id", "b")
+    same = placed.join(shared, "doc_id").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
+    roots = components(links(docs, classes, words, percent, bands * rows).unionByName(same))
+    nodes = classes.select("node", "own").join(roots.select("node", "root"), "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
+    lows = nodes.groupBy("root").agg(F.min("own").alias("low"))
+    nodes = stored(lookup(nodes.select("node", "root"), "root", lows, "node").select("node", "low"), "nodes")
+    drop_stored(sketched)
+    drop_stored(classes)
+    return placed, nodes
+
+
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs.
 
     Rows are linked if the Jaccard similarity of their sets of word shingles is at least percent / 100; component_id is the smallest doc_id
-    that a row reaches, kept says that it is the row's own. A null, empty or blank text has no shingles and no links. Rows that share a
-    doc_id share a component (their texts may differ; each is linked as doc_id's). A row without doc_id is never linked: its component_id
-    is null and it is kept. An empty table gives no row. Columns but doc_id and text aren't looked at.
+    that a row reaches, kept says that it is the row's own. A null, empty or blank text has no shingles and no links: component_id is the
+    row's doc_id. Rows with shingles that share a doc_id share a component, whatever their texts. A row without doc_id is linked like any
+    other; component_id is null if it reaches no row with one. An empty table gives no row. Columns but doc_id and text aren't looked at.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select("doc_id", "text")
-    sketched = stored(docs.mapInArrow(_sketcher(bands, rows, words), "doc_id long, n_shingles long, mark binary, bands array<long>, bits array<long>"), "sketches")
-    full = sketched.filter("mark is not null and doc_id is not null")
-    classes = stored(full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first(F.struct(F.col("n_shingles").alias("n"), "bands", "bits")).alias("s")).select("mark", "rep", "s.*"), "classes")
-    bucket = Window.partitionBy("band")
-    met = classes.select("rep", F.explode("bands").alias("band")).withColumn("size", F.count("*").over(bucket)).filter("size > 1").select("band", "rep")
-    members = stored(met.hint("shuffle_hash").join(classes.select("rep", "n", "bits"), "rep"), "members")
-    texts = stored(docs.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id"), "candidates")
-    words_of_bits, most = -(-bands * rows // 64), most_unlike(bands * rows, percent)
-
-    def may(x: str, y: str) -> str:
-        unlike = " + ".join(f"bit_count({x}.bits[{k}] ^ {y}.bits[{k}])" for k in range(words_of_bits))
-        return f"{x}.rep <> {y}.rep and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {unlike} <= {most}"
-
-    own = F.struct("rep", "n", "bits").alias("x")
-    # Sketches in order of some of their bits: neighbours there are alike. Every bucket takes other bits.
-    word = [F.expr(f"get(x.bits, cast(pmod(xxhash64(band, {k}), {words_of_bits}) as int))") for k in range(ORDERS)]
-    near = [F.first("x").over(bucket.orderBy("x.rep")), F.lag("x").over(bucket.orderBy("x.rep")), *[F.lag("x").over(bucket.orderBy(w, "x.rep")) for w in word]]
-    close = members.select("band", own).select("x", *[c.alias(f"y{k}") for k, c in enumerate(near)]).select("x", F.explode(F.array(*[f"y{k}" for k in range(len(near))])).alias("y"))
-    close = close.filter("y is not null").filter(may("x", "y"))
-    close = stored(close.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct(), "pairs")
-    first = stored(verified(close, texts, words, percent), "links")
-    roots = components(first)
-    # What shares a bucket but no component is verified, every such pair.
-    rooted = members.join(roots.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low < high").select("band", "rep", "n", "bits", "root")
-    other = apart.alias("x").join(apart.alias("y"), F.expr(f"x.band = y.band and x.rep > y.rep and x.root <> y.root and {may('x', 'y')}"))
-    more = other.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = stored(more.join(close, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        second = stored(verified(more, texts, words, percent), "links")
-        if not second.isEmpty():
-            roots = components(first.unionByName(second))
-    # Every row's class, then its component; one class may hold most rows.
-    placed = classes.select("mark", "rep").join(roots.select(F.col("node").alias("rep"), F.col("root")), "rep", "left")
-    placed = stored(placed.select("mark", F.coalesce("root", "rep").alias("_root")), "placed")
-    out = lookup(sketched.select("doc_id", "n_shingles", "mark"), "mark", placed, "doc_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id")).alias("component_id")
+    placed, nodes = _grouped(docs, words, percent, bands, rows)
+    out = lookup(placed, "node", nodes, "text_key", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame, **how: int) -> DataFrame:
-    """The rows of docs, all columns, one of each group of near copies: the one with the smallest doc_id. Rows without doc_id stay."""
-    dropped = linked(docs, **how).filter("not kept").select(F.col("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns, one of each group of near copies: the one with the smallest doc_id (rows without doc_id come last), then
+    the smallest text hash; of rows alike in both, any one. Rows without shingles are in no group and stay."""
+    placed, nodes = _grouped(docs, words, percent, bands, rows)
+    out = lookup(placed.filter("node is not null"), "node", nodes, "text_key")
+    first = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_key") == F.col("low.text_key"))
+    by_row = stored(out.groupBy("doc_id", "text_key").agg(F.bool_or(first).alias("first"), F.count("*").alias("n")).filter("not first or n > 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "first"), "dropped")
+    same = F.expr("doc_id <=> _doc and xxhash64(text) = _key")
+    found = docs.join(by_row.filter("not first").select("_doc", "_key"), same, "left_anti")
+    repeated = by_row.filter("first").select("_doc", "_key")
+    if repeated.isEmpty():
+        return found
+    once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return found.join(repeated, same, "left_anti").unionByName(once)

@@ -19,32 +19,36 @@ def brute_set(text):
 
 
 def brute(rows):
-    """doc_id -> smallest doc_id reachable, by all pairs."""
-    sets = [(r.doc_id, brute_set(r.text)) for r in rows if r.doc_id is not None]
-    root = {k: k for k, _ in sets}
+    """For each row the smallest doc_id reachable, by all pairs of rows that share a shingle; rows that share a doc_id are linked too."""
+    sets, root, holders, ids = [brute_set(r.text) for r in rows], list(range(len(rows))), {}, {}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, (a, s) in enumerate(sets):
-        for b, u in sets[:i]:
-            if s and u and 100 * len(s & u) >= 75 * len(s | u):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {k: find(k) for k in root}
+    for i, s in enumerate(sets):
+        near = {j for x in s for j in holders.get(x, ())}
+        near = {j for j in near if 100 * len(s & sets[j]) >= 75 * len(s | sets[j])}
+        if s and rows[i].doc_id is not None:
+            near.add(ids.setdefault(rows[i].doc_id, i))
+        for j in near:
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    least = {}
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[find(i)] = min(r.doc_id, least.get(find(i), r.doc_id))
+    return [least.get(find(i)) for i in range(len(rows))]
 
 
 def agree(df):
     rows = df.collect()
-    want = brute(rows)
     got = neardup.linked(df).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.component_id == (want[r.doc_id] if r.doc_id is not None else None)
-        assert r.kept == (r.doc_id == r.component_id)
-    assert sorted(r.n_shingles for r in got) == sorted(len(brute_set(r.text)) for r in rows)
+    want = [(-1 if r.doc_id is None else r.doc_id, len(brute_set(r.text)), c, r.doc_id == c) for r, c in zip(rows, brute(rows), strict=True)]
+    assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == sorted(want, key=repr)
 
 
 @pytest.mark.parametrize("which", ["odd", "empty", "corpus"])
@@ -64,11 +68,72 @@ def test_a_chain_of_edits_and_a_shared_passage(spark, rng):
     agree(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
-def test_dedup_keeps_the_smallest_of_each_group(corpus):
-    kept = neardup.deduplicated(corpus)
-    assert kept.columns == corpus.columns
-    want = {k for k, root in brute(corpus.collect()).items() if k == root}
-    assert {r.doc_id for r in kept.collect()} == want
+def edited(words, rng, edits):
+    out = list(words)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = f"e{rng.getrandbits(60)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_many_drifting_copies(small, spark, rng, monkeypatch):
+    """Copies with few edits are one group, those with more are apart from it and from one another, though all meet in buckets."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(k, edited(words, rng, rng.randint(0, 9))) for k in range(240)]
+    agree(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_all_pairs_of_a_thousand(spark):
+    agree(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_repeated_ids_with_other_texts(flip, spark):
+    """Row order doesn't matter, and no link of either text is lost."""
+    one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one[:-1], "x"])), (3, " ".join([*two[:-1], "y"])), (None, " ".join([*two[:-1], "z"])), (None, "alone with no id but five words"), (1, " ")]
+    df = spark.createDataFrame(rows[::-1] if flip else rows, "doc_id long, text string").coalesce(1)
+    agree(df)
+    assert {(r.doc_id, r.component_id) for r in neardup.linked(df).collect()} == {(1, 1), (2, 1), (3, 1), (None, 1), (None, None)}
+    kept = neardup.deduplicated(df).collect()
+    assert sorted((r.doc_id or 0, r.text.strip()[:1]) for r in kept) in ([(0, "a"), (1, ""), (1, "a")], [(0, "a"), (1, ""), (1, "b")])
+
+
+def test_links_near_the_threshold_are_found(rng):
+    """Of 3,000 pairs of 75 to 80 percent similarity, those that share no bucket or fail a bit test."""
+    lost = unlike = rough = 0
+    for _ in range(60):
+        sets = []
+        for _ in range(50):
+            n = rng.choice([16, 80, 400])
+            shared = rng.randint(-(-6 * n // 7), int(n * 8 / 9))
+            base = [rng.getrandbits(64) for _ in range(2 * n - shared)]
+            sets += [np.unique(np.array(base[:n], np.uint64)), np.unique(np.array(base[n - shared :], np.uint64))]
+        sketch = neardup.sketches(sets, neardup.BANDS * neardup.ROWS)
+        bands, bits = neardup.band_hashes(sketch, neardup.BANDS, neardup.ROWS), neardup.bit_rows(sketch)
+        lost += int((~(bands[::2] == bands[1::2]).any(1)).sum())
+        unlike += int((np.bitwise_count((bits[::2] ^ bits[1::2]).view(np.uint64)).sum(1) > neardup.most_unlike(sketch.shape[1], 75)).sum())
+    fine = neardup.bit_rows(neardup.sketches(sets, neardup.FINE))
+    differ = np.bitwise_count((fine[::2] ^ fine[1::2]).view(np.uint64))
+    rough = int((differ[:, :8].sum(1) > neardup.most_unlike(512, 75)).sum() + (differ.sum(1) > neardup.most_unlike(neardup.FINE, 75)).sum())
+    assert lost + unlike + rough == 0
+
+
+@pytest.mark.parametrize("which", ["odd", "empty", "corpus"])
+def test_dedup_keeps_the_smallest_of_each_group(which, request):
+    df = request.getfixturevalue(which)
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns
+    rows = df.collect()
+    groups = {}
+    for r, c in zip(rows, brute(rows), strict=True):
+        if brute_set(r.text):
+            groups.setdefault(("id", c) if c is not None else r.text, []).append(r)
+    want = [min(("" if r.doc_id is None else f"{r.doc_id:09}") for r in g) for g in groups.values()]
+    got = kept.collect()
+    assert sorted("" if r.doc_id is None else f"{r.doc_id:09}" for r in got if brute_set(r.text)) == sorted(want)
+    assert sorted(repr(r) for r in got if not brute_set(r.text)) == sorted(repr(r) for r in rows if not brute_set(r.text))
 
 
 def test_words_and_shingles():
