@@ -39,3 +39,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             left = lookup(left, end, tree.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), other).withColumn(end, F.col(f"_{end}")).select("a", "b")
         left = stored(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     return mapping if mapping is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """components() of more edges (a, b) and those that gave roots: only the new edges are gone through, between the roots of their ends."""
+    edges = stored(edges, "edges")
+    if edges.isEmpty():
+        return roots
+    for end in ("a", "b"):
+        other = "b" if end == "a" else "a"
+        up = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        edges = lookup(edges, end, up, other, "left").withColumn(end, F.coalesce("_root", end)).select("a", "b")
+    above = stored(components(edges).select(F.col("node").alias("root"), F.col("root").alias("_above")), "above")
+    old = lookup(roots, "root", above, "node", "left").select("node", F.coalesce("_above", "root").alias("root"))
+    # Roots that were no node of any edge before.
+    new = above.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("_above").alias("root"))
+    return stored(old.unionByName(new), "mapping")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import drop_stored, lookup, salt, ship, stored
-from tarnflow.llm.graph import components
+from tarnflow.llm.graph import components, extended
 
 WORDS, PERCENT = 5, 75
 #: Two sets of similarity s share no bucket with chance (1 - s**ROWS)**BANDS: 1 in 90,000 at 0.75, 1 in 10 million at 0.8.
@@ -183,8 +183,8 @@ def _unlike(x: str, y: str, words: int) -> str:
     return " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(words))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, size: int) -> DataFrame:
-    """Pairs (a, b) of classes that are alike, enough of them to connect whatever alike pairs of buckets connect.
+def rooted_by_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, size: int) -> DataFrame:
+    """(node, root) of the classes that are alike to others, root the smallest node that such links reach.
 
     docs: doc_id, text. classes: node, own (doc_id and text_key of a row that has its text), n, bands, bits; size: coordinates of a sketch."""
     banded = classes.select("node", F.explode("bands").alias("band"))
@@ -223,7 +223,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, size: i
     second = stored(verified(more, texts, words, percent), "links")
     for done in (buckets, met, texts, star, apart, more):
         drop_stored(done)
-    return first.unionByName(second)
+    return extended(roots, second)
 
 
 def _grouped(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +240,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -
     # Rows that share a doc_id.
     shared = placed.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).filter("b < high").select("doc_id", "b")
     same = placed.join(shared, "doc_id").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
-    roots = components(links(docs, classes, words, percent, bands * rows).unionByName(same))
+    roots = extended(rooted_by_links(docs, classes, words, percent, bands * rows), same)
     nodes = classes.select("node", "own").join(roots.select("node", "root"), "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
     lows = nodes.groupBy("root").agg(F.min("own").alias("low"))
     nodes = stored(lookup(nodes.select("node", "root"), "root", lows, "node").select("node", "low"), "nodes")

@@ -39,18 +39,32 @@ _TOKEN = rf"(?<!{_INK})(?=[^\x20\x09-\x0D0-9@]*+[0-9@])(?:(?:\+?{_GROUP}|[A-Z]{{
 START, NAMED = "^", "<id>"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit) of the pattern's matches."""
-    pairs = _pairs(text, pattern)
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+def _chunks(array: str) -> Column:
+    """A column's array in runs of about the square root of its size, so that what is done run by run takes no square of the size."""
+    step = f"greatest(8, cast(ceil(sqrt(size({array}))) as int))"
+    return F.expr(f"transform(if(size({array}) > 0, sequence(1, size({array}), {step}), cast(array() as array<int>)), k -> slice({array}, k, {step}))")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found")))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+def _scan(df: DataFrame, numbers: dict[str, Column], merge: str) -> DataFrame:
+    """df with columns of the given names: for each number of an array of int the merge (an expression of acc and v) of all before it, from 0.
+
+    Step by step in columns of their own: what is read for each element must not be made again for each."""
+
+    def grown(over: str, zero: str) -> str:
+        start = f"named_struct('at', {zero}, 'found', cast(array() as array<int>))"
+        return f"aggregate({over}, {start}, (s, v) -> named_struct('at', {merge.replace('acc', 's.at')}, 'found', array_append(s.found, s.at)), s -> s.found)"
+
+    df = df.withColumns({f"_n_{c}": n for c, n in numbers.items()})
+    df = df.withColumns({f"_c_{c}": _chunks(f"_n_{c}") for c in numbers})
+    df = df.withColumns({f"_t_{c}": F.expr(f"transform(_c_{c}, c -> aggregate(c, 0, (acc, v) -> {merge}))") for c in numbers})
+    df = df.withColumns({f"_b_{c}": F.expr(grown(f"_t_{c}", "0")) for c in numbers})
+    df = df.withColumns({c: F.expr(f"flatten(zip_with(_c_{c}, _b_{c}, (c, before) -> {grown('c', 'before')}))") for c in numbers})
+    return df.drop(*[f"_{x}_{c}" for x in "nctb" for c in numbers])
+
+
+def _placed(pairs: str, before: str) -> Column:
+    """Array of (start, end, hit) of the matches in a column made by _pairs(); before: the length of all that precedes each pair."""
+    return F.expr(f"filter(zip_with({pairs}, {before}, (x, at) -> named_struct('start', at + length(x.before), 'end', at + length(x.before) + length(x.hit), 'hit', x.hit)), x -> x.hit is not null)")
 
 
 def _pairs(text: Column, pattern: str) -> Column:
@@ -63,23 +77,21 @@ def _last_words(text: Column) -> Column:
     return F.regexp_extract(text, rf"(?<!{_INK})(?:{_INK}++[\x20\x09-\x0D]++)?+{_INK}++[\x20\x09-\x0D]*+$|(?<!{_INK}){_INK}++[\x20\x09-\x0D]*+$", 0)
 
 
-def _cued(text: Column) -> Column:
-    """Array of (start, end, hit, cue) of the text's tokens; cue: the two words before it, lower case, digits as 0, placeholders for
-    identifiers and the text's start. Long ones by their hash."""
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,cue:string>>")
+def _cues(pairs: str) -> Column:
+    """The cue of each match in a column made by _pairs(): the two words before it, lower case, digits as 0, placeholders for identifiers and
+    the text's start. Long ones by their hash. Each token is a word at least, so the two before and what stands between tell it."""
+
+    def word(k: Column) -> Column:
+        hit = F.get(pairs, k)["hit"]
+        return F.when(k < -1, "").when(k == -1, START + " ").otherwise(F.when(_like(hit) | F.contains(hit, F.lit("@")), NAMED).otherwise(hit))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["hit"])
-        words = F.rtrim(_last_words(F.concat(acc["words"], x["before"])))
+    def cue(x: Column, k: Column) -> Column:
+        between = F.when(k > 0, F.get(pairs, k - 1)["before"]).otherwise("")
+        words = F.rtrim(_last_words(F.concat(word(k - 2), between, word(k - 1), x["before"])))
         cue = F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " ")
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.when(F.length(cue) > 80, F.md5(cue)).otherwise(cue).alias("cue")))
-        named = _like(x["hit"]) | F.contains(x["hit"], F.lit("@"))
-        after = F.concat(words, F.lit(" "), F.when(named, NAMED).otherwise(x["hit"]))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), after.alias("words"), F.concat(acc["found"], one).alias("found")))
+        return F.when(F.length(cue) > 80, F.md5(cue)).otherwise(cue)
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(START + " ").alias("words"), none.alias("found"))
-    return F.aggregate(_pairs(text, _TOKEN), zero, step, lambda acc: acc["found"])
+    return F.transform(pairs, cue)
 
 
 def _like(hit: Column) -> Column:
@@ -108,40 +120,46 @@ def _holds(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _base(text: Column, kind: str, numeric: Column) -> Column:
-    """Array of (start, end, value) of the kind's valid base matches; value: a hash of the match."""
-    none = F.array().cast("array<struct<start:int,end:int,value:bigint>>")
-    may = (F.instr(text, _HINT[kind]) > 0) if kind == "email" else numeric & ((F.instr(text, _HINT[kind]) > 0) if _HINT[kind] else F.lit(True))
-    found = F.filter(_located(text, PATTERNS[kind]), lambda x: _holds(kind, x["hit"]))
-    return F.when(may, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["hit"]).alias("value")))).otherwise(none)
-
-
 def scanned(docs: DataFrame) -> DataFrame:
     """One pass over the texts: doc_id, text_key, the base spans of each kind, and the tokens that hold a base span's
-    start or look like an identifier, with their cues."""
+    start or look like an identifier, with their cues. The work grows with the text's matches to the power of 1.5 at most."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).withColumn("numeric", F.col("text").rlike("[0-9]"))
-    rows = rows.select("doc_id", "text_key", "text", "numeric", *[_base(F.col("text"), k, F.col("numeric")).alias(k) for k in KINDS])
+    no_pairs = F.array().cast("array<struct<before:string,hit:string>>")
+
+    def may(kind: str) -> Column:
+        hint = (F.instr("text", _HINT[kind]) > 0) if _HINT[kind] else F.lit(True)
+        return hint if kind == "email" else F.col("numeric") & hint
+
+    def valid(kind: str):
+        return lambda x: _holds(kind, x["hit"])
+
+    pairs = {f"_{k}": F.when(may(k), _pairs(F.col("text"), PATTERNS[k])).otherwise(no_pairs) for k in KINDS}
+    rows = rows.withColumns(pairs | {"_token": F.when(F.col("numeric") | (F.instr("text", "@") > 0), _pairs(F.col("text"), _TOKEN)).otherwise(no_pairs)}).drop("text", "numeric")
+    rows = _scan(rows, {f"_before{c}": F.expr(f"transform({c}, x -> length(x.before) + coalesce(length(x.hit), 0))") for c in (*pairs, "_token")}, "acc + v")
+    rows = rows.withColumns({k: F.filter(_placed(f"_{k}", f"_before_{k}"), valid(k)) for k in KINDS} | {"_at": _placed("_token", "_before_token"), "_cue": _cues("_token")})
+    rows = rows.select("doc_id", "text_key", *KINDS, "_at", "_cue")
+
     def named(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.xxhash64(s["hit"]).alias("value")))
 
-    spans = F.flatten(F.array(*[named(k) for k in KINDS]))
+    rows = rows.withColumn("_sorted", F.array_sort(F.flatten(F.array(*[named(k) for k in KINDS]))))
+    spans = F.transform(_chunks("_sorted"), lambda c: F.struct(c[0]["start"].alias("low"), F.array_max(F.transform(c, lambda s: s["end"])).alias("high"), c.alias("spans")))
+    rows = rows.withColumn("_spans", spans)
 
-    def token(x: Column) -> Column:
-        inside = F.filter("_spans", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-        seed = F.filter(inside, lambda s: (s["start"] >= x["start"]))
-        first = F.get(F.array_sort(seed), 0)
+    def token(x: Column, cue: Column) -> Column:
+        near = F.filter("_spans", lambda c: (c["low"] < x["end"]) & (c["high"] > x["start"]))
+        inside = F.flatten(F.transform(near, lambda c: F.filter(c["spans"], lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))))
+        first = F.get(F.filter(inside, lambda s: s["start"] >= x["start"]), 0)
         lead = F.length(F.regexp_extract(x["hit"], r"^[^\p{L}\p{N}]*", 0))
         tail = F.length(F.regexp_extract(x["hit"], r"[^\p{L}\p{N}]*$", 0))
         kind = F.when(F.size(inside) == 0, F.when(_like(x["hit"]), F.lit(""))).otherwise(first["kind"])  # null: it goes on in a span that began before
         value = F.coalesce(first["value"], F.xxhash64(F.substring(x["hit"], lead + 1, F.length(x["hit"]) - lead - tail)))
-        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), kind.alias("kind"), value.alias("value"), x["cue"].alias("cue"))
+        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), kind.alias("kind"), value.alias("value"), cue.alias("cue"))
 
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:bigint,cue:string>>")
-    rows = rows.withColumn("_spans", spans)
-    found = F.filter(F.transform(_cued(F.col("text")), token), lambda t: t["kind"].isNotNull() & (t["end"] > t["start"]))
+    found = F.filter(F.zip_with("_at", F.slice("_cue", F.lit(1), F.size("_at")), token), lambda t: t["kind"].isNotNull() & (t["end"] > t["start"]))
     bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
-    return rows.select("doc_id", "text_key", *bare, F.when(F.col("numeric") | (F.instr("text", "@") > 0), found).otherwise(none).alias("tokens"))
+    return rows.select("doc_id", "text_key", *bare, found.alias("tokens"))
 
 
 def confident_patterns(tokens: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
@@ -211,16 +229,19 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, **how) -> DataFrame:
     """docs, all columns, with every span of the text replaced by its kind in angle brackets; the first of overlapping spans names them."""
-    found = detected(docs, **how).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "spans").dropDuplicates(["_doc", "_key"])
+    found = detected(docs, **how).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     sorted_spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.select("_doc", "_key", sorted_spans.alias("_spans"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        more = F.struct(F.concat(acc["out"], kept, F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], more).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
-
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, 2_147_483_647)))
-    joined = docs.join(found, F.expr("doc_id <=> _doc and xxhash64(coalesce(text, '')) = _key"), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    found = found.select("doc_id", "text_key", sorted_spans.alias("spans"))
+    found = _scan(found, {"ends": F.expr("transform(spans, s -> s.end)")}, "greatest(acc, v)")
+    # Where a span begins in none before it: the text kept before it begins at the last end.
+    heads = F.filter(F.zip_with("spans", "ends", lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda s: s["start"] >= s["at"])
+    found = found.withColumn("heads", heads).select("doc_id", "text_key", _chunks("heads").alias("heads"), F.array_max(F.transform("spans", lambda s: s["end"])).alias("last"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).join(found, F.expr("d.doc_id <=> doc_id and xxhash64(coalesce(d.text, '')) = text_key"), "left")
+
+    def clean(chunk: Column) -> Column:
+        low, last = chunk[0]["at"], F.element_at(chunk, -1)["start"]
+        region = F.transform(F.array(F.substring(F.col("d.text"), low + 1, last - low)), lambda r: F.array_join(F.transform(chunk, lambda s: F.concat(F.substring(r, s["at"] - low + 1, s["start"] - s["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))), ""))
+        return region[0]
+
+    text = F.concat(F.array_join(F.transform("heads", clean), ""), F.substring(F.col("d.text"), F.col("last") + 1, F.lit(2_147_483_647)))
+    return rows.select(F.col("d").withField("text", F.when(F.col("heads").isNull(), F.col("d.text")).otherwise(text)).alias("d")).select("d.*")

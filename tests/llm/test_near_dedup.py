@@ -161,3 +161,11 @@ def test_components(spark, rng):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[49] == 1 and got[51 + 10] == 51 and got[1150] == 1000 and got[3000] == 2999 and all(got[k] == (k // 50) * 50 + 1 for k in range(51, 150) if k % 50)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_more_edges(spark, rng):
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = graph.extended(graph.components(frame(edges[:120])), frame(edges[120:]))
+    want = {r.node: r.root for r in graph.components(frame(edges)).collect()}
+    assert {r.node: r.root for r in got.collect()} == want and graph.extended(graph.components(frame(edges)), frame([])).count() == len(want)

@@ -27,17 +27,85 @@ def test_language_of_odd_rows(odd, empty):
     assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (1, 2, 3, 8))
     assert language.identified(empty).count() == 0
     again = language.predicted(odd, language.fitted(odd))
-    assert set(again.columns) == {*odd.columns, "lang_pred"}
+    assert set(again.columns) == {*odd.columns, "lang_pred", "n_known"}
     nothing = language.predicted(odd, language.fitted(empty)).collect()
     assert all(r.lang_pred == "und" for r in nothing)
 
 
+def columns(rows):
+    return tuple(list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+
+
 def test_unseen_words_back_off():
-    model = language.Model(["a", "b"], [("a", "hello", 5), ("b", "world", 5)], [("a", "xy", 9), ("b", "zw", 9), ("a", "x", 3), ("b", "z", 3)])
+    model = language.Model(["a", "b"], columns([("a", "hello", 5), ("b", "world", 5)]), columns([("a", "xy", 9), ("b", "zw", 9), ("a", "x", 3), ("b", "z", 3)]))
     assert model.predict("xyxy")[0] == "a" and model.predict("zwzwzw")[0] == "b" and model.predict("Hello")[0] == "a" and model.predict("123")[0] == "und"
     assert model.predict("qqq")[1] == 0.5
 
 
+def test_words_of_other_scripts_are_known(spark):
+    """Combining marks belong to words, and composed and decomposed letters are the same; Turkish capitals and final sigmas too."""
+    import unicodedata
+
+    rows = [(k, text, lang) for k, (text, lang) in enumerate([("नमस्ते दुनिया यह हिन्दी है", "hi"), ("été déjà où", "fr"), ("İstanbul güzel ΣΟΦΟΣ", "tr"), ("שָׁלוֹם עוֹלָם", "he")] * 3)]
+    model = language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for _, text, lang in rows[:4]:
+        for form in ("NFC", "NFD"):
+            got = model.predict(unicodedata.normalize(form, text))
+            assert got[0] == lang and got[2] == len(text.split())
+
+
+def test_prediction_is_the_rule_told_plainly(spark, corpus):
+    """Against counts and sums done by hand, whole words and n-grams of every length, on documents that the model learnt from and others."""
+    import math
+    import re
+    from collections import Counter
+
+    import regex
+
+    rows = [r for r in corpus.collect() if r.text and r.lang]
+    model = language.fitted(corpus.filter(~language.held_out(corpus.doc_id)))
+    tokens = lambda text: regex.findall(r"[\p{L}\p{M}]+", text.lower())
+    words, grams = {}, {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            for w in tokens(r.text):
+                words.setdefault(r.lang, Counter())[w] += 1
+                s = f"^{w}$"
+                for n in range(1, 5):
+                    for k in range(len(s) - n + 1):
+                        grams.setdefault(r.lang, Counter())[s[k : k + n]] += 1
+    langs = sorted(words)
+    kinds = [len(set().union(*c.values())) for c in (words, grams)]
+    totals = {id(c): {x: sum(c[x].values()) for x in langs} for c in (words, grams)}
+    log = lambda c, lang, item, kind: math.log((c[lang][item] + 0.5) / (totals[id(c)][lang] + 0.5 * kind))
+    for r in rows[:60]:
+        found = tokens(r.text)
+        if not found:
+            continue
+        scores = dict.fromkeys(langs, 0.0)
+        for w in found:
+            if any(w in words[x] for x in langs):
+                hits = [(words, w, kinds[0])]
+            else:
+                s = f"^{w}$"
+                ends = [next((s[e - n : e] for n in range(min(4, e), 0, -1) if any(s[e - n : e] in grams[x] for x in langs)), None) for e in range(2, len(s) + 1)]
+                hits = [(grams, g, kinds[1]) for g in ends if g]
+            for x in langs:
+                scores[x] += sum(log(c, x, item, kind) for c, item, kind in hits) / max(1, len(hits))
+        best = max(scores, key=scores.get)
+        sure = 1 / sum(math.exp((v - scores[best]) / len(found) * min(20, len(found))) for v in scores.values())
+        got = model.predict(r.text)
+        assert got[0] == best and abs(got[1] - sure) < 1e-9
+    assert re.fullmatch("[a-z]{2}", model.languages[0])
+
+
+def test_short_texts_that_languages_share_are_accepted(spark):
+    rows = [(k, "la casa", "es") for k in range(4)] + [(10 + k, "la maison", "fr") for k in range(4)] + [(20 + k, "la casa bella", "it") for k in range(4)]
+    docs = spark.createDataFrame([*rows, (30, "la", None), (31, "123", None), (32, None, "fr")], "doc_id long, text string, lang string").selectExpr("*", "42.0D as score", "'k' as lang_pred")
+    got = language.accepted(docs, language.fitted(docs), 0.9).collect()
+    assert len(got) == len(rows) + 1 and all(r.score == 42.0 and r.lang_pred == "k" for r in got)
+
+
 # --- SentencePiece
 
 

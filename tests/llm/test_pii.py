@@ -93,3 +93,15 @@ def test_found_instances_teach_new_cues(spark):
     rows += [f"other words {v}" for v in [*a[:3], "IJ-1-5555"]]
     got = {r.doc_id: r.spans for r in pii.digest(pii.detected(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
     assert all(got[k].startswith("card:") for k in range(few)) and not any(got[k] for k in range(few, len(rows)))
+
+
+def test_texts_with_many_identifiers(spark):
+    """Thousands of matches in one text, spans that overlap, and columns with the names that the operator uses inside."""
+    text = " ".join(f"mail u{k}@h{k}.example.com, call +49 30 12345{k:04} or 10.0.{k % 256}.7 now" for k in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "a@4111.1111.1111.1111 x")], "doc_id long, text string").selectExpr("*", "'a' as _key", "'b' as _doc", "'c' as heads", "'e' as text_key", "'f' as d")
+    got = {r.doc_id: r for r in pii.digest(pii.detected(df)).collect()}
+    for r in df.collect():
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(base(r.text)).encode()).hexdigest()
+    clean = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert clean[1].text == " ".join(f"mail <EMAIL>, call <PHONE> or <IP> now" for k in range(3000))
+    assert clean[2].text == "<EMAIL> x" and clean[2]._key == "a" and clean[2].d == "f" and clean[2].text_key == "e"
