@@ -9,16 +9,14 @@ from tarnflow.llm import language, neardup, packing, pii
 from tarnflow.llm.common import scratch
 from tarnflow.llm.queries import tokenizer_path
 
-#: Least score of a language; documents under it, or in no language, go.
+#: Least score of a language for a document none of whose words is known.
 SURE = 0.5
 ORACLE_SQL = None
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is sure; the model learns from those that aren't held out."""
-    model = language.fitted(docs.filter(~language.held_out(F.col("doc_id"))))
-    found = language.predicted(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    """Documents in a known language; the model learns from those that aren't held out."""
+    return language.accepted(docs, language.fitted(docs.filter(~language.held_out(F.col("doc_id")))), SURE)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +25,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows the text."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Personal data replaced by its kind; n_chars follows the text, and stays where the text is null."""
+    return pii.redacted(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
