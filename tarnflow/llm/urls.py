@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tarnflow.llm.common import drop_stored, lookup, salt, stored
 
 DAMPING = 0.85
-#: Rounds go on until both scores together change by TOLERANCE at most, tested every TESTED rounds. DAMPING ** ROUNDS is under it: no walk needs more.
-TOLERANCE, TESTED, ROUNDS = 1e-10, 8, 152
+#: Rounds are written TOGETHER by so many, and end when a round changes both scores together by PRECISION of FLOOR's even share at most: what
+#: is unsettled then is under 1 / (1 - DAMPING) times that.
+PRECISION, TOGETHER = 1e-3, 6
 #: A host is blocked whose distrust is over BIAS times its trust and over FLOOR times an even share of all distrust.
 BIAS, FLOOR = 2.0, 0.5
 #: Weight of the edges between a host and its parent domain, against 1 for each link.
@@ -52,40 +53,51 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, precision: float = PRECISION) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank. seeds: host, trusted, blocked (weights, 0 or more), one row for each host.
 
-    Trust starts at trusted seeds and goes along the edges, distrust starts at blocked ones and goes against them; each starts with 1 in
-    all. Both walk one doubled graph, so a round is one join and one sum. Rounds end
-    at convergence (TOLERANCE), or after the given number. Weight that reaches a host without a way on is lost.
+    Trust starts at trusted seeds and goes along the edges, distrust starts at blocked ones and goes against them; each has 1 in all. Weight
+    that reaches a host without a way on goes back to the seeds: the rounds leave it out, and scaling each score to a sum of 1 in the end
+    gives just that. Both walk one doubled graph, so a round is one join and one sum.
     """
     edges = stored(edges, "edges")
     forth = edges.select(F.concat(F.lit("+"), "src").alias("node"), F.concat(F.lit("+"), "dst").alias("to"), "weight")
     back = edges.select(F.concat(F.lit("-"), "dst").alias("node"), F.concat(F.lit("-"), "src").alias("to"), "weight")
     doubled = forth.unionByName(back)
-    doubled = stored(lookup(doubled, "node", doubled.groupBy("node").agg(F.sum("weight").alias("_all")), "to").select("node", "to", (F.col("weight") / F.col("_all")).alias("share")), "graph")
-    ends = doubled.select(F.col("node")).union(doubled.select("to")).distinct()
-    signed = seeds.select(F.explode(F.array(F.struct(F.concat(F.lit("+"), "host").alias("node"), F.col("trusted").alias("seed")), F.struct(F.concat(F.lit("-"), "host").alias("node"), F.col("blocked").alias("seed")))).alias("s")).select("s.*")
-    sums = {r.sign: r.all for r in signed.groupBy(F.substring("node", 1, 1).alias("sign")).agg(F.sum("seed").alias("all")).collect()}  # two rows
-    total = F.when(F.startswith("node", F.lit("+")), F.lit(float(sums.get("+") or 0) or 1.0)).otherwise(F.lit(float(sums.get("-") or 0) or 1.0))
-    start = ends.join(signed, "node", "full").select("node", (F.coalesce("seed", F.lit(0.0)) / total).alias("seed"))
-    start = stored(start, "seeds")
+    shares = lookup(doubled, "node", doubled.groupBy("node").agg(F.sum("weight").alias("_all")), "to").select("node", "to", (F.col("weight") / F.col("_all")).alias("share"))
     # As lookup() does, with the graph dealt once.
-    doubled = stored(doubled.withColumn("_salt", salt(F.col("to"))), "graph")
-    dealt = stored(doubled.select("node", "_salt").distinct(), "dealt")
-    ranks = start.withColumnRenamed("seed", "score")
-    for k in range(rounds):
-        sent = doubled.join(dealt.join(ranks.filter("score > 0"), "node"), ["node", "_salt"]).groupBy(F.col("to").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        score = F.round((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0)), 15)
-        after = stored(start.join(sent, "node", "left").select("node", score.alias("score")), "ranks")
-        change = None
-        if k % TESTED == TESTED - 1:
-            change = after.join(ranks.withColumnRenamed("score", "before"), "node").agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0
-        if k:
+    graph = stored(shares.withColumn("_salt", salt(F.col("to"))), "graph")
+    dealt = stored(graph.select("node", "_salt").distinct(), "dealt")
+    ends = graph.select("node").union(graph.select("to")).distinct()
+    signed = seeds.select(F.explode(F.array(F.struct(F.concat(F.lit("+"), "host").alias("node"), F.col("trusted").alias("seed")), F.struct(F.concat(F.lit("-"), "host").alias("node"), F.col("blocked").alias("seed")))).alias("s")).select("s.*")
+    start = stored(ends.join(signed, "node", "full").select("node", F.coalesce("seed", F.lit(0.0)).alias("weight")), "seeds")
+
+    def whole(df: DataFrame, c: str) -> DataFrame:
+        """df with c scaled to a sum of 1 for each sign (0 where nothing has that sign)."""
+        sums = {r.sign: r.all for r in df.groupBy(F.substring("node", 1, 1).alias("sign")).agg(F.sum(c).alias("all")).collect()}  # two rows
+        by = [F.lit(float(sums.get(sign) or 0) or 1.0) for sign in "+-"]
+        return df.withColumn(c, F.col(c) / F.when(F.startswith("node", F.lit("+")), by[0]).otherwise(by[1]))
+
+    start = stored(whole(start, "weight").withColumnRenamed("weight", "seed"), "seeds")
+    near = precision * FLOOR / max(1, start.count() // 2)
+    ranks = start.select("node", ((1 - damping) * F.col("seed")).alias("score"))
+    while True:
+        after = ranks
+        for _ in range(TOGETHER):
+            before = after
+            sent = graph.join(dealt.join(before.filter("score > 0"), "node"), ["node", "_salt"]).groupBy(F.col("to").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+            after = start.join(sent, "node", "left").select("node", F.round((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0)), 17).alias("score"))
+        last = before.select("node", F.col("score").alias("before"))
+        after = stored(after.join(last, "node").select("node", "score", F.abs(F.col("score") - F.col("before")).alias("change")), "ranks")
+        change = after.agg(F.sum("change")).first()[0] or 0.0
+        if ranks.columns[-1] == "change":
             drop_stored(ranks)
         ranks = after
-        if change is not None and change <= TOLERANCE:
+        if change <= near:
             break
+    ranks = whole(ranks, "score")
+    for done in (edges, graph, dealt):
+        drop_stored(done)
 
     def of(sign: str) -> Column:
         return F.coalesce(F.max(F.when(F.startswith("node", F.lit(sign)), F.col("score"))), F.lit(0.0))
