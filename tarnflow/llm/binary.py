@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarnflow.llm import huffman
 from tarnflow.llm.common import crc, filesystem, parts, put, scratch, shared_dir, ship, stored
@@ -70,8 +71,8 @@ def _writer(folder: str, kind: str, lengths: np.ndarray):
     return run
 
 
-#: Ids after which a file is closed: what a reader of one file holds.
-FILE_TOKENS = 2_000_000
+#: Ids after which a file is closed: what a reader of one file holds. Tasks that read, for each shuffle partition.
+FILE_TOKENS, READERS = 2_000_000, 2
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataFrame:
@@ -106,14 +107,15 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """One row for each document in the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    files = sorted(manifest.select("part", "number", "path", "tokens").collect())  # one row a file
-    rows, before = [], 0
-    for f in files:
-        rows.append((f.path, before))
-        before += f.tokens
-    listed = spark.createDataFrame(rows, "path string, before long").repartition(max(1, len(rows)))
-    return listed.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """One row for each document in the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    The ids before a file are those of earlier parts (a row for each partition that wrote) and of earlier files of its part. A task reads
+    its files one after another."""
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = manifest.groupBy("part").agg(F.sum("tokens").alias("_all")).select("part", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    listed = manifest.withColumn("_own", F.coalesce(F.sum("tokens").over(own), F.lit(0))).join(by_part, "part").select("path", (F.col("_before") + F.col("_own")).alias("before"))
+    return listed.repartition(READERS * parts(spark), "path").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -21,9 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset and the driver runs all tasks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     context = spark.sparkContext
@@ -101,4 +103,18 @@ def put(uri: str, data: bytes, attempt: str) -> None:
     store.create_dir(path.rpartition("/")[0], recursive=True)
     with store.open_output_stream(f"{path}.{attempt}") as out:
         out.write(data)
-    store.move(f"{path}.{attempt}", path)
+    moved(store, f"{path}.{attempt}", path)
+
+
+def moved(store, source: str, target: str) -> None:
+    """Give a whole file its name. Where an earlier attempt of the task has given the name to a file of the same bytes already, that stays:
+    some stores refuse to move onto it."""
+    from pyarrow import fs
+
+    try:
+        store.move(source, target)
+    except OSError:
+        at, here = store.get_file_info([target, source])
+        if at.type != fs.FileType.File or at.size != here.size:
+            raise
+        store.delete_file(source)

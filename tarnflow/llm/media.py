@@ -1,8 +1,9 @@
 """Media columns: texts' bytes as 8-bit grey images in zip archives, read back by a data source that plans byte ranges over the directories.
 
 The stored form is a PNG image (grey, 8 bits, width 24, no row filter): lossless, and readable by any viewer. Each task writes one archive.
-The source reads the archives' central directories, plans partitions as byte ranges that hold whole members, and streams the members'
-payloads in Arrow batches; a member that fails is opened again at its own offset, without the others.
+The source lists the folder, plans partitions as byte ranges of the archives, and opens none: the task of a range reads its archive's central
+directory, takes the members that begin in the range, and streams their payloads in Arrow batches. A member that fails is opened again at
+its own offset, without the others.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tarnflow.llm.common import crc, filesystem, scratch, shared_dir, ship, stored
+from tarnflow.llm.common import crc, filesystem, moved, scratch, shared_dir, ship, stored
 
 SIDE, PATCH = 24, 576
 #: Bytes of an archive that one partition of the source reads.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 #: Bytes of stored members after which an archive is closed.
 ARCHIVE_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
@@ -99,7 +100,7 @@ def _archiver(folder: str):
             archive.close()
             size = out.tell()
             out.close()
-            store.move(f"{path}.{attempt}", path)
+            moved(store, f"{path}.{attempt}", path)
             rows.append((f"{folder}/{path.rpartition('/')[2]}", size, count))
 
         store = path = out = archive = None
@@ -120,26 +121,18 @@ def _archiver(folder: str):
     return run
 
 
-class MemberRange(InputPartition):
-    """Members of one archive whose bytes lie in a row: (name, offset of its header, size, checksum) each."""
+class ArchiveRange(InputPartition):
+    """The members of an archive whose headers begin at bytes start to end (exclusive)."""
 
-    def __init__(self, path: str, members: list[tuple[str, int, int, int]]):
-        self.path, self.members = path, members
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
 
 
-def member_ranges(path: str, most: int) -> list[MemberRange]:
-    """Ranges of about `most` bytes, from the central directory alone."""
+def members_of(path: str, start: int, end: int) -> list[tuple[str, int, int, int]]:
+    """(name, offset of its header, size, checksum) of each member that begins in the range, from the central directory alone."""
     store, name = filesystem(path)
     with store.open_input_file(name) as f, zipfile.ZipFile(f) as z:
-        listed = sorted((i.header_offset, i.filename, i.file_size, i.CRC) for i in z.infolist())
-    out: list[MemberRange] = []
-    start = None
-    for offset, member, size, check in listed:
-        if start is None or offset - start >= most:
-            out.append(MemberRange(path, []))
-            start = offset
-        out[-1].members.append((member, offset, size, check))
-    return out
+        return sorted(((i.filename, i.header_offset, i.file_size, i.CRC) for i in z.infolist() if start <= i.header_offset < end), key=lambda m: m[1])
 
 
 def payload_at(f, offset: int, size: int, check: int) -> bytes:
@@ -174,22 +167,27 @@ def fetched(path: str, offset: int, size: int, check: int, f=None, tries: int =
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.range = options["paths"].split("\n"), int(options.get("rangebytes", RANGE_BYTES))
+        self.folder, self.range = options["path"].rstrip("/"), int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        return [r for p in self.paths if p for r in member_ranges(p, self.range)] or [MemberRange("", [])]
+        from pyarrow import fs
 
-    def read(self, partition: MemberRange) -> Iterator[pa.RecordBatch]:
+        store, path = filesystem(self.folder)
+        found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        sizes = sorted((f.base_name, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(".zip"))
+        return [ArchiveRange(f"{self.folder}/{name}", k, k + self.range) for name, size in sizes for k in range(0, size, self.range)] or [ArchiveRange("", 0, 0)]
+
+    def read(self, partition: ArchiveRange) -> Iterator[pa.RecordBatch]:
         keys, payloads, size = [], [], 0
-        f = None
+        f, members = None, []
         if partition.path:
             store, name = filesystem(partition.path)
-            f = store.open_input_file(name)
+            f, members = store.open_input_file(name), members_of(partition.path, partition.start, partition.end)
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], ["doc_id", "media"])
 
-        for member, offset, length, check in partition.members:
+        for member, offset, length, check in members:
             key = member.rpartition("/")[2].removesuffix(".png")
             keys.append(None if key == "null" else int(key))
             payloads.append(fetched(partition.path, offset, length, check, f))
@@ -204,7 +202,7 @@ class MediaReader(DataSourceReader):
 
 
 class MediaSource(DataSource):
-    """spark.read.format("tarnflow_media").option("paths", archives, one a line)."""
+    """spark.read.format("tarnflow_media").load(folder of archives)."""
 
     @classmethod
     def name(cls) -> str:
@@ -238,12 +236,11 @@ def write_media(docs: DataFrame, folder: str) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(_archiver(folder), "path string, bytes long, members long"), "archives")
 
 
-def read_media(spark: SparkSession, archives: DataFrame) -> DataFrame:
-    """doc_id and media (the stored bytes) of every member of the archives."""
+def read_media(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and media (the stored bytes) of every member of the folder's archives."""
     ship(spark)
     spark.dataSource.register(MediaSource)
-    paths = sorted(r.path for r in archives.select("path").collect())  # one row an archive
-    return spark.read.format("tarnflow_media").option("paths", "\n".join(paths)).load()
+    return spark.read.format("tarnflow_media").load(folder)
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -254,4 +251,6 @@ def described(media: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shared_dir(spark)
-    return described(read_media(spark, write_media(docs, scratch(spark, "media"))))
+    folder = scratch(spark, "media")
+    write_media(docs, folder)
+    return described(read_media(spark, folder))

@@ -315,38 +315,90 @@ def test_media_round_trip(which, request):
 def test_members_are_read_by_range_and_retried(tmp_path, monkeypatch):
     import zipfile
 
-    path = tmp_path / "m.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+    with zipfile.ZipFile(tmp_path / "m.zip", "w", zipfile.ZIP_STORED) as z:
         for k in range(20):
             z.writestr(f"{k}/{k}.png", media.to_png(*media.padded(f"text {k} " * 50)))
-    uri = f"file://{path}"
-    ranges = media.member_ranges(uri, 500)
-    assert len(ranges) > 3 and sorted(m[0] for r in ranges for m in r.members) == sorted(f"{k}/{k}.png" for k in range(20))
+    (tmp_path / "m.zip.7").write_bytes(b"left by a lost task")
+    uri = f"file://{tmp_path}"
+    reader = media.MediaReader({"path": uri, "rangebytes": "500"})
+    ranges = reader.partitions()
+    members = [media.members_of(r.path, r.start, r.end) for r in ranges]
+    assert len(ranges) > 3 and sorted(m[0] for own in members for m in own) == sorted(f"{k}/{k}.png" for k in range(20))
+    first = next(own[0] for own in members[1:] if own)
     calls, true = [], media.payload_at
 
     def shaky(f, offset, size, check):
         calls.append(offset)
-        if calls.count(offset) < 3 and offset == ranges[1].members[0][1]:
+        if calls.count(offset) < 3 and offset == first[1]:
             raise OSError("lost")
         return true(f, offset, size, check)
 
     monkeypatch.setattr(media, "payload_at", shaky)
     monkeypatch.setattr(media.time, "sleep", lambda s: None)
-    reader = media.MediaReader({"paths": uri, "rangebytes": "500"})
-    got = [k for r in reader.partitions() for b in reader.read(r) for k in b.column(0).to_pylist()]
+    got = [k for r in ranges for b in reader.read(r) for k in b.column(0).to_pylist()]
     assert sorted(got) == list(range(20)) and len(calls) == 22
     with pytest.raises(OSError):
-        media.fetched(uri, ranges[0].members[0][1], 5, 1, tries=2)
+        media.fetched(ranges[0].path, first[1], 5, 1, tries=2)
+
+
+def test_a_repeated_task_finds_its_file(tmp_path):
+    """Stores that refuse to move onto a file keep the first attempt's; a part of one is never taken for it."""
+    from pyarrow import fs
+
+    from tarnflow.llm import common
+
+    class Refusing:
+        def __init__(self):
+            self.store = fs.LocalFileSystem()
+
+        def move(self, a, b):
+            if self.store.get_file_info(b).type == fs.FileType.File:
+                raise OSError("exists")
+            self.store.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+    for attempt, data in (("1", b"abc"), ("2", b"abc"), ("3", b"abcd")):
+        source, target = tmp_path / f"f.{attempt}", tmp_path / "f"
+        source.write_bytes(data)
+        if attempt == "3":
+            with pytest.raises(OSError):
+                common.moved(Refusing(), str(source), str(target))
+        else:
+            common.moved(Refusing(), str(source), str(target))
+            assert target.read_bytes() == data and not source.exists()
 
 
 def test_pipeline(spark, sf):
-    """Every stage keeps the columns, and the last packs what is left."""
+    """Every stage keeps the columns, clashing ones included, and does to each document what its operator says; the last packs what is left."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows, columns = docs.count(), docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == columns and 0.7 * rows < docs.count() <= rows, name
-    out = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= set(range(rows))
+    from tarnflow.llm import neardup, packing, pii
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "42.0D as score", "'k' as _key", "'s' as _spans", "'l' as lang_pred", "1L as n_known")
+    columns, texts = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    first, second, third = [stage for _, stage in corpus_pipeline.STAGES[:3]]
+    one = first(spark, docs, sf)
+    left = {r.doc_id: r for r in one.collect()}
+    assert one.columns == columns and all(r.score == 42.0 and r.lang_pred == "l" and r.text == texts[k] for k, r in left.items())
+    assert all(not any(c.isalpha() for c in texts[k] or "") for k in texts if k not in left)
+    two = second(spark, one, sf)
+    linked = {r.doc_id: r.component_id for r in neardup.linked(one).collect()}
+    kept = {r.doc_id for r in two.collect()}
+    assert two.columns == columns and kept == {k for k, root in linked.items() if k == root}
+    three = third(spark, two, sf)
+    clean = {r.doc_id: r for r in three.collect()}
+    assert three.columns == columns and set(clean) == kept and all(r.n_chars == len(r.text) and r._key == "k" and r._spans == "s" for r in clean.values())
+    found = {r.doc_id: r.spans for r in pii.detected(two).collect()}
+    for k, spans in found.items():
+        out, at = "", 0
+        for start, end, kind in sorted((s["start"], s["end"], s["kind"]) for s in spans):
+            if start >= at:
+                out += texts[k][at:start] + f"<{kind.upper()}>"
+            at = max(at, end)
+        assert clean[k].text == out + texts[k][at:]
+    odd = spark.createDataFrame([(1, None, 7)], "doc_id long, text string, n_chars long")
+    assert [r.n_chars for r in third(spark, odd, sf).collect()] == [7]
+    four = corpus_pipeline.STAGES[3][1](spark, three, sf).groupBy("doc_id").sum("length").collect()
+    assert {r[0] for r in four} == kept and packing.WIDTH == 2048
