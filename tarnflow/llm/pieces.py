@@ -112,9 +112,10 @@ class Codec:
     def _fresh(self, words: list[str]) -> dict[str, tuple[bytes, bool]]:
         """Ids of words that begin with their only marker, by few calls: a piece with a marker begins the next word. And whether they decode."""
         found = {}
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
-            ids = np.array(self.bare.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        parts = [words[k : k + 250] for k in range(0, len(words), 250)]
+        encoded = self.bare.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)  # the library's threads share the parts
+        for part, e in zip(parts, encoded, strict=True):
+            ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) != len(part):
                 raise ValueError("a word holds another marker")
@@ -125,7 +126,8 @@ class Codec:
         return found
 
     def coded(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """The ids of each text as little-endian unsigned 32-bit integers, and whether decoding gives the text back (its markers as spaces)."""
+        """The ids of each text as little-endian unsigned 32-bit integers, and whether decoding gives the text back (its markers as spaces):
+        by the backend word by word, or whole where words aren't parted by single spaces, and whole by the sentencepiece library."""
         out: list = [None] * len(texts)
         split, new, kept = {}, set(), self.words.kept
         for k, text in enumerate(texts if self.by_words else []):
@@ -139,6 +141,9 @@ class Codec:
         for k, (words, got) in split.items():
             both = [g or found[w] for w, g in zip(words, got, strict=True)]
             out[k] = b"".join([b[0] for b in both]), all([b[1] for b in both])
+        whole = self.checker.decode([np.frombuffer(out[k][0], "<u4").tolist() for k in split])
+        for k, back in zip(split, whole, strict=True):
+            out[k] = out[k][0], out[k][1] and back == texts[k]
         self.words.learn(found)
         rest = [k for k, o in enumerate(out) if o is None]
         ids = self.encode([texts[k] for k in rest])
@@ -181,7 +186,7 @@ def _runner(path: str, threads: int):
 
 def encoded(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     """For each row of docs: n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit), n_unknown, n_bytes_fallback, decoded_ok (decoding gives
-    the text back, or what the library gives where its normaliser changes texts) and parity (the ids are the sentencepiece library's).
+    the text back, by the backend and by the library, or what the library gives where its normaliser changes texts) and parity (the ids are the sentencepiece library's).
 
     A null text counts as an empty one: no ids. Control pieces' strings in a text are ordinary text. Repeated rows give repeated results.
     Columns but doc_id and text aren't looked at.
