@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,7 +119,7 @@ def is_sunset(name: Column) -> Column:
     return F.contains(F.lower(name), F.lit("sunset_compilation"))
 
 
-MONTHS = "january february march april may june july august september october november december".split()
+MONTHS = [calendar.month_name[m].lower() for m in range(1, 13)]
 
 
 def library_order(name: Column) -> Column:
@@ -173,9 +175,9 @@ def is_bare_name(name: Column) -> Column:
 
 
 def is_url_under(url: Column, base: str) -> Column:
-    """Whether the url, unquoted, stays under base: https, no parent steps."""
-    plain = F.try_url_decode(url)
-    return F.coalesce(plain.startswith(base) & plain.startswith("https://") & ~plain.rlike(r"(?:^|/)\.\.(?:/|$)"), F.lit(False))
+    """Whether the url as given begins with base, which is https, and its path beyond, unquoted, takes no step to a parent."""
+    beyond = F.try_url_decode(F.replace(F.substring(url, len(base) + 1, 1 << 20), F.lit("+"), F.lit("%2B")))
+    return F.coalesce(url.startswith(base) & F.lit(base.startswith("https://")) & ~beyond.rlike(r"(?:^|/)\.\.(?:/|$)"), F.lit(False))
 
 
 def is_web_url(url: Column) -> Column:

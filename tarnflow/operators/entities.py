@@ -41,36 +41,49 @@ def matched(labels: DataFrame, typed: DataFrame) -> DataFrame:
 def _closeness(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
-    def ratio(x: str, y: str) -> float:
-        return max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, x.replace(" ", ""), y.replace(" ", "")).ratio())
+    def forms(x: str) -> set[str]:
+        words = x.split()
+        return {x, " ".join(words[:-1])} if len(words) > 1 and words[-1] in ("group", "team") else {x}
 
     def near(x: str, y: str) -> float:
-        r = ratio(x, y)
+        r = max(SequenceMatcher(None, p, q).ratio() for p in forms(x) for q in forms(y))
         inside = set(x.split()) and set(x.split()) <= set(y.split())
         return r if r >= SIMILAR or inside else 0.0
 
     return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def _upper_bound(x: Column, y: Column) -> Column:
+    """No ratio of two texts is above this: twice the letters that both have, counted, over all letters."""
+    letters = F.array_distinct(F.split(x, ""))
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(letters, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(x, c), count(y, c))))
+    return 2.0 * shared / F.greatest(F.length(x) + F.length(y), F.lit(1))
+
+
 def suggested(labels: DataFrame, typed: DataFrame, most: int = MOST) -> DataFrame:
     """(typed, id, label, ratio, place): the best label of each of the `most` nearest entities. Names over LONGEST characters get none.
 
-    Only labels that share a pair of letters with the typed name are compared, which any label of the needed similarity does; the typed
-    names are a request, so few.
+    A label is near at a ratio of SIMILAR, with or without a last word group or team on either side, or if it holds all typed words. Every
+    label is met; the sequence comparison is spared where the letters alone rule it out. Typed names are a request, so they are few, and
+    are sent to the labels. Among equals the one that shares the rarest word goes first.
     """
     closeness = F.pandas_udf(_closeness, "double")
-
-    def pairs(c: Column) -> Column:
-        bare = F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda k: F.substring(bare, k, 2)))
-
-    own = labels.select("id", "label", folded("label").alias("f")).withColumn("pair", F.explode(pairs(F.col("f"))))
-    asked = typed.filter(F.length("typed") <= LONGEST).select("typed", folded("typed").alias("q")).withColumn("pair", F.explode(pairs(F.col("q"))))
-    met = own.join(asked, "pair").groupBy("typed", "q", "id", "label", "f").count().drop("count")
-    scored = met.select("typed", "id", "label", F.round(closeness("q", "f"), 9).alias("ratio")).filter("ratio > 0")
+    own = labels.select("id", "label", folded("label").alias("f"))
+    asked = typed.filter(F.length("typed") <= LONGEST).select("typed", folded("typed").alias("q")).filter("q <> ''")
+    bare = lambda c: F.regexp_replace(F.col(c), " (?:group|team)$", "")
+    may = F.lit(False)
+    for x in (F.col("q"), bare("q")):
+        for y in (F.col("f"), bare("f")):
+            may = may | (_upper_bound(x, y) >= SIMILAR)
+    held = F.size(F.array_except(F.split("q", r"\s+"), F.split("f", r"\s+"))) == 0
+    met = own.join(F.broadcast(asked), may | held)  # a request's names
+    words = own.select("id", F.explode(F.array_distinct(F.split("f", r"\s+"))).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("holders"))
+    scored = met.select("typed", "id", "label", "q", "f", F.round(closeness("q", "f"), 9).alias("ratio")).filter("ratio > 0")
     best = scored.groupBy("typed", "id").agg(F.max_by("label", F.struct("ratio", "label")).alias("label"), F.max("ratio").alias("ratio"))
-    place = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("ratio"), "id"))
-    return best.withColumn("place", place).filter(F.col("place") <= most)
+    shared = scored.select("typed", "id", F.explode(F.array_intersect(F.split("q", r"\s+"), F.split("f", r"\s+"))).alias("word")).join(words, "word").groupBy("typed", "id").agg(F.min("holders").alias("rarest"))
+    place = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("ratio"), F.asc_nulls_last("rarest"), "id"))
+    return best.join(shared, ["typed", "id"], "left").withColumn("place", place).filter(F.col("place") <= most).drop("rarest")
 
 
 def others(labels: DataFrame, resolved: DataFrame) -> DataFrame:

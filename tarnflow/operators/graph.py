@@ -23,7 +23,10 @@ def closure(edges: DataFrame, old: str, new: str, live: DataFrame | None = None)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnflow-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="tarnflow-"))
     now = edges.select(F.col(old).alias("a"), F.col(new).alias("b")).checkpoint()
     hops, nodes = 1, now.count()
     while hops <= nodes:

@@ -103,18 +103,37 @@ def _weight(tokens: Column) -> Column:
     return F.aggregate(F.array_sort(F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_idf", t), F.lit(1.0)))), F.lit(0.0), lambda a, w: a + w)
 
 
-def resolve(stigs: DataFrame, descriptions: DataFrame, rules: Rules | None = None, limit: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(hits, verdicts) for descriptions (request, description).
+@dataclass
+class Corpus:
+    """What every request needs of the benchmarks, made once for a build of them: held() again for another build, release() when done."""
+
+    docs: DataFrame
+    known: DataFrame
+    n: int
+    protected: set[tuple[str, str]]
+    columns: list[str]
+
+    @classmethod
+    def held(cls, stigs: DataFrame) -> "Corpus":
+        docs = corpus(stigs).persist()
+        known = frequencies(docs).persist()
+        return cls(docs, known, docs.count(), {(r.before, r.after) for r in straddling_pairs(stigs).collect()}, stigs.columns)  # word pairs inside titles: a few
+
+    def release(self) -> None:
+        self.docs.unpersist()
+        self.known.unpersist()
+
+
+def resolve(stigs: DataFrame | Corpus, descriptions: DataFrame, rules: Rules | None = None, limit: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(hits, verdicts) for descriptions (request, description). stigs: the benchmarks, or a Corpus of them that many calls share.
 
     hits: request, benchmark columns, score, matched_on, high_confidence, applicable, reason, wanted, tied_omitted: all rows of the `limit`
     best benchmarks of each request. verdicts: request, fragment_pos, fragment, verdict (uncovered or version-agnostic), benchmarks,
     covered_versions, fragment_confident.
     """
-    rules, spark = (rules or Rules()).checked(), stigs.sparkSession
-    docs = corpus(stigs)
-    n = docs.count()
-    known = frequencies(docs)
-    protected = {(r.before, r.after) for r in straddling_pairs(stigs).collect()}  # word pairs inside titles: a few
+    rules, spark = (rules or Rules()).checked(), descriptions.sparkSession
+    held = stigs if isinstance(stigs, Corpus) else Corpus.held(stigs)
+    docs, known, n, protected, columns = held.docs, held.known, held.n, held.protected, held.columns
     parts = [(r.request, k, f, *without_build(f, rules)) for r in descriptions.collect() for k, f in enumerate(split(r.description, protected) or [r.description])]  # requests
     asked = spark.createDataFrame(parts, "request long, fragment_pos int, fragment string, stripped string, build int")
     asked = asked.withColumn("q", text.normalized(F.col("stripped"))).select("*", F.col("q.product").alias("qp"), F.col("q.version").alias("qv"), text.version_majors(F.col("stripped")).alias("qm")).drop("q")
@@ -125,6 +144,7 @@ def resolve(stigs: DataFrame, descriptions: DataFrame, rules: Rules | None = Non
     asked = asked.join(maps, ["request", "fragment_pos"], "left").withColumn("_df", F.coalesce("_df", F.create_map().cast("map<string,bigint>"))).withColumn("_idf", F.coalesce("_idf", F.create_map().cast("map<string,double>")))
     distinctive = F.filter("qp", lambda t: F.coalesce(F.try_element_at("_df", t), F.lit(0)) <= DISTINCTIVE * n)
     asked = asked.withColumn("rare", distinctive)
+    asked = spark.createDataFrame(asked.collect(), asked.schema)  # requests: few rows, and read many times from here
     keys = F.array_distinct(F.concat("qp", "qv", F.transform("qv", ids.unpadded), F.flatten(F.transform("qp", lambda t: F.coalesce(text.expansion_of(t), F.array().cast("array<string>"))))))
     sought = asked.select("request", "fragment_pos", F.explode(keys).alias("token"))
     met = docs.select("stig_id", "version", F.explode("document").alias("token")).join(sought, "token").select("stig_id", "version", "request", "fragment_pos").distinct()
@@ -151,11 +171,11 @@ def resolve(stigs: DataFrame, descriptions: DataFrame, rules: Rules | None = Non
     rank = F.struct((-F.col("score")).alias("s"), (~F.col("high_confidence")).alias("c"), F.when(F.col("origin") == "library", 0).otherwise(1).alias("o"), "unnamed", "stig_id")
     own = own.withColumn("_rank", F.min(rank).over(Window.partitionBy("request", "stig_id")))
     own = own.withColumn("place", F.dense_rank().over(Window.partitionBy("request").orderBy("_rank")))
-    cut = F.max(F.when(F.col("place") == limit, -F.col("_rank.s"))).over(Window.partitionBy("request"))
-    level = own.select("request", "stig_id", "place", (-F.col("_rank.s")).alias("best"), cut.alias("cut")).distinct()
-    omitted = level.groupBy("request").agg(F.count_if((F.col("place") > limit) & (F.abs(F.col("best") - F.col("cut")) <= EPSILON)).alias("tied_omitted"))
-    hits = own.filter(F.col("place") <= limit).join(omitted, "request")
-    kept = ["request", *[c for c in stigs.columns], "score", "matched_on", "high_confidence", "applicable", "reason", "wanted", "build", "place", "tied_omitted"]
+    own = own.withColumn("_cut", F.max(F.when(F.col("place") == limit, -F.col("_rank.s"))).over(Window.partitionBy("request")))
+    own = own.withColumn("_first", F.row_number().over(Window.partitionBy("request", "stig_id").orderBy("version")) == 1)
+    omitted = F.col("_first") & (F.col("place") > limit) & (F.abs(-F.col("_rank.s") - F.col("_cut")) <= EPSILON)
+    hits = own.withColumn("tied_omitted", F.sum(F.when(omitted, 1).otherwise(0)).over(Window.partitionBy("request"))).filter(F.col("place") <= limit)
+    kept = ["request", *columns, "score", "matched_on", "high_confidence", "applicable", "reason", "wanted", "build", "place", "tied_omitted"]
     return hits.select(*kept).orderBy("request", "place", "version"), _verdicts(both, asked)
 
 

@@ -148,7 +148,7 @@ def build(spark: SparkSession, sources: Sources) -> tuple[dict[str, DataFrame],
     cci = documents.cci_list(spark, sources.cci)
     tables["ccis"], tables["cci_control"] = cci.select("cci_id", "definition"), cci.select("cci_id", F.explode("controls").alias("control_id")).withColumn("source_version", F.lit("Revision 5"))
     mapped, reviewed, label = documents.mappings(spark, sources.mapping)
-    added, suppressed = documents.overrides(spark, sources.overrides)
+    added, suppressed = documents.overrides(spark, sources.overrides, named=sources.overrides is not None)
     objects = documents.bundle(spark, sources.attack)
     known = attack_tables(objects, reviewed, mapped.limit(0))
     ends = known["revoked_technique"].select("revoked_id", "replacement_id")

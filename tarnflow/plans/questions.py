@@ -85,7 +85,7 @@ def scope_of(kb: dict[str, DataFrame], description: str | None, benchmark_ids: l
         return [(r.stig_id, r.version) for r in rows if r.version is not None], found, notes
     if not description:
         return [], [], ["No system supplied: controls come without STIG rules."]
-    hits, verdicts = resolver.resolve(kb["stigs"], spark.createDataFrame([(0, description)], "request long, description string"), rules)
+    hits, verdicts = resolver.resolve(kb.get("corpus", kb["stigs"]), spark.createDataFrame([(0, description)], "request long, description string"), rules)
     rows, said = hits.collect(), [v.asDict() for v in verdicts.collect()]
     notes = [f"'{v['fragment']}' names a version that isn't covered ({v['verdict']}); covered: {', '.join(v['covered_versions'])}." for v in said if not v["fragment_confident"] or v["verdict"] == "uncovered"]
     notes += applicability_notes(rows)
@@ -93,7 +93,7 @@ def scope_of(kb: dict[str, DataFrame], description: str | None, benchmark_ids: l
         notes.append(f"{rows[0].tied_omitted} more benchmarks match as well.")
     sure = [r for r in rows if r.high_confidence]
     if not sure:
-        return [], [r.asDict() for r in rows], notes or [f"No STIG confidently matched '{description}'."]
+        return [], [r.asDict() for r in rows], notes or [f"The description '{description}' leads to no benchmark with high confidence; candidates are listed."]
     return [(r.stig_id, r.version) for r in sure if r.applicable], [r.asDict() for r in sure], notes
 
 
@@ -228,7 +228,7 @@ def defenses_for_technique(kb: dict[str, DataFrame], technique_id: str, system_d
 def resolved_actor(kb: dict[str, DataFrame], actor: str) -> dict:
     spark, rows = kb["actors"].sparkSession, kb["actors"]
     named = rows.select(F.col("actor_id").alias("id"), F.explode(F.array("actor_id", "name")).alias("label"), F.lit(1).alias("tier"))
-    aliases = rows.select(F.col("actor_id").alias("id"), F.explode(F.filter(F.transform("aliases", F.trim), lambda a: a != "")).alias("label"), F.lit(2).alias("tier"))
+    aliases = rows.select(F.col("actor_id").alias("id"), F.explode(F.filter(F.transform("aliases", lambda a: F.trim(a)), lambda a: a != "")).alias("label"), F.lit(2).alias("tier"))
     labels, typed = named.unionByName(aliases), spark.createDataFrame([(actor,)], "typed string")
     found = entities.matched(labels, typed).join(rows, F.col("id") == F.col("actor_id")).orderBy("actor_id").collect()
     if len(found) > 1:
@@ -320,7 +320,7 @@ def defense_details(kb: dict[str, DataFrame], defense_ids: list[str], technique_
 
 def resolve_system(kb: dict[str, DataFrame], description: str, limit: int = 5, rules: resolver.Rules | None = None) -> dict:
     spark = kb["stigs"].sparkSession
-    hits, verdicts = resolver.resolve(kb["stigs"], spark.createDataFrame([(0, description)], "request long, description string"), rules, limit)
+    hits, verdicts = resolver.resolve(kb.get("corpus", kb["stigs"]), spark.createDataFrame([(0, description)], "request long, description string"), rules, limit)
     return {"candidates": [r.asDict() for r in hits.collect()], "version_coverage": [r.asDict() for r in verdicts.orderBy("fragment_pos").collect()]}
 
 

@@ -24,6 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import tarnflow.plans.library
     import tarnflow.plans.queries
     import tarnflow.plans.scalars  # noqa: F401  register them
 
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    import tarnflow.plans.library
     import tarnflow.plans.queries
     import tarnflow.plans.scalars  # noqa: F401
 

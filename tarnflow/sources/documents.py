@@ -53,7 +53,7 @@ def rules(parsed: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     rows = each.select(
         *keep, "group_pos", "rule_pos", "group_id", F.col("r._id").alias("rule_id"), level.alias("severity_level"), ids.severity_cat(level).alias("severity_cat"),
         F.trim("r.title").alias("title"), F.trim("r.description").alias("discussion"), F.trim("r.fixtext._VALUE").alias("fix_text"),
-        F.trim(F.get(F.col("r.check"), 0)["check-content"]).alias("check_text"), F.array_distinct(F.transform(ccis, F.trim)).alias("ccis"),
+        F.trim(F.get(F.col("r.check"), 0)["check-content"]).alias("check_text"), F.array_distinct(F.transform(ccis, lambda v: F.trim(v))).alias("ccis"),
     )
     return rows.filter("severity_level is not null"), rows.filter("severity_level is null")
 

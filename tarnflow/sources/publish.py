@@ -23,7 +23,7 @@ def shaped(df: DataFrame, table: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> dict[str, int]:
-    """Write every table under a new build folder, then point root/CURRENT at it in one rename. Returns each table's rows.
+    """Write every table under a new build folder, then point root/CURRENT at it in one overwriting rename. Returns each table's rows.
 
     A failed build leaves the pointer, and so the published tables, as they were.
     """
@@ -39,22 +39,28 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> dic
     except Exception:
         fs.delete(at, True)
         raise
-    note = spark.createDataFrame([(json.dumps({"build": build, "schema_version": SCHEMA_VERSION, "rows": counts}),)], "value string").coalesce(1)
-    note.write.mode("overwrite").text(f"{build}/_pointer")
-    pointer, aside = fs.makeQualified(_fs(spark, f"{root}/CURRENT")[1]), fs.makeQualified(_fs(spark, f"{build}/_pointer")[1])
-    old = _fs(spark, f"{root}/OLD-{uuid.uuid4().hex}")[1]
-    had = fs.exists(pointer)
-    if had:
-        fs.rename(pointer, old)
-    if not fs.rename(aside, pointer):
-        if had:
-            fs.rename(old, pointer)
-        raise OSError("the build could not be published")
-    if had:
-        fs.delete(old, True)
+    _write_pointer(spark, root, {"build": build, "schema_version": SCHEMA_VERSION, "rows": counts})
     return counts
 
 
+def _write_pointer(spark: SparkSession, root: str, note: dict) -> None:
+    """Write the pointer aside and give it its name in one rename over the old one: a reader sees the old or the new, never none."""
+    jvm = spark._jvm
+    fs, at = _fs(spark, f"{root.rstrip('/')}/CURRENT")
+    aside = _fs(spark, f"{root.rstrip('/')}/.CURRENT-{uuid.uuid4().hex}")[1]
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(note).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    over = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    try:
+        context.rename(fs.makeQualified(aside), fs.makeQualified(at), over)
+    except Exception:
+        fs.delete(aside, False)
+        raise
+
+
 def pointer(spark: SparkSession, root: str) -> dict | None:
     fs, at = _fs(spark, f"{root}/CURRENT")
     if not fs.exists(at):

@@ -23,9 +23,10 @@ def refreshed(spark: SparkSession, folder: str, manifest: str, checkpoint: str,
 
     def batch(rows: DataFrame, number: int) -> None:
         own = rows.withColumn("batch", F.lit(number))
-        try:
-            before = spark.read.parquet(manifest).filter(F.col("batch") != number)
-        except Exception:  # no manifest yet
+        at = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+        if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            before = spark.read.schema(own.schema).parquet(manifest).filter(F.col("batch") != number)
+        else:
             before = spark.createDataFrame([], own.schema)
         new = own.join(before.select("name", "sha256"), ["name", "sha256"], "left_anti").select("name", "sha256", "size", "batch")
         new.drop("batch").write.mode("overwrite").parquet(f"{manifest}/batch={number}")
