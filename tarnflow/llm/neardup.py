@@ -270,10 +270,11 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ba
     out = lookup(placed.filter("node is not null"), "node", nodes, "text_key")
     first = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_key") == F.col("low.text_key"))
     by_row = stored(out.groupBy("doc_id", "text_key").agg(F.bool_or(first).alias("first"), F.count("*").alias("n")).filter("not first or n > 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "first"), "dropped")
-    same = F.expr("doc_id <=> _doc and xxhash64(text) = _key")
-    found = docs.join(by_row.filter("not first").select("_doc", "_key"), same, "left_anti")
+    # The columns of docs in one, so that none of their names meets one of ours.
+    own, same = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")), F.expr("d.doc_id <=> _doc and xxhash64(d.text) = _key")
+    found = own.join(by_row.filter("not first").select("_doc", "_key"), same, "left_anti")
     repeated = by_row.filter("first").select("_doc", "_key")
     if repeated.isEmpty():
-        return found
-    once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return found.join(repeated, same, "left_anti").unionByName(once)
+        return found.select("d.*")
+    once = own.join(repeated, same, "left_semi").select("d.*").dropDuplicates(["doc_id", "text"])
+    return found.join(repeated, same, "left_anti").select("d.*").unionByName(once)
