@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import drop_stored, lookup, salt, stored
 
 DAMPING = 0.85
-#: Rounds are written TOGETHER by so many, and end when a round changes both scores together by PRECISION of FLOOR's even share at most: what
-#: is unsettled then is under 1 / (1 - DAMPING) times that.
+#: Rounds are written TOGETHER by so many, and end when a round would change both scores together by PRECISION of FLOOR's even share at most:
+#: what is unsettled then is under 1 / (1 - DAMPING) times that.
 PRECISION, TOGETHER = 1e-3, 6
 #: A host is blocked whose distrust is over BIAS times its trust and over FLOOR times an even share of all distrust.
 BIAS, FLOOR = 2.0, 0.5
@@ -53,54 +54,81 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def _weights(products: Row | None, steps: int) -> list[float]:
+    """Weights, 1 in all, of the changes of some rounds with which their sum has the least square. products: p_i_j, their products' sums."""
+    if products is None:
+        return [0.0] * (steps - 1) + [1.0]
+    product = np.array([[products[f"p_{min(i, j)}_{max(i, j)}"] for j in range(steps)] for i in range(steps)], float)
+    apart = np.vstack([np.eye(steps - 1), -np.ones(steps - 1)])
+    free = np.linalg.lstsq(apart.T @ product @ apart, -(apart.T @ product[:, -1]), rcond=1e-10)[0]
+    return [*free.tolist(), 1.0 - float(free.sum())]
+
+
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, precision: float = PRECISION) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank. seeds: host, trusted, blocked (weights, 0 or more), one row for each host.
 
     Trust starts at trusted seeds and goes along the edges, distrust starts at blocked ones and goes against them; each has 1 in all. Weight
     that reaches a host without a way on goes back to the seeds: the rounds leave it out, and scaling each score to a sum of 1 in the end
-    gives just that. Both walk one doubled graph, so a round is one join and one sum.
+    gives just that. Both walk one doubled graph, so a round is one join and one sum. After TOGETHER rounds the next ones start from the mix
+    of their results whose own change has the least square, if that change is no larger than the last round's: then each lot of rounds still
+    brings the change down by damping ** TOGETHER at least, and mostly by far more. The end is told by the change, so it means the same with mixes.
     """
     edges = stored(edges, "edges")
     forth = edges.select(F.concat(F.lit("+"), "src").alias("node"), F.concat(F.lit("+"), "dst").alias("to"), "weight")
     back = edges.select(F.concat(F.lit("-"), "dst").alias("node"), F.concat(F.lit("-"), "src").alias("to"), "weight")
     doubled = forth.unionByName(back)
-    shares = lookup(doubled, "node", doubled.groupBy("node").agg(F.sum("weight").alias("_all")), "to").select("node", "to", (F.col("weight") / F.col("_all")).alias("share"))
-    # As lookup() does, with the graph dealt once.
-    graph = stored(shares.withColumn("_salt", salt(F.col("to"))), "graph")
-    dealt = stored(graph.select("node", "_salt").distinct(), "dealt")
-    ends = graph.select("node").union(graph.select("to")).distinct()
+    ends = doubled.select("node").union(doubled.select("to")).distinct()
     signed = seeds.select(F.explode(F.array(F.struct(F.concat(F.lit("+"), "host").alias("node"), F.col("trusted").alias("seed")), F.struct(F.concat(F.lit("-"), "host").alias("node"), F.col("blocked").alias("seed")))).alias("s")).select("s.*")
-    start = stored(ends.join(signed, "node", "full").select("node", F.coalesce("seed", F.lit(0.0)).alias("weight")), "seeds")
+    start = stored(ends.join(signed, "node", "full").select("node", F.coalesce("seed", F.lit(0.0)).alias("seed")), "seeds")
+    sign = F.substring("node", 1, 1)
+
+    def by_sign(values: dict[str, Column | float]) -> Column:
+        return F.when(sign == "+", values["+"]).otherwise(values["-"])
 
     def whole(df: DataFrame, c: str) -> DataFrame:
         """df with c scaled to a sum of 1 for each sign (0 where nothing has that sign)."""
-        sums = {r.sign: r.all for r in df.groupBy(F.substring("node", 1, 1).alias("sign")).agg(F.sum(c).alias("all")).collect()}  # two rows
-        by = [F.lit(float(sums.get(sign) or 0) or 1.0) for sign in "+-"]
-        return df.withColumn(c, F.col(c) / F.when(F.startswith("node", F.lit("+")), by[0]).otherwise(by[1]))
+        sums = {r.sign: r.all for r in df.groupBy(sign.alias("sign")).agg(F.sum(c).alias("all")).collect()}  # two rows
+        return df.withColumn(c, F.col(c) / by_sign({s: F.lit(float(sums.get(s) or 0) or 1.0) for s in "+-"}))
 
-    start = stored(whole(start, "weight").withColumnRenamed("weight", "seed"), "seeds")
     near = precision * FLOOR / max(1, start.count() // 2)
-    ranks = start.select("node", ((1 - damping) * F.col("seed")).alias("score"))
+    shares = lookup(doubled, "node", doubled.groupBy("node").agg(F.sum("weight").alias("_all")), "to").select("node", "to", (F.col("weight") / F.col("_all")).alias("share"), F.lit(False).alias("own"))
+    # A node's row to itself carries its seed and scores through a round. Dealt as lookup() does, once.
+    kept = start.select("node", F.col("node").alias("to"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))
+    graph = stored(shares.unionByName(kept).withColumn("_salt", salt(F.col("to"))), "graph")
+    dealt = stored(graph.select("node", "_salt").distinct(), "dealt")
+
+    changes = [F.col(f"x{k + 1}") - F.col(f"x{k}") for k in range(TOGETHER)]
+    products = [F.sum(changes[i] * changes[j]).alias(f"p_{i}_{j}") for i in range(TOGETHER) for j in range(i, TOGETHER)]
+    ranks = whole(start, "seed").withColumn("x0", (1 - damping) * F.col("seed"))
+    old = None
     while True:
-        after = ranks
-        for _ in range(TOGETHER):
-            before = after
-            sent = graph.join(dealt.join(before.filter("score > 0"), "node"), ["node", "_salt"]).groupBy(F.col("to").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-            after = start.join(sent, "node", "left").select("node", F.round((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0)), 17).alias("score"))
-        last = before.select("node", F.col("score").alias("before"))
-        after = stored(after.join(last, "node").select("node", "score", F.abs(F.col("score") - F.col("before")).alias("change")), "ranks")
-        change = after.agg(F.sum("change")).first()[0] or 0.0
-        if ranks.columns[-1] == "change":
-            drop_stored(ranks)
-        ranks = after
-        if change <= near:
+        rows = ranks
+        for k in range(TOGETHER):
+            have = ["seed", *[f"x{i}" for i in range(k + 1)]]
+            sent = graph.join(dealt.join(rows, "node"), ["node", "_salt"]).groupBy(F.col("to").alias("node"))
+            rows = sent.agg(*[F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in have], F.sum(F.col("share") * F.col(f"x{k}")).alias("_got"))
+            rows = rows.select("node", *have, ((1 - damping) * F.col("seed") + damping * F.col("_got")).alias(f"x{k + 1}"))
+        rows = stored(rows, "ranks")
+        if old is not None:
+            drop_stored(old)
+        old = rows
+        found = {r.sign: r for r in rows.groupBy(sign.alias("sign")).agg(*products).collect()}  # two rows
+        weights = {s: _weights(found.get(s), TOGETHER) for s in "+-"}
+        mix = by_sign({s: sum(w * c for w, c in zip(weights[s], changes, strict=True)) for s in "+-"})
+        left = {r.sign: r for r in rows.groupBy(sign.alias("sign")).agg(F.sum(F.abs(mix)).alias("mix"), F.sum(F.abs(changes[-1])).alias("last")).collect()}  # two rows
+        for s, r in left.items():
+            if not r.mix <= r.last:
+                weights[s] = [0.0] * (TOGETHER - 1) + [1.0]
+        ranks = rows.select("node", "seed", by_sign({s: sum(w * F.col(f"x{k + 1}") for k, w in enumerate(weights[s]) if w) for s in "+-"}).alias("x0"))
+        # The mix takes each round's result, so its own change is smaller by damping than that of what the rounds began with.
+        if damping * sum(r.mix if r.mix <= r.last else r.last for r in left.values()) <= near:
             break
-    ranks = whole(ranks, "score")
+    ranks = whole(ranks.select("node", F.greatest("x0", F.lit(0.0)).alias("score")), "score")
     for done in (edges, graph, dealt):
         drop_stored(done)
 
-    def of(sign: str) -> Column:
-        return F.coalesce(F.max(F.when(F.startswith("node", F.lit(sign)), F.col("score"))), F.lit(0.0))
+    def of(s: str) -> Column:
+        return F.coalesce(F.max(F.when(sign == s, F.col("score"))), F.lit(0.0))
 
     return ranks.groupBy(F.substring(F.col("node"), 2, 1 << 30).alias("host")).agg(of("+").alias("trust"), of("-").alias("distrust"))
 
