@@ -109,21 +109,24 @@ class Codec:
             self.bare.normalizer = None
         self.words = Met()
 
-    def _fresh(self, words: list[str]) -> dict[str, tuple[bytes, bool]]:
-        """Ids of words that begin with their only marker, by few calls: a piece with a marker begins the next word. And whether they decode."""
-        found = {}
+    def _fresh(self, words: list[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Ids of words, each with its only marker before it, by few calls: a piece with a marker begins the next word. And those that don't decode."""
+        found, wrong = {}, set()
         parts = [words[k : k + 250] for k in range(0, len(words), 250)]
-        encoded = self.bare.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)  # the library's threads share the parts
-        for part, e in zip(parts, encoded, strict=True):
-            ids = np.array(e.ids, "<u4")
+        encoded = self.bare.encode_batch_fast([SPACE + SPACE.join(p) for p in parts], add_special_tokens=False)  # the library's threads share the parts
+        every = [e.ids for e in encoded]
+        for part, ids, back in zip(parts, every, self.decode(every), strict=True):
+            ids = np.array(ids, "<u4")
             cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) != len(part):
                 raise ValueError("a word holds another marker")
             raw, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), ids.nbytes]
             each = [raw[b:e] for b, e in zip((cuts * 4).tolist(), ends, strict=True)]
-            back = self.tokenizer.decode_batch([np.frombuffer(e, "<u4").tolist() for e in each], skip_special_tokens=False)
-            found.update((w, (e, d == w[1:])) for w, e, d in zip(part, each, back, strict=True))
-        return found
+            found.update(zip(part, each, strict=True))
+            if back != " ".join(part):
+                single = self.decode([np.frombuffer(e, "<u4").tolist() for e in each])
+                wrong.update(w for w, d in zip(part, single, strict=True) if d != w)
+        return found, wrong
 
     def coded(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """The ids of each text as little-endian unsigned 32-bit integers, and whether decoding gives the text back (its markers as spaces):
@@ -132,18 +135,18 @@ class Codec:
         split, new, kept = {}, set(), self.words.kept
         for k, text in enumerate(texts if self.by_words else []):
             if text and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-                words = [SPACE + w for w in text.split(" ")]
+                words = text.split(" ")
                 got = list(map(kept.get, words))
                 if None in got:
                     new.update([w for w, g in zip(words, got, strict=True) if g is None])
                 split[k] = words, got
-        found = self._fresh(list(new))
+        found, wrong = self._fresh(list(new))
         for k, (words, got) in split.items():
-            both = [g or found[w] for w, g in zip(words, got, strict=True)]
-            out[k] = b"".join([b[0] for b in both]), all([b[1] for b in both])
-        whole = self.checker.decode([np.frombuffer(out[k][0], "<u4").tolist() for k in split])
-        for k, back in zip(split, whole, strict=True):
-            out[k] = out[k][0], out[k][1] and back == texts[k]
+            raw = b"".join([found[w] if g is None else g for w, g in zip(words, got, strict=True)] if None in got else got)
+            back = self.checker.decode(np.frombuffer(raw, "<i4"), num_threads=1)
+            out[k] = raw, back == texts[k] and wrong.isdisjoint(words)
+        for w in wrong:
+            del found[w]  # what is kept decodes
         self.words.learn(found)
         rest = [k for k, o in enumerate(out) if o is None]
         ids = self.encode([texts[k] for k in rest])
@@ -175,9 +178,10 @@ def _runner(path: str, threads: int):
                     end += 1
                 part = texts[at:end]
                 rows = []
-                for key, (mine, ok), theirs in zip(keys[at:end], own.coded(part), own.checker.encode(part, num_threads=threads), strict=True):
-                    raw = np.frombuffer(mine, "<u4")
-                    rows.append((key, len(raw), crc(mine), int(own.unknown[raw].sum()), int(own.byte[raw].sum()), ok, np.array_equal(raw, theirs)))
+                theirs = own.checker.encode(part, num_threads=threads, return_type="numpy")
+                for key, (mine, ok), other in zip(keys[at:end], own.coded(part), theirs, strict=True):
+                    raw = np.frombuffer(mine, "<i4")
+                    rows.append((key, len(raw), crc(mine), int(own.unknown[raw].sum()), int(own.byte[raw].sum()), ok, np.array_equal(raw, other)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
                 at = end
 
