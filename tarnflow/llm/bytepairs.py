@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tarnflow.llm.common import ship
+from tarnflow.llm.tokens import Met
 
 #: Characters of text or ids taken at a time, words kept by a worker, rounds of one recursive query (its rows all stay until it ends), bytes
 #: of a word up to which one pair is contracted a round (a cheaper query; over that it would take a round for each byte).
-CHARS, IDS, KEPT, ROUNDS, SHORT = 2_000_000, 1_000_000, 500_000, 48, 256
+CHARS, IDS, KEPT, ROUNDS, SHORT = 600_000, 300_000, 300_000, 48, 256
 
 #: Each word's leftmost pair of its least rank.
 _ONE = f"""
@@ -88,16 +90,22 @@ class Merges:
     def __init__(self, tokens: list[bytes], rising: bool | None = None):
         import duckdb
 
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
-        ids = {token: i for i, token in enumerate(tokens)}
-        cuts = [(ids[t[:k]], ids[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
-        a, b, merged = (pa.array(x, pa.int32()) for x in zip(*cuts)) if cuts else [pa.array([], pa.int32())] * 3
-        self._table("merges", pa.table({"a": a, "b": b, "merged": merged}))
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.tokens, self.known = tokens, Met(KEPT)
         self._table("vocabulary", pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "piece": pa.array(tokens, pa.binary())}))
-        self.whole = {token: np.uint32(i).tobytes() for token, i in ids.items()}
-        self.single = np.array([ids[bytes([i])] for i in range(256)], np.int32)
-        self.rising = self._rises(tokens) if rising is None else rising
-        self.words: dict[str, bytes] = {}
+        self.rising = self._rises() if rising is None else rising
+
+    @cached_property
+    def whole(self) -> dict[bytes, int]:
+        return {token: i for i, token in enumerate(self.tokens)}
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        """The tokens of single bytes; the merge table is made with them."""
+        ids = self.whole
+        cuts = np.array([(ids[t[:k]], ids[t[k:]], i) for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids], np.int32).reshape(-1, 3)
+        self._table("merges", pa.table({"a": cuts[:, 0], "b": cuts[:, 1], "merged": cuts[:, 2]}))
+        return np.array([ids[bytes([i])] for i in range(256)], np.int32)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("given", rows)
@@ -121,36 +129,40 @@ class Merges:
             tokens = self.con.sql("select word, last, fell, pos, id from ended where more").to_arrow_table()
         return pa.concat_tables(done)
 
-    def _rises(self, tokens: list[bytes]) -> bool:
+    def _rises(self) -> bool:
         """Whether ranks only rise while any token's own bytes are contracted, one pair after the other."""
-        longer = [t for t in tokens if len(t) > 1]
+        longer = [t for t in self.tokens if len(t) > 1]
         if not longer:
             return True
         ended = self.contracted(longer)
         return not any(fell and len(ids) == 1 for fell, ids in zip(ended["fell"].to_pylist(), ended["ids"].to_pylist()))
 
-    def learn(self, words: set[str]) -> None:
-        """Find the ids of words that aren't kept yet. A word that is a token of its own is that token, whatever its contraction gives."""
-        if len(self.words) + len(words) > KEPT:
-            self.words = {}
+    def encoded(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words. A word that is a token of its own is that token, whatever its contraction gives; what is met for the second time
+        is kept."""
+        kept = self.known.kept
+        out = {w: kept[w] for w in words if w in kept}
         short: list[str] = []
         long: list[str] = []
-        for w in words - self.words.keys():
+        found: dict[str, bytes] = {}
+        for w in words - out.keys():
             data = w.encode()
-            if data in self.whole:
-                self.words[w] = self.whole[data]
+            if (i := self.whole.get(data)) is not None:
+                found[w] = np.uint32(i).tobytes()
             else:
                 (long if self.rising and len(data) > SHORT else short).append(w)
         for part, one in ((short, True), (long, False)):
-            for low, high in _slices(np.array([len(w) for w in part]), CHARS // 4):
-                self._keep(part[low:high], self.contracted([w.encode() for w in part[low:high]], one))
+            for low, high in _slices(np.array([len(w) for w in part]), CHARS // 2):
+                self._read(part[low:high], self.contracted([w.encode() for w in part[low:high]], one), found)
+        self.known.learn(found)
+        return out | found
 
-    def _keep(self, words: list[str], found: pa.Table) -> None:
-        ids = found["ids"].combine_chunks()
+    def _read(self, words: list[str], ended: pa.Table, found: dict[str, bytes]) -> None:
+        ids = ended["ids"].combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         flat, cuts = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_pylist()
-        for word, low, high in zip(found["word"].to_pylist(), cuts[:-1], cuts[1:]):
-            self.words[words[word]] = flat[4 * low : 4 * high]
+        for word, low, high in zip(ended["word"].to_pylist(), cuts[:-1], cuts[1:]):
+            found[words[word]] = flat[4 * low : 4 * high]
 
     def decoded(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, pa.Buffer, np.ndarray]:
         """(owners, bytes, ends of each owner's bytes): ids are put together by owner in their order. An id that isn't in the vocabulary is an
@@ -216,10 +228,9 @@ def encoded(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id
         merges, words_of = _known(data, rising), regex.compile(pattern).findall
         for batch in batches:
             texts = batch.column(text)
-            for low, high in _slices(np.diff(texts.offsets.to_numpy()) if hasattr(texts, "offsets") else np.array([len(x.as_py() or "") for x in texts]), CHARS):
+            for low, high in _slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), CHARS):
                 words = [None if t is None else words_of(t) for t in texts.slice(low, high - low).to_pylist()]
-                merges.learn(set().union(*filter(None, words)))
-                get = merges.words.__getitem__
+                get = merges.encoded(set().union(*filter(None, words))).__getitem__
                 made = pa.array([None if w is None else b"".join(map(get, w)) for w in words], pa.binary())
                 rows = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), made], [*names, ids])
@@ -242,7 +253,7 @@ def decoded(df: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _known(data, True)
         for batch in batches:
-            for low, high in _slices(np.array([len(x) if x is not None else 0 for x in batch.column(ids).to_pylist()]) // 4, IDS):
+            for low, high in _slices(pc.fill_null(pc.binary_length(batch.column(ids)), 0).to_numpy() // 4, IDS):
                 rows = batch.slice(low, high - low)
                 given = rows.column(ids).to_pylist()
                 flat = np.frombuffer(b"".join(x or b"" for x in given), "<u4").astype(np.int32)

@@ -4,7 +4,8 @@ Texts are indexed in blocks of whole texts: one row for each word of a block, wi
 neighbouring words of a piece differ by one, others by more. A frequent phrase's list is merge-joined, a phrase's length on, with the lists of
 the words of its block, which gives the lists of the phrases longer by a word; the length of a phrase's lists over all blocks is its exact
 frequency, and only phrases that are frequent go on. Between rounds Spark counts phrases by (prefix, last word) and tells each block which of
-its phrases are frequent; positions never leave their block, so that no list of a common word comes together anywhere.
+its phrases are frequent; positions never leave their block, so that no list of a common word comes together anywhere. Lists of phrases are
+grown from the words' again in each round: most phrases are rare, and what is rare need not be kept until that is known.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +32,7 @@ _KIND[list(_PARTS_WORDS)] = 1
 _KIND[list(_PARTS_PIECES)] = 2
 
 _LISTS = "block long, code int, lang string, word string, n long, positions array<int>"
-_GROWN = "block long, prefix long, last long, n long, positions array<int>"
+_GROWN = "block long, prefix long, last long, n long"
 
 
 def _lists(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
@@ -70,16 +72,6 @@ def indexed(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return rows.mapInArrow(run, _LISTS)
 
 
-def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(row, position) of every position of a table's lists, by position."""
-    lists = table["positions"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    at = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    order = np.argsort(at, kind="stable")
-    return row[order], at[order]
-
-
 def _joined(at: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the sorted positions at meet the sorted positions among: the indices of both."""
     if not len(among):
@@ -89,37 +81,47 @@ def _joined(at: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return met, place[met]
 
 
+def _ids(prefix: np.ndarray, last: np.ndarray, frequent: pa.Table) -> np.ndarray:
+    """The id of each (prefix, last) among the frequent phrases, or -1. Pairs are distinct on both sides."""
+    ids, own = np.full(len(last), -1, np.int64), len(last)
+    prefixes, lasts = np.concatenate([prefix, frequent["prefix"].to_numpy()]), np.concatenate([last, frequent["last"].to_numpy()])
+    order = np.lexsort((np.arange(len(lasts)), lasts, prefixes))  # a pair comes right before the frequent phrase that it is
+    same = (prefixes[order][1:] == prefixes[order][:-1]) & (lasts[order][1:] == lasts[order][:-1])
+    ids[order[:-1][same]] = frequent["id"].to_numpy()[order[1:][same] - own]
+    return ids
+
+
 def _grown(length: int):
-    """A block's lists and its frequent phrases to the lists of the phrases that are longer by a word."""
+    """A block's lists of words and its frequent phrases up to a length to its phrases that are longer by a word, with the lengths of their
+    lists."""
 
     def grow(lists: pa.Table, frequent: pa.Table) -> pa.Table:
-        """Rows of lists with prefix -1 are words; frequent: (prefix, last, id) of the block's frequent words (prefix -1) and phrases of this
-        length."""
-        left = {k: lists[k].to_numpy() for k in ("prefix", "last")}
-        ids, own = np.full(lists.num_rows, -1, np.int64), lists.num_rows
-        prefixes, lasts = (np.concatenate([left[k], frequent[k].to_numpy()]) for k in ("prefix", "last"))
-        order = np.lexsort((np.arange(len(lasts)), lasts, prefixes))  # a list comes right before the frequent phrase that it is of
-        same = (prefixes[order][1:] == prefixes[order][:-1]) & (lasts[order][1:] == lasts[order][:-1])
-        ids[order[:-1][same]] = frequent["id"].to_numpy()[order[1:][same] - own]
-        is_word = left["prefix"] == -1
-        row, at = _flat(lists)
-        alive = ids[row] >= 0
-        row, at = row[alive], at[alive]
-        word = is_word[row]
-        word_ids, word_at = ids[row[word]], at[word]
-        phrase_ids, phrase_at = (word_ids, word_at) if length == 1 else (ids[row[~word]], at[~word])
-        a, b = _joined(phrase_at + length, word_at)
-        prefix, last, start = phrase_ids[a], word_ids[b], phrase_at[a]
-        if length > 1:  # the rest of the longer phrase must be frequent too, and so stands among the phrases of this length
-            rest, _ = _joined(start + 1, phrase_at)
-            prefix, last, start = prefix[rest], last[rest], start[rest]
-        # Ids are of any size: numbered within the block they make one key.
-        heads, tails = np.unique(prefix, return_inverse=True), np.unique(last, return_inverse=True)
-        size = max(len(tails[0]), 1)
-        keys, found = _lists(heads[1].astype(np.int64) * size + tails[1], start)
-        block = np.full(len(keys), lists["block"][0].as_py() if lists.num_rows else frequent["block"][0].as_py(), np.int64)
-        out = pa.table({"block": block, "prefix": heads[0][keys // size], "last": tails[0][keys % size], "n": np.diff(found.offsets.to_numpy()).astype(np.int64), "positions": found})
-        return out.cast(pa.schema([("block", pa.int64()), ("prefix", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("positions", pa.list_(pa.int32()))]))
+        of = [frequent.filter(pc.equal(frequent["length"], k)) for k in range(1, length + 1)]
+        columns = [c.combine_chunks() for c in (lists["code"], lists["positions"])]
+        code, positions = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns)
+        ids = _ids(np.full(len(code), -1, np.int64), code.to_numpy().astype(np.int64), of[0])
+        ids, at = np.repeat(ids, np.diff(positions.offsets.to_numpy())), positions.flatten().to_numpy()
+        order = np.flatnonzero(ids >= 0)
+        order = order[np.argsort(at[order], kind="stable")]
+        word_ids, word_at = phrase_ids, phrase_at = ids[order], at[order]
+        for k in range(1, length + 1):
+            a, b = _joined(phrase_at + k, word_at)
+            prefix, last, start = phrase_ids[a], word_ids[b], phrase_at[a]
+            if k > 1:  # the rest of the longer phrase must be frequent too, and so stands among the phrases of this length
+                rest, _ = _joined(start + 1, phrase_at)
+                prefix, last, start = prefix[rest], last[rest], start[rest]
+            # Ids are of any size: numbered within the block they make one key.
+            heads, head = np.unique(prefix, return_inverse=True)
+            tails, tail = np.unique(last, return_inverse=True)
+            size = max(len(tails), 1)
+            keys, which, n = np.unique(head.astype(np.int64) * size + tail, return_inverse=True, return_counts=True)
+            prefix, last = heads[keys // size], tails[keys % size]
+            if k < length:
+                phrase_ids = _ids(prefix, last, of[k])[which]
+                kept = np.flatnonzero(phrase_ids >= 0)
+                phrase_ids, phrase_at = phrase_ids[kept], start[kept]
+        block = (lists if lists.num_rows else frequent)["block"][0].as_py()
+        return pa.table({"block": np.full(len(keys), block, np.int64), "prefix": prefix, "last": last, "n": n.astype(np.int64)})
 
     return grow
 
@@ -143,21 +145,22 @@ def mined(df: DataFrame, most_words: int = 3, least: int = 10, text: str = "text
     totals = stored(counts.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     frequent_words = stored(counts.filter(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent-words")
     # A word has one row a block at most, so no key of this join is hot. The block's own code stands for the word from here.
-    known = lists.select("block", "code", "lang", "word").join(frequent_words.select("lang", "word", "id"), ["lang", "word"]).select("block", F.lit(-1).cast("long").alias("prefix"), F.col("code").cast("long").alias("last"), "id")
-    known = stored(known, "known")
-    base = lists.select("block", F.lit(-1).cast("long").alias("prefix"), F.col("code").cast("long").alias("last"), "positions")
-    scratch, levels, frequent, own = [lists, counts, known], {}, known, base
+    known = lists.select("block", "code", "lang", "word").join(frequent_words.select("lang", "word", "id"), ["lang", "word"])
+    frequent = stored(known.select("block", F.lit(1).alias("length"), F.lit(-1).cast("long").alias("prefix"), F.col("code").cast("long").alias("last"), "id"), "known")
+    scratch, levels, positions = [lists, counts, frequent], {}, lists.select("block", "code", "positions")
     for length in range(1, most_words):
-        grown = own.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_grown(length), _GROWN)
-        last_round = length + 1 == most_words
-        grown = stored(grown.drop("positions") if last_round else grown, f"phrases-{length + 1}")
-        level = grown.groupBy("prefix", "last").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        grown = positions.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_grown(length), _GROWN)
+        if length + 1 == most_words:
+            level = grown.groupBy("prefix", "last").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        else:  # counts come to the rows of all blocks by one shuffle; a phrase has one row a block
+            over = Window.partitionBy("prefix", "last")
+            counted = grown.withColumn("a", F.sum("n").over(over)).withColumn("first", F.min("block").over(over) == F.col("block")).filter(F.col("a") >= least)
+            scratch.append(counted := stored(counted.drop("n"), f"phrases-{length + 1}"))
+            level = counted.filter("first").select("prefix", "last", "a")
         levels[length + 1] = level = stored(level.withColumn("id", F.monotonically_increasing_id()), f"frequent-{length + 1}")
-        scratch.append(grown)
-        if not last_round:
-            found = grown.select("block", "prefix", "last").join(level.select("prefix", "last", "id"), ["prefix", "last"]).select("block", "prefix", "last", "id")
-            frequent = known.unionByName(found)
-            own = base.unionByName(grown.select("block", "prefix", "last", "positions"))
+        if length + 1 < most_words:
+            found = counted.select("block", F.lit(length + 1).alias("length"), "prefix", "last").join(level.select("prefix", "last", "id"), ["prefix", "last"])
+            frequent = frequent.unionByName(found.select("block", "length", "prefix", "last", "id"))
     return Mined(frequent_words, levels, totals, scratch)
 
 
