@@ -23,7 +23,7 @@ from tarnflow.llm.common import SALTS, drop_stored, lookup, ship, stored
 from tarnflow.llm.inverted import blocks, grouped, words
 
 #: Bytes of text of a block; a longer text is a block of its own.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 20_000_000
 UNKNOWN = "und"
 # What parts pieces, what parts words within them.
 _PARTS_PIECES, _PARTS_WORDS = b".,;:!?\n\x0b\x0c\r", b" \t"
