@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.session import shared_dir
+
 
 def admitted(edges: DataFrame, known: DataFrame, live: DataFrame, old: str, new: str, position: str) -> DataFrame:
     """(old, new): edges between known nodes whose source isn't live; the last edge of a source holds."""
@@ -19,14 +21,7 @@ def closure(edges: DataFrame, old: str, new: str, live: DataFrame | None = None)
     outcome: resolved, dead_end (the end isn't live) or cycle (there is no end; new is null). Pointers are doubled, so the rounds grow
     with the logarithm of the longest chain; each round is written to the checkpoint folder.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="tarnflow-"))
+    shared_dir(edges.sparkSession)
     now = edges.select(F.col(old).alias("a"), F.col(new).alias("b")).checkpoint()
     hops, nodes = 1, now.count()
     while hops <= nodes:

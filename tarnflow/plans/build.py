@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions import ids
-from tarnflow.operators import graph, rank, relational
+from tarnflow.operators import arbitration, graph, rank, relational
 from tarnflow.schema import SCHEMA_VERSION
 from tarnflow.sources import archives, documents
 
@@ -98,42 +98,27 @@ def effective_pairs(mapped: DataFrame, added: DataFrame, suppressed: DataFrame,
     return rank.winners(both, ["technique_id", "control_id", "source"], [F.asc("remapped"), F.asc("original")]).drop("original")
 
 
-def corrected(parsed: DataFrame, corrections: dict[str, list[tuple[str, str]]] | None) -> DataFrame:
-    """Benchmarks of one artifact that share an id and a release and yet no rule get the id that their document's path names; exactly one
-    part of the entry must occur in the path. benchmark_id keeps the published id."""
-    rows = parsed.withColumn("benchmark_id", F.col("stig_id"))
-    if not corrections:
-        return rows
-    ids_of = F.flatten(F.transform(F.coalesce("groups", F.array()), lambda g: F.coalesce(F.transform(g["Rule"], lambda r: r["_id"]), F.array().cast("array<string>"))))
-    keyed = rows.withColumn("_rules", ids_of)
-    key = ["stig_id", "version", "release_info", "source_artifact"]
-    a, b = keyed.select(*key, F.col("source_document").alias("d"), F.col("_rules").alias("ra")), keyed.select(*key, F.col("source_document").alias("e"), F.col("_rules").alias("rb"))
-    apart = a.join(b, key).filter("d <> e and size(ra) > 0 and size(rb) > 0 and not arrays_overlap(ra, rb)").select(F.col("d").alias("source_document"), F.lit(True).alias("_split")).distinct()
-    new = F.lit(None).cast("string")
-    for stig_id, fragments in corrections.items():
-        hits = F.array_compact(F.array(*[F.when(F.contains("source_document", F.lit(part)), F.lit(to)) for part, to in fragments]))
-        new = F.when((F.col("stig_id") == stig_id) & (F.size(hits) == 1), F.get(hits, 0)).otherwise(new)
-    return keyed.join(apart, "source_document", "left").withColumn("stig_id", F.when(F.col("_split"), F.coalesce(new, "stig_id")).otherwise(F.col("stig_id"))).drop("_split", "_rules").select(*rows.columns)
-
-
 def benchmark_tables(found: DataFrame, corrections: dict | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
     """(stigs, stig_rules and rule_cci; counters). found: archives.benchmark_documents()."""
     readable = documents.benchmarks(found.filter("content is not null").withColumn("path", F.col("source_document"))).cache()
     parsed = readable.filter("stig_id is not null").withColumn("kind", ids.document_kind(F.col("status"), F.col("stig_id"), F.col("title")))
     kinds = {r.kind: r["count"] for r in parsed.groupBy("kind").count().collect()}  # four kinds
-    wanted = corrected(parsed.filter("kind = 'stig'"), corrections)
-    wanted = wanted.withColumn("arrival", F.struct("source_artifact", F.coalesce("source_member", F.lit("")).alias("m"), "source_document"))
-    wanted = wanted.withColumn("major", ids.major(F.col("version"))).withColumn("release", ids.release_number(F.col("release_info"))).withColumn("is_library", F.col("origin") == "library")
-    wanted = wanted.withColumn("artifact", F.col("source_artifact"))
-    winners = rank.contest(wanted, ["stig_id", "version"], major="major", release="release", is_library="is_library", status_date="status_date", artifact="artifact", arrival="arrival")
+    wanted = parsed.filter("kind = 'stig'").withColumn("arrival", F.concat_ws("\0", "source_artifact", F.coalesce("source_member", F.lit("")), "source_document"))
+    wanted = wanted.withColumn("major", ids.major(F.col("version"))).withColumn("is_library", F.col("origin") == "library")
+    wanted = wanted.withColumn("release", F.struct(F.col("major"), ids.release_number(F.col("release_info")).alias("number")))
+    rule_ids = F.flatten(F.transform(F.coalesce("groups", F.array()), lambda g: F.coalesce(F.transform(g["Rule"], lambda r: r["_id"]), F.array().cast("array<string>"))))
+    settled = arbitration.settled(wanted.withColumn("rules", rule_ids).withColumn("artifact", F.col("source_artifact")).withColumn("path", F.col("source_document")), corrections)
+    # The published id stays beside the one that a correction gave.
+    winners = settled.winners.withColumn("benchmark_id", F.col("stig_id")).withColumn("stig_id", F.col("final_id")).drop("rules", "final_id", "turn", "pair").cache()
+    settling = settled.counters()
     kept = rank.lifecycle(winners, "stig_id", major="major", is_library="is_library").cache()
-    rows, rejects = documents.rules(kept, ["stig_id", "version", "major", "is_library", "status_date"])
+    rows = documents.rules(kept, ["stig_id", "version", "major", "is_library", "status_date"])
     order = [F.desc_nulls_last("status_date"), F.desc("is_library"), F.asc("stig_id"), F.desc("major"), F.asc("group_pos"), F.asc("rule_pos")]
-    claimed = rank.claims(rows, "rule_id", order, ["stig_id"]).cache()
+    claimed = rank.claims(rows.filter("not rejected"), "rule_id", order, ["stig_id"]).cache()
     held = claimed.filter("held")
     stigs = kept.select("stig_id", "version", "title", "benchmark_id", "release_info", ids.release_label(F.col("version"), F.col("release_info")).alias("release_label"), ids.keywords(F.col("title"), F.col("stig_id")).alias("product_keywords"), "origin", "source_artifact", "source_member", F.col("status").alias("xccdf_status"), F.col("status_date").alias("xccdf_status_date"))
     tables = {"stigs": stigs, "stig_rules": held.withColumn("stig_version", F.col("version")), "rule_cci": held.select("rule_id", F.explode("ccis").alias("cci_id"))}
-    counters = {"unreadable": readable.filter("stig_id is null").count() + found.filter("problem is not null").count(), "rules_skipped": rejects.count(), "rules_held_elsewhere": claimed.filter("not held").count(), "superseded": wanted.count() - winners.count(), "not_selected": winners.count() - kept.count(), **{f"kind_{k}": n for k, n in kinds.items()}}
+    counters = {"unreadable": readable.filter("stig_id is null").count() + found.filter("problem is not null").count(), "rules_skipped": rows.filter("rejected").count(), "rules_held_elsewhere": claimed.filter("not held").count(), "not_selected": winners.count() - kept.count(), "superseded": settling["same_key_departures"], **settling, **{f"kind_{k}": n for k, n in kinds.items()}}
     return tables, counters
 
 

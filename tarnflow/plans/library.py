@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions import ids
-from tarnflow.operators import changes, resolver
+from tarnflow.operators import arbitration, changes, digest, resolver
 from tarnflow.plans import build, questions
 from tarnflow.plans.queries import joined, t
 from tarnflow.plans.registry import query
@@ -28,24 +28,77 @@ def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.format_string('<x:Benchmark xmlns:x="u" id="B%d"><status date="2026-01-02">accepted</status><title>T</title><plain-text id="release-info">%s</plain-text><version>%s</version><Group id="G">', "o_orderkey", F.col("o_totalprice").cast("int").cast("string"), "o_orderstatus")
     orders = t(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     files = orders.select("o_orderkey", F.concat(F.regexp_replace(head, "x:Benchmark xmlns:x", "Benchmark xmlns:x"), rules, F.lit("</Group></Benchmark>")).alias("content"))
-    kept, rejects = documents.rules(documents.benchmarks(files).withColumnRenamed("release_info", "release"), ["o_orderkey", "version", "release"])
-    both = kept.withColumn("rejected", F.lit(False)).unionByName(rejects.withColumn("rejected", F.lit(True)))
+    both = documents.rules(documents.benchmarks(files).withColumnRenamed("release_info", "release"), ["o_orderkey", "version", "release"])
     bare = F.col("rejected")
     return both.select("o_orderkey", "version", F.col("rule_pos").alias("place"), "rule_id", F.when(~bare, F.col("severity_cat")).alias("cat"), "rejected", F.when(~bare, joined("ccis")).alias("ccis"), "release")
 
 
-@query("""with o as (select o_orderkey as k, o_custkey, list(distinct l_partkey) as parts from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
-a as (select distinct a.k from o a join o b on a.o_custkey = b.o_custkey and a.k <> b.k and not list_has_any(a.parts, b.parts))
-select k as o_orderkey, 'C' || (o_custkey % 10) as published, case when k in (select k from a) and o_custkey % 10 < 2 and (k % 3 = 0) then 'C' || (o_custkey % 10) || '_third' else 'C' || (o_custkey % 10) end as stig_id from o""")
+_CLAIMS = """with o as (select o_orderkey as k, 'C' || (o_custkey % 10) as pub, year(o_orderdate)::varchar as ver, o_custkey, o_custkey::varchar as artifact, o_orderstatus = 'F' as lib, strftime(o_orderdate, '%Y-%m-%d') as dated,
+    case when o_orderkey % 3 = 0 then 'third' when o_orderkey % 3 = 1 then 'other' end as part, list(distinct l_partkey) as parts from orders join lineitem on l_orderkey = o_orderkey group by all),
+p as (select a.pub, a.ver, min((a.k, b.k)) as ks from o a join o b on a.pub = b.pub and a.ver = b.ver and a.o_custkey = b.o_custkey and a.k < b.k and not list_has_any(a.parts, b.parts) group by 1, 2),
+q as (select o.*, struct_extract_at(ks, 1) as ka, struct_extract_at(ks, 2) as kb from o left join p using (pub, ver)),
+v as (select q.pub, q.ver, max(part) filter (where k = ka) as pa, max(part) filter (where k = kb) as pb from q group by 1, 2),
+d as (select q.*, case when ka is null then 'single' when substr(pub, 2)::int >= 5 or pa is null or pb is null then 'unmapped' when pa = pb then 'occupied' else 'split' end as verdict from q join v using (pub, ver)),
+f as (select *, case when verdict <> 'split' then pub when part is not null then pub || '_' || part end as final, verdict = 'split' and k in (ka, kb) as half from d),
+g as (select *, row_number() over (partition by final, ver order by not half, k) as seq, row_number() over (partition by final, ver order by lib desc, dated desc, artifact desc, not half, k) = 1 and final is not null as kept from f)"""
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents: what a customer ordered in a year claims one of ten ids, with the parts as rules."""
+    held = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("part")), F.col("l_orderkey") == F.col("o_orderkey"))
+    docs = held.groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").agg(F.collect_set("part").alias("rules"))
+    path = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "third/").when(F.col("o_orderkey") % 3 == 1, "other/").otherwise("-/"), F.col("o_orderkey").cast("string"))
+    return docs.select(
+        F.concat(F.lit("C"), (F.col("o_custkey") % 10).cast("string")).alias("stig_id"), F.year("o_orderdate").cast("string").alias("version"), F.col("o_orderkey").alias("arrival"), F.col("o_custkey").cast("string").alias("artifact"),
+        F.lit(1).alias("release"), (F.col("o_orderstatus") == "F").alias("is_library"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("status_date"), path.alias("path"), "rules")
+
+
+_CLAIMED = {f"C{k}": [("third/", f"C{k}_third"), ("other/", f"C{k}_other")] for k in range(5)}
+
+
+@query(_CLAIMS + """select k as o_orderkey, pub as published, ver as version, verdict, final as stig_id, kept from g""")
 def corrected_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one artifact and id that share no rule get the id that their path names; the published one stays beside it."""
-    held = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rules = F.collect_set(F.struct(F.col("l_partkey").cast("string").alias("_id")))
-    docs = held.groupBy("o_orderkey", "o_custkey").agg(F.array(F.struct(rules.alias("Rule"))).alias("groups"))
-    path = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "third/").otherwise("other/"), F.col("o_orderkey").cast("string"))
-    parsed = docs.select("o_orderkey", F.concat(F.lit("C"), (F.col("o_custkey") % 10).cast("string")).alias("stig_id"), F.lit("1").alias("version"), F.lit("R1").alias("release_info"), F.col("o_custkey").cast("string").alias("source_artifact"), path.alias("source_document"), "groups")
-    found = build.corrected(parsed, {f"C{k}": [("third/", f"C{k}_third")] for k in range(2)})
-    return found.select("o_orderkey", F.col("benchmark_id").alias("published"), "stig_id")
+    """The first two documents of an id, artifact and release that share no rule part the id; all others follow or are discarded."""
+    found = arbitration.settled(_claims(spark, sf_dir), _CLAIMED)
+    docs = found.documents.join(found.winners.select("arrival", F.lit(True).alias("kept")), "arrival", "left")
+    return docs.select(F.col("arrival").alias("o_orderkey"), F.col("stig_id").alias("published"), "version", "verdict", F.col("final_id").alias("stig_id"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query(_CLAIMS + """, l as (select *, (lib, dated, artifact, -seq) as own, max((lib, dated, artifact, -seq)) over (partition by final, ver order by seq rows between unbounded preceding and 1 preceding) as lead from g where final is not null),
+x as (select *, struct_extract_at(greatest(own, lead), 1) as by_lib, struct_extract_at(least(own, lead), 1) as who_lib from l where lead is not null),
+n as (select final, ver, count(*) filter (where by_lib and not who_lib) as superseded_by_library, count(*) filter (where not (by_lib and not who_lib)) as superseded_same_key from x group by 1, 2)
+select final as stig_id, ver as version, max(k) filter (where kept) as winner, coalesce(any_value(superseded_by_library), 0) as superseded_by_library, coalesce(any_value(superseded_same_key), 0) as superseded_same_key, 0::bigint as differs
+from g left join n using (final, ver) where final is not null group by 1, 2""")
+def arbitration_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arbitration replayed event by event, and how often the plan differs from it."""
+    docs = _claims(spark, sf_dir)
+    replay = arbitration.replayed(docs, _CLAIMED)
+    differs = arbitration.disagreements(arbitration.settled(docs, _CLAIMED), replay).groupBy("final_id", "version").agg(F.count("*").alias("differs"))
+    told = replay.filter("final_id is not null").groupBy("final_id", "version").agg(
+        F.max(F.when(F.col("fate") == "kept", F.col("arrival"))).alias("winner"), *[F.count_if(F.col("fate") == c).alias(c) for c in ("superseded_by_library", "superseded_same_key")])
+    return told.join(differs, ["final_id", "version"], "left").na.fill(0, ["differs"]).withColumnRenamed("final_id", "stig_id")
+
+
+@query("""with o as (select 'orders' as name, 'o_custkey:bigint:' || coalesce(length(o_custkey::varchar) || '=' || o_custkey, '-') || ';o_orderkey:bigint:' || length(o_orderkey::varchar) || '=' || o_orderkey || ';o_orderpriority:string:' || coalesce(length(o_orderpriority) || '=' || o_orderpriority, '-') || ';o_orderstatus:string:' || coalesce(length(o_orderstatus) || '=' || o_orderstatus, '-') || ';' as r from orders),
+d as (select 'documents', 'doc_id:bigint:' || length(doc_id::varchar) || '=' || doc_id || ';lang:string:' || coalesce(length(lang) || '=' || lang, '-') || ';text:string:' || coalesce(length(text) || '=' || text, '-') || ';' from documents),
+h as (select name, sha256(r) as h from (select * from o union all select * from d)),
+n as (select name, ('0x' || substr(h, 31, 8))::bigint % 64 as part, ('0x' || substr(h, 1, 15))::bigint as a, ('0x' || substr(h, 16, 15))::bigint as b from h)
+select name, part::int as part, count(*) as rows, sum(a)::varchar as a, sum(b)::varchar as b from n group by 1, 2""")
+def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of a digest that no order, file or partitioning changes."""
+    orders = t(spark, sf_dir, "orders").select("o_orderstatus", "o_custkey", "o_orderkey", "o_orderpriority").repartition(5)
+    docs = t(spark, sf_dir, "documents").select("text", "lang", "doc_id")
+    found = digest.parts(orders).withColumn("name", F.lit("orders")).unionByName(digest.parts(docs).withColumn("name", F.lit("documents")))
+    return found.select("name", "part", "rows", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+
+
+@query("""select o_orderkey, o_orderstatus, 'one' as side, 1::bigint as times from orders where o_orderkey % 100 = 7 union all select o_orderkey, 'X', 'other', 1 from orders where o_orderkey % 100 = 7 union all select o_orderkey, o_orderstatus, 'other', 2 from orders where o_orderkey % 1000 = 11""")
+def digest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed and repeated rows, found in the parts whose sums differ."""
+    one = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    changed = one.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 100 == 7, "X").otherwise(F.col("o_orderstatus")))
+    more = one.filter("o_orderkey % 1000 = 11")
+    return digest.differing(one, changed.unionByName(more).unionByName(more).repartition(3))
 
 
 @query("""with m as (select distinct l_partkey as p, l_suppkey as c from lineitem), e as (select p_partkey as p, p_partkey + 1 as q from part where p_partkey % 10 = 4),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from tarnflow.functions import ids, text
 from tarnflow.operators import changes
 from tarnflow.plans.queries import joined, t
 from tarnflow.plans.registry import query
+from tarnflow.session import shared_dir
 
 
 @query("""select o_orderkey, case when o_orderpriority in ('1-URGENT') then 'I' when o_orderpriority in ('2-HIGH', '3-MEDIUM') then 'II' else 'III' end as cat, o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') as known from orders""")
@@ -214,25 +217,54 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query()
-def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmarks out of a hand-made zip of zips, as rows: a fixture of three members that reads no table."""
-    import io
-    import zipfile
+def _archiver(folder: str):
+    """Documents of a group as an archive of archives: one inner archive a language, and one that is damaged. Every second outer archive is compressed."""
 
-    def zipped(files: dict[str, bytes]) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for name, data in files.items():
-                z.writestr(name, data)
-        return out.getvalue()
+    def write(rows):
+        import io
+        import zipfile
 
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        group, inner = rows["group"][0].as_py(), {}
+        for r in sorted(rows.to_pylist(), key=lambda r: r["doc_id"]):
+            inner.setdefault(r["lang"], []).append(r)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if group % 2 else zipfile.ZIP_STORED) as outer:
+            for lang, docs in sorted(inner.items()):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    for r in docs:
+                        z.writestr(f"d/{r['doc_id']}{'_Manual' if r['doc_id'] % 3 == 0 else ''}-xccdf.xml", r["text"])
+                outer.writestr(f"{lang}.zip", held.getvalue())
+            outer.writestr("broken.zip", b"no archive")
+        name, aside = f"U_SRG-STIG_Library_{group}.zip", f"{base}/.{uuid.uuid4().hex}"
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(aside) as f:
+            f.write(out.getvalue())
+        store.move(aside, f"{base}/{name}")
+        return pa.table({"path": [f"{folder}/{name}"], "name": [name], "length": [out.tell()]})
+
+    return write
+
+
+@query("""with d as (select doc_id, lang, text, doc_id // 200 as g from documents),
+m as (select *, bool_or(doc_id % 3 = 0) over (partition by g, lang) as manual from d)
+select 'U_SRG-STIG_Library_' || g || '.zip' as source_artifact, 'library' as origin, lang || '.zip' as source_member, 'd/' || doc_id || case when doc_id % 3 = 0 then '_Manual' else '' end || '-xccdf.xml' as source_document, sha256(text) as sha256, false as damaged
+from m where doc_id % 3 = 0 or not manual
+union all select distinct 'U_SRG-STIG_Library_' || g || '.zip', 'library', 'broken.zip', null, null, true from d""")
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in archives of archives, read back by byte ranges of the outer ones."""
     from tarnflow.sources import archives
 
-    inner = zipped({"a/U_x_Manual-xccdf.xml": b"<Benchmark id='x'/>", "a/other.xml": b"<html/>"})
-    plain = zipped({"b/y.xml": b"<b:Benchmark xmlns:b='u' id='y'/>"})
-    outer = zipped({"one.zip": inner, "two.zip": plain, "broken.zip": b"?"})
-    rows = spark.createDataFrame([("library", "U_SRG-STIG_Library_July_2026.zip", bytearray(outer))], "kind string, name string, content binary")
-    return archives.benchmark_documents(rows).select("source_artifact", "origin", "source_member", "source_document", F.col("problem").isNotNull().alias("damaged"))
+    folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.expr("doc_id div 200").alias("group"))
+    written = docs.groupBy("group").applyInArrow(_archiver(folder), "path string, name string, length long")  # 200 documents each
+    written.write.parquet(f"{folder}/written")
+    inventory = spark.read.parquet(f"{folder}/written").withColumn("kind", F.lit("library"))
+    found = archives.benchmark_documents(inventory, 1 << 16)
+    return found.select("source_artifact", "origin", "source_member", "source_document", F.sha2("content", 256).alias("sha256"), F.col("problem").isNotNull().alias("damaged"))
 
 

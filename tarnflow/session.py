@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,17 @@ def session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> SparkSessi
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset and the driver runs all tasks.
+    Checkpoints are written there too."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tarnflow-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(base)
+    return (base if "://" in base else "file://" + base).rstrip("/")

@@ -1,25 +1,22 @@
-"""Files and archives: an inventory by name and root element, benchmarks out of zips and zips of zips, hashes, published listings."""
+"""Files and archives: an inventory by name and root element, benchmarks out of zips and zips of zips (nested.py), hashes, published listings."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnflow.functions import ids
+from tarnflow.sources import nested
 from tarnflow.sources.documents import root_tag
 
-MEMBERS = "source_artifact string, origin string, source_member string, source_document string, content string, problem string"
-
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, length, content) of every file directly in the folder. A name with a part cui_ is an error."""
-    rows = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+    """(path, name, length, content) of every file directly in the folder; content is read of XML files alone, as archives may be of any size.
+    A name with a part cui_ is an error."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")
+    texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][mM][lL]").load(folder).select("path", "content")
+    rows = files.join(texts, "path", "left").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
     guard = F.when(ids.holds_barred_part(F.col("name")), F.raise_error(F.concat(F.lit("controlled content is out of scope: "), F.col("name"))).cast("string")).otherwise(F.col("name"))
     return rows.withColumn("name", guard)
 
@@ -53,67 +50,13 @@ def source_status(inventory: DataFrame) -> DataFrame:
 def source_files(files: DataFrame) -> DataFrame:
     """(name, sha256, size); a name that is there twice is an error."""
     twice = F.when(F.count("*").over(Window.partitionBy("name")) > 1, F.raise_error(F.concat(F.lit("two files named "), F.col("name"))).cast("string")).otherwise(F.col("name"))
-    return files.select(twice.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
-
-
-def _is_benchmark(data: bytes) -> bool:
-    from xml.etree import ElementTree
-
-    if b"<!doctype" in data[:4096].lower():
-        return False
-    try:
-        for _, element in ElementTree.iterparse(io.BytesIO(data), events=("start",)):
-            return element.tag.rsplit("}", 1)[-1] == "Benchmark"
-    except ElementTree.ParseError:
-        pass
-    return False
-
-
-def _chosen(z: zipfile.ZipFile) -> list[str]:
-    """Benchmarks of one zip: manual ones by name, else any named so, else by root element."""
-    named = [n for n in z.namelist() if n.lower().endswith("xccdf.xml")]
-    return [n for n in named if "manual" in n.lower()] or named or [n for n in z.namelist() if n.lower().endswith(".xml") and _is_benchmark(z.read(n))]
-
-
-def _opened(kind: str, name: str, data: bytes) -> Iterator[tuple]:
-    if kind == "loose":
-        yield name, "loose", None, name, data.decode("utf-8", "replace"), None
-        return
-    origin = {"library": "library", "sunset": "sunset"}.get(kind, "product_zip")
-    try:
-        outer = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        yield name, origin, None, None, None, f"{name}: {e}"
-        return
-    inner = [n for n in outer.namelist() if n.lower().endswith(".zip")]
-    own = [] if kind in ("library", "sunset") else [(None, outer)]
-    for n in inner:
-        try:
-            own.append((n, zipfile.ZipFile(io.BytesIO(outer.read(n)))))
-        except (zipfile.BadZipFile, OSError) as e:
-            yield name, origin, n, None, None, f"{n}: {e}"
-    for member, z in own:
-        for n in _chosen(z):
-            try:
-                yield name, origin, member or n, n, z.read(n).decode("utf-8", "replace"), None
-            except (zipfile.BadZipFile, OSError, RuntimeError) as e:
-                yield name, origin, member, n, None, f"{n}: {e}"
-
-
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in MEMBERS.split(", ")]
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            for row in _opened(r.kind, r.name, r.content):
-                if row[3] and any(p.lower().startswith("cui_") for p in row[3].replace("\\", "/").split("/")):
-                    raise ValueError(f"controlled content is out of scope: {row[3]}")
-                yield pd.DataFrame([row], columns=columns)
-
-
-def benchmark_documents(inventory: DataFrame) -> DataFrame:
-    """Every benchmark with where it came from; a damaged archive or member is a row with `problem`. One archive is one row of its input,
-    so archives are opened side by side and each is read whole by one task."""
-    return inventory.filter("kind is not null").select("kind", "name", "content").mapInPandas(_members, MEMBERS)
+    return nested.hashed(files.select("path", "name", F.col("length").alias("size"))).select(twice.alias("name"), "sha256", "size")
+
+
+def benchmark_documents(inventory: DataFrame, range_bytes: int = nested.RANGE_BYTES) -> DataFrame:
+    """Every benchmark of an inventory (kind, name, path, length) with where it came from; a damaged archive or member is a row with `problem`.
+    Archives are read by ranges, each by a task of its own."""
+    return nested.read_documents(inventory.sparkSession, inventory, range_bytes)
 
 
 def extracted(documents: DataFrame) -> DataFrame:

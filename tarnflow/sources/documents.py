@@ -34,7 +34,8 @@ def benchmarks(files: DataFrame) -> DataFrame:
     status is the first one; release_info the last plain text with that id.
     """
     x = F.from_xml(safe_xml(F.col("content")), BENCHMARK, _XML)
-    parsed = files.withColumn("x", F.when(root_tag(F.col("content")) == "Benchmark", x)).withColumn("x", F.when(F.col("x._corrupt_record").isNull(), F.col("x")))
+    # The generator keeps the optimizer from parsing the document again for each column that reads of it.
+    parsed = files.select("*", F.explode(F.array(F.when(root_tag(F.col("content")) == "Benchmark", x))).alias("x")).withColumn("x", F.when(F.col("x._corrupt_record").isNull(), F.col("x")))
     info = F.filter(F.col("x").getField("plain-text"), lambda p: p["_id"] == "release-info")
     return parsed.select(
         *[c for c in files.columns if c != "content"],
@@ -44,8 +45,8 @@ def benchmarks(files: DataFrame) -> DataFrame:
     )
 
 
-def rules(parsed: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rules, rejects) of parsed benchmarks, in document order (group_pos, rule_pos). A rule without a severity is a reject."""
+def rules(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """The rules of parsed benchmarks, in document order (group_pos, rule_pos). A rule without a severity is `rejected`."""
     groups = parsed.select(*keep, F.posexplode("groups").alias("group_pos", "g"))
     each = groups.select(*keep, "group_pos", F.col("g._id").alias("group_id"), F.posexplode("g.Rule").alias("rule_pos", "r"))
     level = F.col("r._severity")
@@ -55,7 +56,7 @@ def rules(parsed: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
         F.trim("r.title").alias("title"), F.trim("r.description").alias("discussion"), F.trim("r.fixtext._VALUE").alias("fix_text"),
         F.trim(F.get(F.col("r.check"), 0)["check-content"]).alias("check_text"), F.array_distinct(F.transform(ccis, lambda v: F.trim(v))).alias("ccis"),
     )
-    return rows.filter("severity_level is not null"), rows.filter("severity_level is null")
+    return rows.withColumn("rejected", F.col("severity_level").isNull())
 
 
 def cci_list(spark: SparkSession, path: str) -> DataFrame:

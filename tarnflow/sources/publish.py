@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.operators import digest
 from tarnflow.schema import SCHEMA_VERSION, TABLES
 
 
@@ -34,12 +36,13 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> dic
         for name in TABLES:
             df = tables.get(name)
             shaped(df, name).write.parquet(f"{build}/{name}") if df is not None else spark.createDataFrame([], TABLES[name][1]).write.parquet(f"{build}/{name}")
-        for name, (_, schema) in TABLES.items():
-            counts[name] = spark.read.schema(schema).parquet(f"{build}/{name}").count()
+        digests = {}
+        for name, (_, schema) in TABLES.items():  # what was written is read once more, and its digest counts the rows
+            digests[name], counts[name] = digest.digest(spark.read.schema(schema).parquet(f"{build}/{name}"))
     except Exception:
         fs.delete(at, True)
         raise
-    _write_pointer(spark, root, {"build": build, "schema_version": SCHEMA_VERSION, "rows": counts})
+    _write_pointer(spark, root, {"build": build, "schema_version": SCHEMA_VERSION, "rows": counts, "digests": digests})
     return counts
 
 
@@ -100,10 +103,12 @@ class KnowledgeBase:
 
 
 def content_hash(spark: SparkSession, build: str) -> str:
-    """One hash of all of a build's data files, by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(build)
-    hashed = files.select(F.concat_ws(":", F.element_at(F.split("path", "/"), -2), F.sha2("content", 256)).alias("h"))
-    return hashed.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256)).first()[0]
+    """One hash of the rows of all of a build's tables, however they lie in files."""
+    return _one_hash({name: digest.digest(spark.read.schema(schema).parquet(f"{build}/{name}"))[0] for name, (_, schema) in TABLES.items()})
+
+
+def _one_hash(digests: dict[str, str]) -> str:
+    return hashlib.sha256(json.dumps(digests, sort_keys=True).encode()).hexdigest()
 
 
 def install(spark: SparkSession, candidate: str, root: str, sha256: str | None = None) -> dict[str, int]:
@@ -127,7 +132,7 @@ def release_doc(spark: SparkSession, root: str, tag: str, date: str) -> dict:
     found = pointer(spark, root)
     meta = spark.read.schema(TABLES["ingest_meta"][1]).parquet(f"{found['build']}/ingest_meta").filter(~F.startswith("source_name", F.lit("stig:")))
     versions = {r.source_name: r.source_version for r in meta.orderBy("source_name").collect()}
-    return {"tag": tag, "date": date, "schema_version": found["schema_version"], "rows": found["rows"], "sources": versions, "sha256": content_hash(spark, found["build"])}
+    return {"tag": tag, "date": date, "schema_version": found["schema_version"], "rows": found["rows"], "sources": versions, "digests": found["digests"], "sha256": _one_hash(found["digests"])}
 
 
 def needs_release(before: dict | None, now: dict) -> tuple[bool, list[str]]:
@@ -136,6 +141,8 @@ def needs_release(before: dict | None, now: dict) -> tuple[bool, list[str]]:
         return True, ["first release"]
     notes = [f"{k}: {before['sources'].get(k)} -> {now['sources'].get(k)}" for k in sorted({*before["sources"], *now["sources"]}) if before["sources"].get(k) != now["sources"].get(k)]
     notes += [f"{k}: {before['rows'].get(k, 0)} -> {n} rows" for k, n in now["rows"].items() if before["rows"].get(k, 0) != n]
+    changed = [k for k, h in now["digests"].items() if before["digests"].get(k) != h and before["rows"].get(k, 0) == now["rows"][k]]
+    notes += [f"{k}: other content in {now['rows'][k]} rows" for k in changed]
     return bool(notes) or before["schema_version"] != now["schema_version"], notes
 
 
