@@ -7,14 +7,17 @@ they are compared, so they don't depend on how rows were dealt.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnflow.functions import ids, text
 from tarnflow.operators.rank import EPSILON
+from tarnflow.session import shared_dir
 
 FLOOR, PRODUCT_SHARE, VERSION_SHARE, DISTINCTIVE = 10.0, 0.8, 0.2, 0.05
 _SEPARATOR = re.compile(r",|\band\b", re.IGNORECASE)
@@ -103,42 +106,87 @@ def _weight(tokens: Column) -> Column:
     return F.aggregate(F.array_sort(F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_idf", t), F.lit(1.0)))), F.lit(0.0), lambda a, w: a + w)
 
 
+#: What the index adds to a benchmark's own columns.
+_TOKENS = ("product", "version_tokens", "document", "written", "covered")
+
+
 @dataclass
 class Corpus:
-    """What every request needs of the benchmarks, made once for a build of them: held() again for another build, release() when done."""
+    """What every request needs of the benchmarks, as an index on disk that is bound to a version of them: docs (benchmarks with their tokens),
+    postings (token, stig_id, version) and known (token, df), both in order of tokens, so that a request reads the row groups of its own."""
 
     docs: DataFrame
+    postings: DataFrame
     known: DataFrame
     n: int
     protected: set[tuple[str, str]]
-    columns: list[str]
+    version: str
+
+    @classmethod
+    def written(cls, stigs: DataFrame, path: str, version: str) -> "Corpus":
+        """Tokenise the benchmarks once and write the index to a new folder."""
+        spark = stigs.sparkSession
+        corpus(stigs).write.parquet(f"{path}/docs")
+        docs = spark.read.parquet(f"{path}/docs")
+        postings = docs.select(F.explode("document").alias("token"), "stig_id", "version")
+        _by_token(postings).write.option("parquet.bloom.filter.enabled#token", "true").parquet(f"{path}/postings")
+        _by_token(spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.count("*").alias("df"))).write.parquet(f"{path}/known")
+        straddling_pairs(docs).coalesce(1).write.parquet(f"{path}/pairs")
+        docs.agg(F.count("*").alias("n")).withColumn("corpus_version", F.lit(version)).coalesce(1).write.parquet(f"{path}/meta")  # last: an index without it isn't whole
+        return cls.opened(spark, path, version)
 
     @classmethod
-    def held(cls, stigs: DataFrame) -> "Corpus":
-        docs = corpus(stigs).persist()
-        known = frequencies(docs).persist()
-        return cls(docs, known, docs.count(), {(r.before, r.after) for r in straddling_pairs(stigs).collect()}, stigs.columns)  # word pairs inside titles: a few
+    def opened(cls, spark: SparkSession, path: str, version: str) -> "Corpus":
+        """The index in a folder; LookupError if it is of another version or isn't whole."""
+        try:
+            meta = spark.read.parquet(f"{path}/meta").first()
+        except AnalysisException as e:
+            raise LookupError(f"no index of {version} in {path}") from e
+        if meta.corpus_version != version:
+            raise LookupError(f"the index in {path} is of {meta.corpus_version}, not of {version}")
+        read = {t: spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "known", "pairs")}
+        return cls(read["docs"], read["postings"], read["known"], meta.n, {(r.before, r.after) for r in read["pairs"].collect()}, version)  # word pairs inside titles: a few
 
-    def release(self) -> None:
-        self.docs.unpersist()
-        self.known.unpersist()
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.docs.columns if c not in _TOKENS]
+
+
+def _by_token(df: DataFrame) -> DataFrame:
+    """df in order of tokens; a token that is in most titles is spread over files by its rows."""
+    return df.repartitionByRange("token", *[c for c in df.columns if c != "token"]).sortWithinPartitions("token")
 
 
 def resolve(stigs: DataFrame | Corpus, descriptions: DataFrame, rules: Rules | None = None, limit: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(hits, verdicts) for descriptions (request, description). stigs: the benchmarks, or a Corpus of them that many calls share.
+    """(hits, verdicts) for descriptions (request, description). stigs: the index of the benchmarks, or the benchmarks themselves, of which an
+    index is then written, used and deleted; what is returned is local to the driver in that case, as it has the requests' size.
 
     hits: request, benchmark columns, score, matched_on, high_confidence, applicable, reason, wanted, tied_omitted: all rows of the `limit`
     best benchmarks of each request. verdicts: request, fragment_pos, fragment, verdict (uncovered or version-agnostic), benchmarks,
     covered_versions, fragment_confident.
     """
+    if isinstance(stigs, Corpus):
+        return _resolved(stigs, descriptions, rules, limit)
+    spark = stigs.sparkSession
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    try:
+        found = _resolved(Corpus.written(stigs, path, path), descriptions, rules, limit)
+        return tuple(spark.createDataFrame(df.collect(), df.schema) for df in found)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def _resolved(held: Corpus, descriptions: DataFrame, rules: Rules | None, limit: int) -> tuple[DataFrame, DataFrame]:
     rules, spark = (rules or Rules()).checked(), descriptions.sparkSession
-    held = stigs if isinstance(stigs, Corpus) else Corpus.held(stigs)
     docs, known, n, protected, columns = held.docs, held.known, held.n, held.protected, held.columns
     parts = [(r.request, k, f, *without_build(f, rules)) for r in descriptions.collect() for k, f in enumerate(split(r.description, protected) or [r.description])]  # requests
     asked = spark.createDataFrame(parts, "request long, fragment_pos int, fragment string, stripped string, build int")
     asked = asked.withColumn("q", text.normalized(F.col("stripped"))).select("*", F.col("q.product").alias("qp"), F.col("q.version").alias("qv"), text.version_majors(F.col("stripped")).alias("qm")).drop("q")
+    asked = spark.createDataFrame(asked.collect(), asked.schema)  # requests: few rows, and read many times from here
     # Each query token's frequency; the corpus is met only by rows that share a token, an expansion's token or an alias.
-    wanted = asked.select("request", "fragment_pos", F.explode(F.array_distinct(F.concat("qp", "qv", F.transform("qv", ids.unpadded)))).alias("token")).join(known, "token", "left")
+    wanted = asked.select("request", "fragment_pos", F.explode(F.array_distinct(F.concat("qp", "qv", F.transform("qv", ids.unpadded)))).alias("token"))
+    wanted = wanted.join(known.filter(F.col("token").isin([r.token for r in wanted.distinct().select("token").collect()])), "token", "left")
     idf = F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1
     maps = wanted.filter("df is not null").groupBy("request", "fragment_pos").agg(F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("_df"), F.map_from_entries(F.collect_list(F.struct(F.col("token"), idf.alias("idf")))).alias("_idf"))
     asked = asked.join(maps, ["request", "fragment_pos"], "left").withColumn("_df", F.coalesce("_df", F.create_map().cast("map<string,bigint>"))).withColumn("_idf", F.coalesce("_idf", F.create_map().cast("map<string,double>")))
@@ -147,7 +195,8 @@ def resolve(stigs: DataFrame | Corpus, descriptions: DataFrame, rules: Rules | N
     asked = spark.createDataFrame(asked.collect(), asked.schema)  # requests: few rows, and read many times from here
     keys = F.array_distinct(F.concat("qp", "qv", F.transform("qv", ids.unpadded), F.flatten(F.transform("qp", lambda t: F.coalesce(text.expansion_of(t), F.array().cast("array<string>"))))))
     sought = asked.select("request", "fragment_pos", F.explode(keys).alias("token"))
-    met = docs.select("stig_id", "version", F.explode("document").alias("token")).join(sought, "token").select("stig_id", "version", "request", "fragment_pos").distinct()
+    listed = held.postings.filter(F.col("token").isin([r.token for r in sought.select("token").distinct().collect()]))  # the requests' tokens
+    met = listed.join(sought, "token").select("stig_id", "version", "request", "fragment_pos").distinct()
     for_alias = _alias_rows(spark, asked, rules)
     met = met.unionByName(docs.select("stig_id", "version").join(for_alias.select("stig_id", "request", "fragment_pos"), "stig_id")).distinct()
     both = met.join(docs, ["stig_id", "version"]).join(asked, ["request", "fragment_pos"]).join(for_alias, ["request", "fragment_pos", "stig_id"], "left")
@@ -157,11 +206,11 @@ def resolve(stigs: DataFrame | Corpus, descriptions: DataFrame, rules: Rules | N
     share = F.when(F.size("qv") == 0, 1.0).otherwise(F.size(text.matched_versions(F.col("qv"), F.col("version_tokens"))) / F.size("qv"))
     by_product = F.when(F.size(qp_met) == 0, 0.0).otherwise(PRODUCT_SHARE * _weight(qp_met) / _weight(F.col("qp")) + VERSION_SHARE * share)
     score = F.when(F.col("alias").isNotNull(), 100.0).otherwise(F.round(100.0 * F.when(F.size("qp") == 0, by_version).otherwise(by_product), 9))
-    held = F.forall("rare", lambda t: text.satisfied(t, F.col("document")))
-    sure = (F.size("rare") > 0) & held & (F.size(text.matched_versions(F.col("qv"), F.col("document"))) == F.size("qv"))
+    has_rare = F.forall("rare", lambda t: text.satisfied(t, F.col("document")))
+    sure = (F.size("rare") > 0) & has_rare & (F.size(text.matched_versions(F.col("qv"), F.col("document"))) == F.size("qv"))
     both = both.withColumn("score", score).filter(F.col("score") >= FLOOR)
     both = both.withColumn("confident", F.col("alias").isNotNull() | sure).withColumn("matched_on", F.when(F.col("alias").isNotNull(), F.concat(F.lit("alias:"), "alias")).otherwise("keyword"))
-    both = both.withColumn("unnamed", F.size(F.array_except("document", F.array_union("qp", "qv")))).withColumn("holds_rare", held)
+    both = both.withColumn("unnamed", F.size(F.array_except("document", F.array_union("qp", "qv")))).withColumn("holds_rare", has_rare)
     # The best fragment of each row: the first of equal ones.
     own = both.withColumn("_n", F.row_number().over(Window.partitionBy("request", "stig_id", "version").orderBy(F.desc("score"), "fragment_pos"))).filter("_n = 1").drop("_n")
     own = own.withColumn("a", applicability(F.col("stig_id"), F.col("version"), F.col("build"), rules)).select("*", "a.*")

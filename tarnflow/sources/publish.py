@@ -9,9 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators import digest
+from tarnflow.operators import digest, resolver
 from tarnflow.schema import SCHEMA_VERSION, TABLES
 
+#: The folder of a build's corpus index.
+CORPUS = "corpus_index"
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -24,6 +27,11 @@ def shaped(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
 
 
+def _version(build: str) -> str:
+    """A build's name, which its corpus index carries."""
+    return build.rstrip("/").rpartition("/")[2]
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> dict[str, int]:
     """Write every table under a new build folder, then point root/CURRENT at it in one overwriting rename. Returns each table's rows.
 
@@ -39,6 +47,7 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> dic
         digests = {}
         for name, (_, schema) in TABLES.items():  # what was written is read once more, and its digest counts the rows
             digests[name], counts[name] = digest.digest(spark.read.schema(schema).parquet(f"{build}/{name}"))
+        resolver.Corpus.written(spark.read.schema(TABLES["stigs"][1]).parquet(f"{build}/stigs"), f"{build}/{CORPUS}", _version(build))
     except Exception:
         fs.delete(at, True)
         raise
@@ -82,7 +91,7 @@ def readiness(spark: SparkSession, root: str) -> str:
     if found.get("schema_version") != SCHEMA_VERSION:
         return "schema_outdated"
     fs, _ = _fs(spark, root)
-    return "ready" if all(fs.exists(_fs(spark, f"{found['build']}/{t}")[1]) for t in TABLES) else "unreadable"
+    return "ready" if all(fs.exists(_fs(spark, f"{found['build']}/{t}")[1]) for t in [*TABLES, f"{CORPUS}/meta"]) else "unreadable"
 
 
 class KnowledgeBase:
@@ -97,7 +106,9 @@ class KnowledgeBase:
             raise LookupError(state)
         build = pointer(self.spark, self.root)["build"]
         if build != self.build:
-            self.tables = {t: self.spark.read.schema(s).parquet(f"{build}/{t}") for t, (_, s) in TABLES.items()}
+            # The index lies in the build's folder and names the build, so that a request never meets another build's words.
+            corpus = resolver.Corpus.opened(self.spark, f"{build}/{CORPUS}", _version(build))
+            self.tables = {t: self.spark.read.schema(s).parquet(f"{build}/{t}") for t, (_, s) in TABLES.items()} | {"corpus": corpus}
             self.build = build
         return self.tables
 
