@@ -30,7 +30,8 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
 
 def words(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.LargeStringArray, np.ndarray]:
     """(starts, distinct words, the number of each word among them): the runs of bytes that are inside a word, A-Z lower-cased."""
-    edges = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    edge = np.zeros(1, np.int8)
+    edges = np.diff(np.concatenate([edge, inside.view(np.int8), edge]))  # bytes, as there are as many as of text
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(LOWER[data[inside]])).dictionary_encode()

@@ -23,7 +23,7 @@ from tarnflow.llm.common import SALTS, drop_stored, lookup, ship, stored
 from tarnflow.llm.inverted import blocks, grouped, words
 
 #: Bytes of text of a block; a longer text is a block of its own.
-BLOCK_BYTES = 20_000_000
+BLOCK_BYTES = 12_000_000
 UNKNOWN = "und"
 # What parts pieces, what parts words within them.
 _PARTS_PIECES, _PARTS_WORDS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -47,7 +47,7 @@ def block_lists(texts: list[bytes], langs: list[str]) -> pa.Table:
     kind = _KIND[data]
     starts, distinct, codes = words(data, kind == 0)
     size = max(len(distinct), 1)
-    parted = np.concatenate([[0], np.cumsum(kind == 2)])[starts]  # separators of pieces before each word
+    parted = np.cumsum(kind == 2, dtype=np.int32)[starts]  # separators of pieces before each word
     positions = np.arange(len(starts)) + np.cumsum(np.diff(parted, prepend=parted[:1]) > 0)
     names, lang_codes = np.unique(np.array(langs, dtype=object), return_inverse=True)
     text_ends = np.cumsum([len(t) + 1 for t in texts])
@@ -99,27 +99,25 @@ def _grown(length: int):
         of = [frequent.filter(pc.equal(frequent["length"], k)) for k in range(1, length + 1)]
         columns = [c.combine_chunks() for c in (lists["code"], lists["positions"])]
         code, positions = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns)
-        ids = _ids(np.full(len(code), -1, np.int64), code.to_numpy().astype(np.int64), of[0])
-        ids, at = np.repeat(ids, np.diff(positions.offsets.to_numpy())), positions.flatten().to_numpy()
-        order = np.flatnonzero(ids >= 0)
+        # Words and phrases are numbered within the block; names gives their ids, -1 for what isn't frequent.
+        words = names = _ids(np.full(len(code), -1, np.int64), code.to_numpy().astype(np.int64), of[0])
+        number, at = np.repeat(np.arange(len(code)), np.diff(positions.offsets.to_numpy())), positions.flatten().to_numpy()
+        order = np.flatnonzero(names[number] >= 0)
         order = order[np.argsort(at[order], kind="stable")]
-        word_ids, word_at = phrase_ids, phrase_at = ids[order], at[order]
+        word, word_at = phrase, phrase_at = number[order], at[order]
         for k in range(1, length + 1):
             a, b = _joined(phrase_at + k, word_at)
-            prefix, last, start = phrase_ids[a], word_ids[b], phrase_at[a]
+            head, tail, start = phrase[a], word[b], phrase_at[a]
             if k > 1:  # the rest of the longer phrase must be frequent too, and so stands among the phrases of this length
                 rest, _ = _joined(start + 1, phrase_at)
-                prefix, last, start = prefix[rest], last[rest], start[rest]
-            # Ids are of any size: numbered within the block they make one key.
-            heads, head = np.unique(prefix, return_inverse=True)
-            tails, tail = np.unique(last, return_inverse=True)
-            size = max(len(tails), 1)
-            keys, which, n = np.unique(head.astype(np.int64) * size + tail, return_inverse=True, return_counts=True)
-            prefix, last = heads[keys // size], tails[keys % size]
+                head, tail, start = head[rest], tail[rest], start[rest]
+            size = max(len(words), 1)
+            keys, which, n = np.unique(head * size + tail, return_inverse=True, return_counts=True)
+            prefix, last = names[keys // size], words[keys % size]
             if k < length:
-                phrase_ids = _ids(prefix, last, of[k])[which]
-                kept = np.flatnonzero(phrase_ids >= 0)
-                phrase_ids, phrase_at = phrase_ids[kept], start[kept]
+                names = _ids(prefix, last, of[k])
+                kept = np.flatnonzero(names[which] >= 0)
+                phrase, phrase_at = which[kept], start[kept]
         block = (lists if lists.num_rows else frequent)["block"][0].as_py()
         return pa.table({"block": np.full(len(keys), block, np.int64), "prefix": prefix, "last": last, "n": n.astype(np.int64)})
 
