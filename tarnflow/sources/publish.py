@@ -152,8 +152,11 @@ def needs_release(before: dict | None, now: dict) -> tuple[bool, list[str]]:
         return True, ["first release"]
     notes = [f"{k}: {before['sources'].get(k)} -> {now['sources'].get(k)}" for k in sorted({*before["sources"], *now["sources"]}) if before["sources"].get(k) != now["sources"].get(k)]
     notes += [f"{k}: {before['rows'].get(k, 0)} -> {n} rows" for k, n in now["rows"].items() if before["rows"].get(k, 0) != n]
-    changed = [k for k, h in now["digests"].items() if before["digests"].get(k) != h and before["rows"].get(k, 0) == now["rows"][k]]
-    notes += [f"{k}: other content in {now['rows'][k]} rows" for k in changed]
+    old, new = before.get("digests"), now.get("digests")
+    if old is not None and new is not None:
+        notes += [f"{k}: other content in {now['rows'][k]} rows" for k, h in new.items() if old.get(k) != h and before["rows"].get(k, 0) == now["rows"][k]]
+    elif before.get("sha256") != now.get("sha256") and not notes:
+        notes.append("content: another hash")  # a release from before tables had digests
     return bool(notes) or before["schema_version"] != now["schema_version"], notes
 
 

@@ -171,3 +171,13 @@ def test_release_notes_and_report(spark):
     assert publish.needs_release(None, a)[0] and publish.needs_release(a, a) == (False, [])
     assert publish.needs_release(a, {**a, "sources": {"attack": "2"}}) == (True, ["attack: 1 -> 2"])
     assert "1 of 2 checks" in publish.report(spark.createDataFrame([("x", 0), ("y", 3)], "finding string, n long"))
+
+
+def test_other_content_with_equal_counts_is_a_release():
+    from tarnflow.sources import publish
+
+    old = {"sources": {}, "rows": {"stigs": 2, "ccis": 1}, "schema_version": "7", "sha256": "a", "digests": {"stigs": "x", "ccis": "y"}}
+    assert publish.needs_release(old, old) == (False, [])
+    assert publish.needs_release(old, old | {"sha256": "b", "digests": {"stigs": "z", "ccis": "y"}}) == (True, ["stigs: other content in 2 rows"])
+    bare = {k: v for k, v in old.items() if k != "digests"}
+    assert publish.needs_release(bare, old | {"sha256": "b"}) == (True, ["content: another hash"]) and publish.needs_release(bare, old) == (False, [])
