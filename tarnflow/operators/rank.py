@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnflow.operators import segments
+
 EPSILON = 1e-9
 
 
@@ -24,9 +26,8 @@ def contest(df: DataFrame, keys: list[str], *, major: str, release: str, is_libr
 def departures(df: DataFrame, keys: list[str], rank: Column, is_library: str, arrival: str) -> DataFrame:
     """Losers of a contest, binned against who led when they fell: one that arrives and loses falls to the leader then; a leader that is
     overtaken falls to who overtakes it. (keys, superseded_by_library, superseded_same_key)"""
-    seen = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     entry = F.struct(rank.alias("r"), (-F.col(arrival)).alias("a"), F.col(is_library).alias("lib"))
-    led = df.withColumn("_own", entry).withColumn("_lead", F.max(entry).over(seen))
+    led = segments.running(df.withColumn("_own", entry), keys, [F.asc(arrival)], F.col("_own"), "_lead", "max", inclusive=False)
     fell = led.filter("_lead is not null").withColumn("_by", F.when(F.col("_own") > F.col("_lead"), F.col("_own.lib")).otherwise(F.col("_lead.lib"))).withColumn("_who", F.when(F.col("_own") > F.col("_lead"), F.col("_lead.lib")).otherwise(F.col("_own.lib")))
     by_library = F.col("_by") & ~F.col("_who")
     return fell.groupBy(*keys).agg(F.count_if(by_library).alias("superseded_by_library"), F.count_if(~by_library).alias("superseded_same_key"))
@@ -44,12 +45,8 @@ def lifecycle(df: DataFrame, key: str, *, major: str, is_library: str) -> DataFr
 
 
 def claims(df: DataFrame, item: str, order: list[Column], holder: list[str]) -> DataFrame:
-    """Every row with `held`: whether it is the first claim of its item; losers carry the holder's columns as holder_<name>."""
-    w = Window.partitionBy(item).orderBy(*order)
-    out = df.withColumn("held", F.row_number().over(w) == 1)
-    for h in holder:
-        out = out.withColumn(f"holder_{h}", F.first(h).over(w))
-    return out
+    """Every row with `held`: whether it is the first claim of its item; rows carry the holder's columns as holder_<name>."""
+    return segments.firsts(df, [item], order, holder)
 
 
 def top_holders(losers: DataFrame, loser: str, holder: str, most: int = 3) -> DataFrame:

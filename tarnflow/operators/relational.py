@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from tarnflow.operators import segments
+
 
 def bridge_findings(category: DataFrame, bridge: DataFrame, finding: DataFrame, *, category_key: str, bridge_key: str, finding_key: str, name: str, within: str, scope: DataFrame) -> DataFrame:
     """The three-hop bridge join: one row for each finding that the category `within` reaches, and the narrower categories it came by.
@@ -99,14 +102,14 @@ def thresholds(df: DataFrame, by: str, steps: list[tuple[int, str | None]]) -> D
 def range_lookup(df: DataFrame, key: str, by: str, table: DataFrame, least: str, value: str) -> DataFrame:
     """df with `value` of the table's row of the same key with the highest `least` up to df's `by`: an as-of join without a range join.
 
-    Both sides are sorted together within each key; the last table row seen so far answers.
+    Both sides are put in order together, by key and value, and the last table row before a row answers. A key may span many tasks.
     """
-    left = df.withColumn("_at", F.col(by)).withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(table.schema[value].dataType))
-    right = table.select(key, F.col(least).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    order = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    held = StructType([StructField("v", table.schema[value].dataType)])
+    left = df.withColumn("_at", F.col(by)).withColumn("_side", F.lit(1)).withColumn("_row", F.lit(None).cast(held))
+    right = table.select(key, F.col(least).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).cast(held).alias("_row"))
     both = left.unionByName(right, allowMissingColumns=True)
-    last = F.last(F.when(F.col("_side") == 0, F.struct("_value")), ignorenulls=True).over(order)
-    return both.withColumn(value, last["_value"]).filter("_side = 1").select(*df.columns, value)
+    found = segments.running(both, [key], [F.asc("_at"), F.asc("_side")], F.col("_row"), "_last", "last")
+    return found.filter("_side = 1").select(*df.columns, F.col("_last.v").alias(value))
 
 
 def first_rule(c: Column, rules: list[tuple[str, str]]) -> Column:
