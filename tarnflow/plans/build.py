@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnflow.functions import ids
 from tarnflow.operators import arbitration, graph, rank, relational
 from tarnflow.schema import SCHEMA_VERSION
-from tarnflow.sources import archives, documents
+from tarnflow.sources import archives, documents, rules
 
 # Log-source names that the bundle misspells, by analytic.
 LOG_SOURCE_FIXES = {("AN0272", "linus:syslog"): "linux:syslog", ("AN0364", "linuxsyslog"): "linux:syslog"}
@@ -18,7 +18,8 @@ LOG_SOURCE_FIXES = {("AN0272", "linus:syslog"): "linux:syslog", ("AN0364", "linu
 
 @dataclass
 class Sources:
-    """Paths of what a build reads. benchmarks: a folder of loose XML and zips. corrections: id -> [(part of a path, corrected id)]."""
+    """Paths of what a build reads. benchmarks: a folder of loose XML and zips. corrections: id -> [(part of a path, corrected id)],
+    or a rule file that also gives the corrected documents' titles."""
 
     benchmarks: str
     cci: str
@@ -27,7 +28,7 @@ class Sources:
     catalog: str | None = None
     overrides: str | None = None
     ingested_at: str = ""
-    corrections: dict[str, list[tuple[str, str]]] | None = None
+    corrections: dict[str, list[tuple[str, str]]] | str | None = None
 
 
 def attack_tables(objects: DataFrame, reviewed: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
@@ -98,8 +99,8 @@ def effective_pairs(mapped: DataFrame, added: DataFrame, suppressed: DataFrame,
     return rank.winners(both, ["technique_id", "control_id", "source"], [F.asc("remapped"), F.asc("original")]).drop("original")
 
 
-def benchmark_tables(found: DataFrame, corrections: dict | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """(stigs, stig_rules and rule_cci; counters). found: archives.benchmark_documents()."""
+def benchmark_tables(found: DataFrame, corrections: dict | None = None, titles: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """(stigs, stig_rules and rule_cci; counters). found: archives.benchmark_documents(); titles: those of corrected ids."""
     readable = documents.benchmarks(found.filter("content is not null").withColumn("path", F.col("source_document"))).cache()
     parsed = readable.filter("stig_id is not null").withColumn("kind", ids.document_kind(F.col("status"), F.col("stig_id"), F.col("title")))
     kinds = {r.kind: r["count"] for r in parsed.groupBy("kind").count().collect()}  # four kinds
@@ -109,7 +110,11 @@ def benchmark_tables(found: DataFrame, corrections: dict | None = None) -> tuple
     rule_ids = F.flatten(F.transform(F.coalesce("groups", F.array()), lambda g: F.coalesce(F.transform(g["Rule"], lambda r: r["_id"]), F.array().cast("array<string>"))))
     settled = arbitration.settled(wanted.withColumn("rules", rule_ids).withColumn("artifact", F.col("source_artifact")).withColumn("path", F.col("source_document")), corrections)
     # The published id stays beside the one that a correction gave.
-    winners = settled.winners.withColumn("benchmark_id", F.col("stig_id")).withColumn("stig_id", F.col("final_id")).drop("rules", "final_id", "turn", "pair").cache()
+    winners = settled.winners.withColumn("benchmark_id", F.col("stig_id")).withColumn("stig_id", F.col("final_id")).drop("rules", "final_id", "turn", "pair")
+    corrected = F.col("stig_id") != F.col("benchmark_id")
+    for new, title in (titles or {}).items():  # a rule file's few
+        winners = winners.withColumn("title", F.when(corrected & (F.col("stig_id") == new), F.lit(title)).otherwise(F.col("title")))
+    winners = winners.cache()
     settling = settled.counters()
     kept = rank.lifecycle(winners, "stig_id", major="major", is_library="is_library").cache()
     rows = documents.rules(kept, ["stig_id", "version", "major", "is_library", "status_date"])
@@ -127,7 +132,8 @@ def build(spark: SparkSession, sources: Sources) -> tuple[dict[str, DataFrame],
     files = archives.classified(archives.listing(spark, sources.benchmarks))
     archives.one_library(files)
     found = archives.benchmark_documents(files).cache()
-    tables, counters = benchmark_tables(found, sources.corrections)
+    corrections, titles = rules.corrections(spark, sources.corrections) if isinstance(sources.corrections, str) else (sources.corrections, {})
+    tables, counters = benchmark_tables(found, corrections, titles)
     if tables["stigs"].isEmpty():
         raise ValueError("no benchmark could be read")
     cci = documents.cci_list(spark, sources.cci)
