@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnflow.functions import ids, text
-from tarnflow.operators import changes, graph, rank, relational
+from tarnflow.operators import changes, graph, rank, relational, segments
 from tarnflow.plans.registry import query
 
 
@@ -256,6 +256,16 @@ def remap_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- contests
 
 
+@query("""select event_id, event_type, max(value) over (partition by event_type order by ts, event_id rows between unbounded preceding and 1 preceding) as led,
+count(*) over (partition by event_type order by ts, event_id rows between unbounded preceding and current row) as nth from events""")
+def running_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What led before each event of a few hot types, and its number among them."""
+    events = t(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    order = [F.asc("ts"), F.asc("event_id")]
+    led = segments.running(events, ["event_type"], order, F.col("value"), "led", "max", inclusive=False)
+    return segments.running(led, ["event_type"], order, F.lit(1).cast("long"), "nth", "sum").select("event_id", "event_type", "led", "nth")
+
+
 @query("""select lang, source, doc_id, n_chars from (select *, row_number() over (partition by lang, source order by n_chars // 1000 desc, n_chars % 10 desc, doc_id % 3 = 0 desc, length(text) desc, doc_id) as k from documents) where k = 1""")
 def newest_contest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One winner for each key by release, library first, date, name, arrival."""
@@ -660,6 +670,18 @@ def entity_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.suggested(labels, typed)
 
 
+@query("""with l as (select p_partkey as id, lower(p_name) as f from part), a as (select distinct lower(p_type) as q from part where p_type is not null),
+c as (select distinct f as x from l union select q from a), u as (select x, unnest(string_split(x, '')) as c from c where x <> ''), k as (select x, list(c || n) as sig from (select x, c, unnest(range(count(*))) as n from u group by 1, 2) group by 1),
+m as (select l.id, a.q, len(kl.sig)::int as n, len(kq.sig)::int as m, len(list_intersect(kl.sig, kq.sig))::int as shared from l join k kl on kl.x = l.f cross join a join k kq on kq.x = a.q)
+select id, q, n, m, shared, round(2.0 * shared / (n + m), 9)::double as bound from m where 2 * shared >= 0.75 * (n + m)""")
+def letter_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names and types whose letters allow a ratio of 0.75, all pairs in SQL."""
+    from tarnflow.operators import entities
+
+    parts = t(spark, sf_dir, "part")
+    return entities.alike(parts.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("f")), parts.select(F.lower("p_type").alias("q")).filter("q is not null"))
+
+
 @query("""with o as (select o_orderkey, o_custkey % 40 as benchmark, o_orderpriority as reason from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '5-LOW'))
 select benchmark, reason, min(o_orderkey) as first_key from o where not (reason = '5-LOW' and benchmark in (select benchmark from o where reason = '1-URGENT')) group by 1, 2""")
 def threshold_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
