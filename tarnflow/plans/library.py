@@ -10,7 +10,7 @@ from tarnflow.operators import arbitration, changes, digest, resolver
 from tarnflow.plans import build, questions
 from tarnflow.plans.queries import joined, t
 from tarnflow.plans.registry import query
-from tarnflow.sources import archives, documents
+from tarnflow.sources import archives, documents, manifest
 
 # --- documents
 
@@ -172,6 +172,19 @@ def source_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.actions(rows).select("s_suppkey", "action")
 
 
+@query("""with o as (select 'f' || o_custkey % 700 as name, o_orderdate::date::varchar as date, o_orderkey as seq, case when o_orderkey % 5 = 0 then null else o_custkey end as on_disk_bytes, o_orderstatus = 'P' as removed from orders
+where o_orderkey % 13 <> 0 and o_orderkey % 11 <> 0), l as (select *, row_number() over (partition by name order by seq desc) as k from o)
+select name, date, seq, on_disk_bytes from l where k = 1 and not removed""")
+def manifest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest's lines, some cut and some naming other folders, as the latest state of each name."""
+    o = t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    name = F.concat(F.when(k % 11 == 0, "../f").otherwise("f"), (F.col("o_custkey") % 700).cast("string"))
+    line = F.to_json(F.struct(name.alias("name"), F.to_date("o_orderdate").cast("string").alias("date"), F.when(k % 5 != 0, F.col("o_custkey")).alias("on_disk_bytes"), (F.col("o_orderstatus") == "P").alias("removed"), k.alias("at")))
+    rows, _ = manifest.parsed(o.select(F.when(k % 13 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")))
+    return manifest.latest(rows).select("name", "date", F.col("at").alias("seq"), "on_disk_bytes")
+
+
 # --- the resolver
 
 _ASKED = {0: "red widget, blue bolt", 1: "hot gear and ring", 2: "zzz"}
