@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions import ids
-from tarnflow.operators import arbitration, changes, digest, resolver
+from tarnflow.operators import arbitration, changes, currency, digest, resolver
 from tarnflow.plans import build, questions
 from tarnflow.plans.queries import joined, t
 from tarnflow.plans.registry import query
@@ -307,8 +307,37 @@ def defense_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "id string, name string, n long")
 
 
-@query("""select * from (values ('attack', 'newer'), ('ctid', 'same'), ('other', 'incomparable'), ('action', 'install')) v(source, state)""")
+@query("""select o_orderkey as source, case when o_orderkey % 9 = 0 or o_custkey % 8 = 0 then case when o_orderkey % 9 = 0 and o_custkey % 8 = 0 then 'same' else 'incomparable' end
+when (o_custkey % 7, o_orderkey % 12) < (o_custkey % 11, o_custkey % 3) then 'newer' when (o_custkey % 7, o_orderkey % 12) > (o_custkey % 11, o_custkey % 3) then 'older' else 'same' end as state from orders""")
 def source_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded versions against published ones, and what to do; a fixture of three versions."""
-    found = questions.check_sources(_kb(spark, sf_dir), {"attack": "20.0", "ctid": "1.0", "other": "3"})
-    return spark.createDataFrame([*found["sources"].items(), ("action", found["action"])], "source string, state string")
+    """Recorded versions against published ones, some of them no numbers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pair = lambda a, b: F.concat_ws(".", a.cast("string"), b.cast("string"))
+    stored, published = F.when(k % 9 == 0, "draft").otherwise(pair(c % 7, k % 12)), F.when(c % 8 == 0, "draft").otherwise(pair(c % 11, c % 3))
+    return t(spark, sf_dir, "orders").select(k.alias("source"), currency.state(stored, published).alias("state"))
+
+
+@query("""with r as (select 'kb-' || (date '2024-01-01' + (p_partkey % 9000)::int)::varchar as tag, 5 + p_size % 3 as schema, 's' || p_partkey as sha, p_size as a, p_partkey % 50 as b from part),
+best as (select schema, arg_max((tag, sha, a, b), (tag, sha)) as n from (select * from r) group by 1), tags as (select distinct tag from r),
+i as (select c_custkey as host, 4 + c_custkey % 5 as schema, case when c_custkey % 7 <> 0 then 'h' || c_custkey end as sha, case when c_custkey % 14 = 0 then 'unreadable' end as problem,
+ case when c_custkey % 7 <> 0 and c_custkey % 2 = 0 then 'kb-' || (date '2024-01-01' + (c_custkey * 37 % 9500)::int)::varchar end as release, c_nationkey * 2 as a, c_custkey % 50 as b from customer),
+j as (select i.*, best.n, n[1] as newest, n[3] as na, n[4] as nb, (select arg_max(x.n[1], x.n[1]) from best x where x.schema > i.schema) as beyond, case when sha is null then coalesce('what is installed can''t be used: ' || problem, 'nothing is installed') end as unusable from i left join best on best.schema = i.schema),
+k as (select *, case when newest is null and beyond is not null then 'upgrade_package' when newest is null and sha is null then 'build_locally' when newest is null then 'none' when sha is null then 'install'
+ when release is not null then case when release < newest then 'install' else 'none' end when na > a or nb > b then 'install' else 'none' end as act,
+ case when newest is null and beyond is not null then 'no release has schema ' || schema || '; ' || beyond || ' needs a newer package' when newest is null and sha is null then unusable || ', and no release has schema ' || schema
+ when newest is null then 'no release has schema ' || schema || '; what is installed stays' when sha is null then unusable when release < newest then newest || ' is newer than ' || release
+ when release is not null and release not in (select tag from tags) then release || ' is installed and no longer published; the newest is ' || newest when release is not null then release || ' is current'
+ when na > a or nb > b then newest || ' has newer ' || case when na > a and nb > b then 'a, b' when na > a then 'a' else 'b' end || case when na < a then '; older, and would replace: a' when nb < b then '; older, and would replace: b' else '' end
+ else 'the local build is as current as ' || newest end as why from j)
+select host, release, newest, beyond, case when act = 'none' and beyond is not null then 'upgrade_package' else act end as action, why || case when act = 'none' and beyond is not null then '; ' || beyond || ' needs a newer package' else '' end as reason from k""")
+def release_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of a fleet of installations should do about the published releases, and why."""
+    k, day = F.col("c_custkey"), lambda n: F.concat(F.lit("kb-"), F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")).cast("string"))
+    versions = lambda a, b: F.create_map(F.lit("a"), a.cast("string"), F.lit("b"), b.cast("string"))
+    p = t(spark, sf_dir, "part")
+    # Tags of one day are told apart by their digest here.
+    releases = p.select(day(F.col("p_partkey") % 9000).alias("tag"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("date"), (5 + F.col("p_size") % 3).cast("int").alias("schema"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("sha256"), versions(F.col("p_size"), F.col("p_partkey") % 50).alias("sources"))
+    releases = releases.withColumn("date", F.concat("tag", "date"))
+    sha = F.when(k % 7 != 0, F.concat(F.lit("h"), k.cast("string")))
+    hosts = t(spark, sf_dir, "customer").select(k.alias("host"), (4 + k % 5).cast("int").alias("schema"), sha.alias("sha256"), F.when(k % 14 == 0, "unreadable").alias("problem"), F.when(k % 2 == 0, sha).otherwise("other").alias("recorded_sha256"), day(k * 37 % 9500).alias("recorded_release"), versions(F.col("c_nationkey") * 2, k % 50).alias("sources"))
+    return currency.decisions(hosts, releases).select("host", "release", "newest", "beyond", "action", "reason")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnflow.functions import ids, text
-from tarnflow.operators import entities, rank, relational, resolver
+from tarnflow.operators import currency, entities, rank, relational, resolver
+from tarnflow.schema import SCHEMA_VERSION
 
 CATS = ("I", "II", "III")
 MOST = {"benchmark_ids": 200, "finding_ids": 50, "defense_ids": 10, "log_sources": 100}
@@ -340,15 +341,20 @@ def list_stigs(kb: dict[str, DataFrame], term: str | None = None) -> list[dict]:
     return [r.asDict() for r in rows.drop("product_keywords").orderBy("stig_id", "version").collect()]
 
 
-def check_sources(kb: dict[str, DataFrame] | None, published: dict[str, str]) -> dict:
-    """Each source's order against what is published, and what to do: none, install or build_locally."""
-    if kb is None:
+def check_sources(kb: dict[str, DataFrame] | None, published: dict[str, str], releases: DataFrame | None = None, installed: dict | None = None) -> dict:
+    """Each source's order against what is published, and what to do: none, install, upgrade_package or build_locally. With the published
+    releases (currency.decisions) and what is installed (sha256, problem, recorded_sha256, recorded_release) the reason and tags are told too."""
+    if kb is None and releases is None:
         return {"action": "install", "sources": {}}
-    stored = _sources(kb)
-    spark = kb["stigs"].sparkSession
+    stored = _sources(kb) if kb is not None else {}
+    spark = kb["stigs"].sparkSession if kb is not None else releases.sparkSession
     both = spark.createDataFrame([(k, stored.get(k), v) for k, v in published.items()], "source string, stored string, published string")
-    a, b = ids.dotted(F.col("stored")), ids.dotted(F.col("published"))
-    state = F.when(a.isNull() | b.isNull(), F.when(F.col("stored") == F.col("published"), "same").otherwise("incomparable")).when(b > a, "newer").when(b < a, "older").otherwise("same")
-    rows = both.withColumn("state", state).orderBy("source").collect()
-    action = "install" if any(r.state == "newer" for r in rows) else "build_locally" if any(r.state == "incomparable" for r in rows) else "none"
-    return {"action": action, "sources": {r.source: r.state for r in rows}}
+    rows = both.withColumn("state", currency.state(F.col("stored"), F.col("published"))).orderBy("source").collect()
+    states = {r.source: r.state for r in rows}
+    if releases is None:
+        action = "install" if "newer" in states.values() else "build_locally" if "incomparable" in states.values() else "none"
+        return {"action": action, "sources": states}
+    own = installed or {}
+    one = spark.createDataFrame([(int(SCHEMA_VERSION), *[own.get(k) for k in ("sha256", "problem", "recorded_sha256", "recorded_release")], stored)], "schema int, sha256 string, problem string, recorded_sha256 string, recorded_release string, sources map<string,string>")
+    told = currency.decisions(one, releases).first()
+    return {"action": told.action, "reason": told.reason, "installed": {"sha256": told.sha256, "release": told.release}, "newest": told.newest, "newer_schema": told.beyond, "sources": states}
