@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tarnflow.llm.common import drop_stored, ship, stored
 
-#: The classifier is fitted on a sample of labelled documents, chosen by a hash of doc_id: about so many documents and characters of each
+#: The classifier is fitted on a sample of labelled documents, chosen by a hash of doc_id and text: about so many documents and characters of each
 #: language at most, and so many characters of all. Every word and n-gram of the sample is kept, so these bound the model too.
 SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS = 2_000, 8_000_000, 100_000_000
 LONGEST = 4
@@ -132,7 +132,9 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(docs: DataFrame) -> Model:
-    """A model of the rows of docs whose text and lang are not null, or of a sample of them (SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS)."""
+    """A model of the rows of docs whose text and lang are not null, or of a sample of them (SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS).
+
+    Rows without doc_id, or with one that repeats, are told apart by their text; rows alike in both are taken or left together."""
     ship(docs.sparkSession)
     pool = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = pool.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")).collect()  # one row a language
@@ -141,7 +143,7 @@ def fitted(docs: DataFrame) -> Model:
         return Model([], ([], [], []), ([], [], []))
     most = min(SAMPLE_CHARS, ALL_CHARS / len(languages))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["docs"], most / max(1, r["chars"])))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
     sample = pool.filter(place < F.try_element_at(share, F.col("lang"))).select("lang", "text")
     words = sample.mapInArrow(_counter, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     words = stored(words, "words")

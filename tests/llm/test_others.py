@@ -99,6 +99,15 @@ def test_prediction_is_the_rule_told_plainly(spark, corpus):
     assert re.fullmatch("[a-z]{2}", model.languages[0])
 
 
+def test_rows_without_or_with_one_id_are_sampled_by_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 100)
+    for doc_id in (None, 7):
+        rows = [(doc_id, f"wort{i} und noch eins", "de") for i in range(1000)]
+        model = language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        taken = sum(model.predict(f"wort{i}")[2] for i in range(1000))
+        assert 60 < taken < 150
+
+
 def test_short_texts_that_languages_share_are_accepted(spark):
     rows = [(k, "la casa", "es") for k in range(4)] + [(10 + k, "la maison", "fr") for k in range(4)] + [(20 + k, "la casa bella", "it") for k in range(4)]
     docs = spark.createDataFrame([*rows, (30, "la", None), (31, "123", None), (32, None, "fr")], "doc_id long, text string, lang string").selectExpr("*", "42.0D as score", "'k' as lang_pred")
