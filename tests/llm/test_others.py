@@ -101,10 +101,11 @@ def test_prediction_is_the_rule_told_plainly(spark, corpus):
 
 def test_rows_without_or_with_one_id_are_sampled_by_their_texts(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE_DOCS", 100)
+    words = ["".join(chr(97 + int(d)) for d in str(i)) + "wort" for i in range(1000)]
     for doc_id in (None, 7):
-        rows = [(doc_id, f"wort{i} und noch eins", "de") for i in range(1000)]
+        rows = [(doc_id, f"{w} und noch eins", "de") for w in words]
         model = language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-        taken = sum(model.predict(f"wort{i}")[2] for i in range(1000))
+        taken = sum(model.predict(w)[2] for w in words)
         assert 60 < taken < 150
 
 
