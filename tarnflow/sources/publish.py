@@ -127,10 +127,15 @@ def install(spark: SparkSession, candidate: str, root: str, sha256: str | None =
     if sha256 and content_hash(spark, candidate) != sha256:
         raise ValueError("the candidate's hash differs")
     tables = {t: spark.read.schema(s).parquet(f"{candidate}/{t}") for t, (_, s) in TABLES.items()}
+    keyed(tables)
+    return publish(spark, tables, root)
+
+
+def keyed(tables: dict[str, DataFrame]) -> None:
+    """ValueError if a table holds a key twice."""
     for t, (keys, _) in TABLES.items():
         if not tables[t].groupBy(*keys).count().filter("count > 1").isEmpty():
             raise ValueError(f"{t} holds a key twice")
-    return publish(spark, tables, root)
 
 
 def compact(answer: dict) -> str:
