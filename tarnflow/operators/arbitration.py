@@ -12,10 +12,11 @@ status_date, path, rules (array of strings). Corrections: stig_id -> [(part of a
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -141,10 +142,17 @@ def _contest_rank():
     return F.struct(F.col("release"), F.col("is_library"), F.coalesce(F.col("status_date").cast("string"), F.lit("")).alias("dated"), F.col("artifact"))
 
 
-def settled(docs: DataFrame, corrections: Corrections | None = None) -> Settled:
+def counted(rows: DataFrame) -> dict[str, Column]:
+    """What Settled.counters says of groups and discarded documents, as sums over settled documents: a group counts where its first one lies."""
+    first = F.col("arrival") == F.col("turn.began")
+    return {"content_collisions": first & (F.col("verdict") != "single"), "kept_together": first & F.col("verdict").isin("unmapped", "occupied"), "discarded": F.col("final_id").isNull()}
+
+
+def settled(docs: DataFrame, corrections: Corrections | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> Settled:
     """All documents settled under their final ids. A group whose first colliding pair the corrections name, and whose new ids differ and are not
     held by an earlier group of the family, is split: the pair goes to its ids, the group's others contest at theirs, and what cannot be renamed is
-    discarded. Every other group contests under the id it claims."""
+    discarded. Every other group contests under the id it claims. hold: what keeps the settled documents, so that winners and departures start
+    from them; without it the plan runs for each."""
     pairs = collisions(docs)
     rows = _tied(docs, checked(corrections)).join(pairs, KEY, "left")
     rows = rows.withColumn("pair", F.coalesce(F.col("arrival").isin(F.col("first"), F.col("second")), F.lit(False))).withColumn("began", F.min("arrival").over(Window.partitionBy(*KEY)))
@@ -155,6 +163,7 @@ def settled(docs: DataFrame, corrections: Corrections | None = None) -> Settled:
     rows = rows.join(verdicts, KEY, "left").withColumn("verdict", F.coalesce("verdict", F.when(F.col("first").isNull(), "single").otherwise("unmapped")))
     rows = rows.withColumn("final_id", F.when(F.col("verdict") == "split", F.col("corrected_id")).otherwise(F.col("stig_id"))).withColumn("turn", F.struct("began", (~(F.col("pair") & (F.col("verdict") == "split"))).alias("after"), "arrival"))
     rows = rows.drop("first", "second", "began", "corrected_id", "family")
+    rows = hold(rows) if hold else rows
     standing = rows.filter("final_id is not null").withColumn("_rank", _contest_rank())
     winners = rank.winners(standing, ["final_id", "version"], [F.desc("_rank"), F.asc("turn")]).drop("_rank")
     numbered = standing.withColumn("_seq", F.row_number().over(Window.partitionBy("final_id", "version").orderBy("turn")))
