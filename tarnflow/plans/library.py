@@ -33,6 +33,45 @@ def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_orderkey", "version", F.col("rule_pos").alias("place"), "rule_id", F.when(~bare, F.col("severity_cat")).alias("cat"), "rejected", F.when(~bare, joined("ccis")).alias("ccis"), "release")
 
 
+_DOCS = """with d as (select o_orderkey as k, 'C' || (o_custkey % 50) || case when o_orderkey % 11 = 0 then '_SRG' else '_STIG' end as id, o_orderkey % 13 = 0 as broken, o_orderkey % 7 = 0 as draft, o_orderkey % 11 = 0 as srg, year(o_orderdate) - 1991 as major, month(o_orderdate) as rel,
+    o_orderkey % 3 = 0 as lib, strftime(o_orderdate, '%Y-%m-%d') as dated, o_custkey::varchar as art, printf('%010d', o_orderkey) as doc from orders),
+w as (select * from d where not broken and not draft and not srg),
+g as (select *, row_number() over (partition by id, major order by rel desc, lib desc, dated desc, art desc, art || chr(0) || chr(0) || doc) as n, row_number() over (partition by id, major order by art || chr(0) || chr(0) || doc) as seq, (rel, lib, dated, art, -row_number() over (partition by id, major order by art || chr(0) || chr(0) || doc)) as own from w),
+l as (select *, max(own) over (partition by id, major order by seq rows between unbounded preceding and 1 preceding) as lead from g),
+f as (select struct_extract_at(greatest(own, lead), 2) and not struct_extract_at(least(own, lead), 2) as bylib from l where lead is not null),
+win as (select *, max(case when lib then major end) over (partition by id) as top_lib, max(case when not lib then major end) over (partition by id) as top_own from g where n = 1),
+kept as (select * from win where lib or case when top_lib is not null then major > top_lib else major = top_own end),
+r as (select kept.*, 'P' || l_partkey as rule_id, l_returnflag = 'N' as bare, row_number() over (partition by k order by l_linenumber, l_partkey, l_suppkey) as place from kept join lineitem on l_orderkey = k),
+h as (select *, row_number() over (partition by bare, rule_id order by dated desc, lib desc, id, major desc, place) = 1 as held from r)"""
+
+
+def _benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents in XML, as archives.benchmark_documents gives them: a thirteenth is broken, others are drafts and guides."""
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("lines"))
+    rule = lambda x: F.concat(F.lit('<Rule id="P'), x["l_partkey"].cast("string"), F.when(x["l_returnflag"] == "N", '">').otherwise('" severity="low">'), F.lit("<title>t</title></Rule>"))
+    orders = t(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string"), F.when(k % 11 == 0, "_SRG").otherwise("_STIG"))
+    text = F.concat(
+        F.lit('<Benchmark id="'), name, F.lit('"><status date="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('">'), F.when(k % 7 == 0, "draft").otherwise("accepted"), F.lit('</status><title>T</title><plain-text id="release-info">Release: '),
+        F.month("o_orderdate").cast("string"), F.lit(" Benchmark Date: 1 Jan 2026</plain-text><version>"), (F.year("o_orderdate") - 1991).cast("string"), F.lit('</version><Group id="G">'),
+        F.coalesce(F.array_join(F.transform("lines", rule), ""), F.lit("")), F.when(k % 13 == 0, "").otherwise("</Group></Benchmark>"))
+    return orders.select(F.col("o_custkey").cast("string").alias("source_artifact"), F.when(k % 3 == 0, "library").otherwise("product").alias("origin"), F.lit(None).cast("string").alias("source_member"), F.format_string("%010d", k).alias("source_document"), text.alias("content"), F.lit(None).cast("string").alias("problem"))
+
+
+@query(_DOCS + """select * from (select count(*) as stig_files, count(*) filter (where broken) as unreadable, count(*) filter (where not broken and draft) as skipped_draft, count(*) filter (where not broken and not draft and srg) as skipped_srg from d),
+(select count(*) as stigs from kept), (select count(*) as superseded_by_newer_major from (select k from win except all select k from kept)),
+(select count(*) filter (where bylib) as superseded_by_library, count(*) filter (where not bylib) as superseded_same_key from f),
+(select count(*) filter (where bare) as unknown_severity, count(*) filter (where held and not bare) as stig_rules, count(*) filter (where not held and not bare) as rule_id_collisions from h)""")
+def build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the build of the benchmarks counts while it writes its tables, on a document for each order."""
+    built = build.benchmark_tables(_benchmarks(spark, sf_dir))
+    built.meter.release()
+    names = ("stig_files", "unreadable", "skipped_draft", "skipped_srg", "stigs", "superseded_by_newer_major", "superseded_by_library", "superseded_same_key", "unknown_severity", "stig_rules", "rule_id_collisions")
+    return spark.createDataFrame([tuple(built.counters[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 _CLAIMS = """with o as (select o_orderkey as k, 'C' || (o_custkey % 10) as pub, year(o_orderdate)::varchar as ver, o_custkey, o_custkey::varchar as artifact, o_orderstatus = 'F' as lib, strftime(o_orderdate, '%Y-%m-%d') as dated,
     case when o_orderkey % 3 = 0 then 'third' when o_orderkey % 3 = 1 then 'other' end as part, list(distinct l_partkey) as parts from orders join lineitem on l_orderkey = o_orderkey group by all),
 p as (select a.pub, a.ver, min((a.k, b.k)) as ks from o a join o b on a.pub = b.pub and a.ver = b.ver and a.o_custkey = b.o_custkey and a.k < b.k and not list_has_any(a.parts, b.parts) group by 1, 2),
