@@ -136,7 +136,9 @@ def suggested(labels: DataFrame, typed: DataFrame, most: int = MOST) -> DataFram
 
 
 def others(labels: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(typed, id, label): other entities that share a loose label with what a typed name was resolved to, their first such label."""
-    keyed = labels.select("id", "label", loose_key(folded("label")).alias("l"))
-    own = resolved.select("typed", F.col("id").alias("_own")).join(keyed.select(F.col("id").alias("_own"), "l").distinct(), "_own")
-    return own.join(keyed, "l").filter("id <> _own").groupBy("typed", "id").agg(F.min("label").alias("label"))
+    """(typed, id, label): entities besides the one that a typed name was resolved to (typed, id) whose label has the typed name's loose key.
+    label: the one of the lowest tier, where labels have a tier, then the first by text. Names without letters or digits have no others."""
+    tier = F.col("tier") if "tier" in labels.columns else F.lit(0)
+    keyed = labels.select("id", "label", tier.alias("_tier"), loose_key(folded("label")).alias("l")).filter("l <> ''")
+    own = resolved.select("typed", F.col("id").alias("_own"), loose_key(folded("typed")).alias("l"))
+    return own.join(keyed, "l").filter("id <> _own").groupBy("typed", "id").agg(F.min_by("label", F.struct("_tier", "label")).alias("label"))

@@ -25,7 +25,8 @@ LOG_SOURCE_FIXES = {("AN0272", "linus:syslog"): "linux:syslog", ("AN0364", "linu
 @dataclass
 class Sources:
     """Paths of what a build reads. benchmarks: a folder of loose XML and zips. corrections: id -> [(part of a path, corrected id)],
-    or a rule file that also gives the corrected documents' titles. applicability: a rule file of builds, held against the benchmarks."""
+    or a rule file that also gives the corrected documents' titles. applicability: a rule file of builds, held against the benchmarks. attack_index: dates of the technique
+    data's releases, without which answers can't tell a newer technique from an unmapped one."""
 
     benchmarks: str
     cci: str
@@ -36,6 +37,7 @@ class Sources:
     ingested_at: str = ""
     corrections: dict[str, list[tuple[str, str]]] | str | None = None
     applicability: str | None = None
+    attack_index: str | None = None
 
 
 #: What the run turned away: the kind of thing, its name, why, and the document it came with.
@@ -190,6 +192,7 @@ def benchmark_tables(found: DataFrame, corrections: dict | None = None, titles:
     stigs = kept.select("stig_id", "version", "title", "benchmark_id", "release_info", ids.release_label(F.col("version"), F.col("release_info")).alias("release_label"), ids.keywords(F.col("title"), F.col("stig_id")).alias("product_keywords"), "origin", "source_artifact", "source_member", F.col("status").alias("xccdf_status"), F.col("status_date").alias("xccdf_status_date"))
     tables = {"stigs": stigs, "stig_rules": held.withColumn("stig_version", F.col("version")), "rule_cci": held.select("rule_id", F.explode("ccis").alias("cci_id"))}
     n, document = meter.counts, F.col("source_document")
+    origin = F.coalesce("source_document", "source_member", "source_artifact")  # a damaged archive has no document
     counters = {k: n[k] for k in ("stig_files", "stigs", "stig_rules", "rule_id_collisions", "unknown_severity", "unreadable", "skipped_srg", "skipped_draft", "skipped_unclassified", "id_corrections_applied")}
     counters |= {
         "superseded_by_library": n["by_library"], "superseded_same_key": n["by_same_key"] + n["discarded"], "same_key_departures": n["by_library"] + n["by_same_key"] + n["discarded"],
@@ -199,7 +202,7 @@ def benchmark_tables(found: DataFrame, corrections: dict | None = None, titles:
     counters |= {"kind_stig": n["kind_stig"], "kind_srg": n["skipped_srg"], "kind_draft": n["skipped_draft"], "kind_neither": n["skipped_unclassified"]}
     gone = winners.join(kept.select("stig_id", "version"), ["stig_id", "version"], "left_anti")
     rejects = [
-        _rejected(parsed.filter("kind <> 'stig'"), "document", F.col("stig_id"), F.col("kind"), document),
+        _rejected(parsed.filter("kind <> 'stig'"), "document", F.col("stig_id"), F.concat_ws(": ", "kind", "problem"), origin),
         _rejected(settled.documents.filter("final_id is null"), "document", F.col("stig_id"), F.lit("collides and has no other id"), document),
         _rejected(gone, "document", F.col("stig_id"), F.lit("an older major"), document),
         _rejected(claimed.filter("rejected"), "rule", F.col("rule_id"), F.lit("no severity"), document),
@@ -221,7 +224,7 @@ def run(spark: SparkSession, sources: Sources) -> Built:
 def _run(spark: SparkSession, sources: Sources, meter: Meter) -> Built:
     entries = rules.entries(spark, sources.applicability) if sources.applicability else []
     files = archives.classified(archives.listing(spark, sources.benchmarks))
-    archives.one_library(files)
+    library = archives.one_library(files)
     corrections, titles = rules.corrections(spark, sources.corrections) if isinstance(sources.corrections, str) else (sources.corrections, {})
     built = benchmark_tables(archives.benchmark_documents(files), corrections, titles, meter)
     tables, counters, rejects = built.tables, built.counters, [built.rejects]
@@ -260,6 +263,13 @@ def _run(spark: SparkSession, sources: Sources, meter: Meter) -> Built:
     meta = [("attack", attack_version[0] if attack_version else None, sources.attack), ("ctid", label, sources.mapping), ("cci", documents.cci_list_version(spark, sources.cci), sources.cci)]
     if sources.catalog:
         meta.append(("nist", documents.catalog_version(spark, sources.catalog), sources.catalog))
+    made_for = documents.mapping_framework(spark, sources.mapping)
+    meta.append(("ctid_attack_version", made_for, sources.mapping))
+    if dated := archives.release_dates(spark, sources.attack_index).get(made_for):
+        meta.append(("ctid_attack_release", dated, sources.attack_index))
+    if library:
+        year, month = spark.range(1).select(ids.library_order(F.lit(library)).alias("o")).first().o
+        meta.append(("stig_library", f"{year:04}-{month:02}" if year else None, library))
     ledger = spark.createDataFrame(meta, "source_name string, source_version string, artifact string")
     per = tables["stigs"].select(F.concat_ws(":", F.lit("stig"), "stig_id", "version").alias("source_name"), F.col("release_label").alias("source_version"), F.col("source_artifact").alias("artifact"))
     tables["ingest_meta"] = ledger.unionByName(per).withColumn("ingested_at", F.lit(sources.ingested_at)).withColumn("schema_version", F.lit(SCHEMA_VERSION))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import ids
 from tarnflow.operators import arbitration, changes, currency, digest, resolver
-from tarnflow.plans import build, questions
+from tarnflow.plans import build, notes, questions
 from tarnflow.plans.queries import joined, t
 from tarnflow.plans.registry import query
 from tarnflow.sources import archives, documents, manifest
@@ -152,6 +152,50 @@ def effective_pairs_of_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("technique_id").alias("p"), F.col("control_id").alias("c"), F.col("source").alias("src"), "remapped")
 
 
+_META = """with m as (select case n_nationkey when 3 then 'stig_library' when 5 then 'attack' when 7 then 'ctid_attack_version' when 9 then 'ctid_attack_release' else lower(n_name) end as name, (1990 + n_nationkey)::varchar || '-06-01' as version, n_name as artifact from nation)"""
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    name = F.when(k == 3, "stig_library").when(k == 5, "attack").when(k == 7, "ctid_attack_version").when(k == 9, "ctid_attack_release").otherwise(F.lower("n_name"))
+    return t(spark, sf_dir, "nation").select(name.alias("source_name"), F.concat((k + 1990).cast("string"), F.lit("-06-01")).alias("source_version"), F.col("n_name").alias("artifact"))
+
+
+@query(_META + """select o_orderkey, (select artifact from m where name = 'stig_library') as library, case when o_orderpriority = '5-LOW' then 'deprecated' when o_orderstatus = 'F' then null when o_orderstatus = 'P' then 'sunset' else 'local' end as currency from orders""")
+def benchmark_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q13: why a benchmark may not be the library's current guidance, on every order."""
+    origin = F.when(F.col("o_orderstatus") == "F", "library").when(F.col("o_orderstatus") == "P", "sunset").otherwise("loose")
+    stigs = t(spark, sf_dir, "orders").select("o_orderkey", origin.alias("origin"), F.when(F.col("o_orderpriority") == "5-LOW", "deprecated").alias("xccdf_status"))
+    return notes.provenance(stigs, _meta(spark, sf_dir)).select("o_orderkey", "library", "currency")
+
+
+@query(_META + """, p as (select p_partkey, case when p_size % 5 <> 0 then (1980 + p_size)::varchar || '-01-01' end as created, case p_size % 3 when 0 then 'mapped' when 1 then 'non_mappable' else 'absent' end as status from part
+where not exists (select 1 from lineitem where l_partkey = p_partkey and p_partkey % 4 <> 0 and l_returnflag = 'R' and l_linestatus = 'F'))
+select p_partkey, mapped_for, case when status = 'mapped' then 'suppressed' when status = 'non_mappable' then 'reviewed' when created > mapped_on then 'newer' when created is not null then 'uncovered' else 'undated' end as reason
+from p, (select max(version) filter (where name = 'ctid_attack_version') as mapped_for, max(version) filter (where name = 'ctid_attack_release') as mapped_on from m)""")
+def uncontrolled_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a technique has no effective control, on every part."""
+    size = F.col("p_size")
+    status = F.when(size % 3 == 0, "mapped").when(size % 3 == 1, "non_mappable").otherwise("absent")
+    techniques = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("technique_id"), F.when(size % 5 != 0, F.concat((size + 1980).cast("string"), F.lit("-01-01"))).alias("created"), status.alias("ctid_status"))
+    used = (F.col("l_partkey") % 4 != 0) & (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+    pairs = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("technique_id"), (~used).alias("suppressed"))
+    return notes.uncontrolled(techniques, pairs, _meta(spark, sf_dir)).select(F.col("technique_id").alias("p_partkey"), "mapped_for", "reason")
+
+
+_GOVERNED = [("small", "(?i)^small", r"(?P<n>\d+)", [(9, "11"), (5, "7"), (1, "77"), (0, None)]), ("any", "(?i)brass$", r"(?P<n>\d+)", [(0, "3")]), ("idle", "^Nothing is named so", r"(?P<n>\d+)", [(0, "1")])]
+
+
+@query("""with s as (select p_type as id, p_size::varchar as version from part), e(entry, pattern, named) as (values ('small', '(?i)^small', ['11', '7', '77']), ('any', '(?i)brass$', ['3']), ('idle', '^Nothing is named so', ['1'])),
+g as (select entry, version, count(*) as n from s, e where regexp_matches(id, pattern) group by 1, 2), w as (select entry, unnest(named) as version from e)
+select entry, version, 'unmapped' as finding, n as stig_rows from g where (entry, version) not in (select (entry, version) from w)
+union all select entry, version, 'absent', 0 from w where (entry, version) not in (select (entry, version) from g) and entry in (select entry from g)
+union all select entry, null, 'idle', 0 from e where entry not in (select entry from g)""")
+def rule_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of builds held against the benchmarks that they govern, on every part."""
+    return build.drift(t(spark, sf_dir, "part").select(F.col("p_type").alias("stig_id"), F.col("p_size").cast("string").alias("version")), _GOVERNED)
+
+
 # --- archives and listings
 
 

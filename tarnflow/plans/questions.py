@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from tarnflow.functions import ids, text
 from tarnflow.operators import currency, entities, rank, relational, resolver
+from tarnflow.plans import notes as said
 from tarnflow.schema import SCHEMA_VERSION
 
 CATS = ("I", "II", "III")
@@ -87,11 +88,10 @@ def scope_of(kb: dict[str, DataFrame], description: str | None, benchmark_ids: l
     if not description:
         return [], [], ["No system supplied: controls come without STIG rules."]
     hits, verdicts = resolver.resolve(kb.get("corpus", kb["stigs"]), spark.createDataFrame([(0, description)], "request long, description string"), rules)
-    rows, said = hits.collect(), [v.asDict() for v in verdicts.collect()]
-    notes = [f"'{v['fragment']}' names a version that isn't covered ({v['verdict']}); covered: {', '.join(v['covered_versions'])}." for v in said if not v["fragment_confident"] or v["verdict"] == "uncovered"]
-    notes += applicability_notes(rows)
-    if rows and rows[0].tied_omitted:
-        notes.append(f"{rows[0].tied_omitted} more benchmarks match as well.")
+    rows = hits.collect()
+    notes = [n for v in verdicts.orderBy("fragment_pos").collect() if (n := said.coverage_note(v.asDict()))] + applicability_notes(rows)
+    if rows and (tied := said.tied_note(rows[0].tied_omitted, description)):
+        notes.append(tied)
     sure = [r for r in rows if r.high_confidence]
     if not sure:
         return [], [r.asDict() for r in rows], notes or [f"The description '{description}' leads to no benchmark with high confidence; candidates are listed."]
@@ -214,10 +214,8 @@ def defenses_for_technique(kb: dict[str, DataFrame], technique_id: str, system_d
     detect = {"detection_strategy": {"id": found[0].detection_strategy_id, "name": found[0].strategy_name}} | _analytics(analytics, platforms, log_sources, lambda a: {"name": a.name, "platforms": a.platforms}) if found else None
     listed = _listed(by_rule, cats)
     if not controls:
-        status = kb["techniques"].filter(F.col("technique_id") == technique["id"]).select("ctid_status").first()[0]
-        notes.append(f"{technique['id']} has no mapped controls ({status}).")
-    if scope:
-        notes += [f"Control {c} has no rules in the resolved STIGs, nor have its enhancements." for c, e in answer_controls.items() if not e["rules"]]
+        notes += said.uncontrolled_notes(kb["techniques"].join(one, "technique_id", "left_semi"), kb["technique_control"], kb["ingest_meta"])
+    notes += _standing(kb, scope, [c for c, e in answer_controls.items() if not e["rules"]], cats)
     return {
         "summary": _summary(by_rule, {c: e["rules"] for c, e in answer_controls.items()}, _counts(len(mitigations), analytics, platforms, log_sources), listed),
         "technique": technique, "resolved_systems": [{**s, "catalog": "disa"} for s in systems],
@@ -226,6 +224,12 @@ def defenses_for_technique(kb: dict[str, DataFrame], technique_id: str, system_d
     }
 
 
+def _standing(kb: dict[str, DataFrame], scope: list[tuple[str, str]], ruleless: list[str], cats: list[str] | None) -> list[str]:
+    """Notes on controls without rules, on benchmarks that may not be current, and on a mapping of another release than the techniques'."""
+    empty = said.ruleless_note(sorted(ruleless), cats) if scope else None
+    return [n for n in (empty, *said.currency_notes(kb["stigs"], kb["ingest_meta"], scope), said.version_gap_note(kb["ingest_meta"])) if n]
+
+
 def resolved_actor(kb: dict[str, DataFrame], actor: str) -> dict:
     spark, rows = kb["actors"].sparkSession, kb["actors"]
     named = rows.select(F.col("actor_id").alias("id"), F.explode(F.array("actor_id", "name")).alias("label"), F.lit(1).alias("tier"))
@@ -237,7 +241,18 @@ def resolved_actor(kb: dict[str, DataFrame], actor: str) -> dict:
     if not found:
         near = entities.suggested(labels.select("id", "label"), typed).orderBy("place").collect()
         raise CallerError(f"unknown actor '{actor}'." + (f" Closest: {', '.join(f'{r.label} ({r.id})' for r in near)}" if near else ""))
-    return {"id": found[0].actor_id, "name": found[0].name, "aliases": found[0].aliases, "tier": found[0].tier}
+    who = found[0]
+    alike = entities.others(labels.select("id", "label", "tier"), spark.createDataFrame([(actor, who.actor_id)], "typed string, id string"))
+    more = alike.join(rows.select(F.col("actor_id").alias("id"), "name"), "id").orderBy("id").collect()
+    return {"id": who.actor_id, "name": who.name, "aliases": who.aliases, "tier": who.tier, "others": [{"id": r.id, "name": r.name, "via": None if r.label == r.name else r.label} for r in more]}
+
+
+def _by_technique(rows: list) -> dict[str, list]:
+    """An answer's rows by technique, in their order."""
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(r.technique_id, []).append(r)
+    return out
 
 
 def techniques_for_actor(kb: dict[str, DataFrame], actor: str, system_description: str | None = None, benchmark_ids: list[str] | None = None, include_defenses: bool = False, severity: list[str] | None = None, platforms: list[str] | None = None, log_sources: list[str] | None = None, rules: resolver.Rules | None = None) -> dict:
@@ -254,16 +269,17 @@ def techniques_for_actor(kb: dict[str, DataFrame], actor: str, system_descriptio
     mitigated = kb["technique_mitigation"].join(used.select("technique_id"), "technique_id", "left_semi").join(kb["mitigations"].select("mitigation_id", "name"), "mitigation_id").orderBy("technique_id", "mitigation_id").collect()
     found = detection(kb, used, platforms, log_sources).orderBy("technique_id", "analytic_id").collect()
     shared, out, classes = {}, [], []
+    controls_of, mitigations_of, detection_of = (_by_technique(rows) for rows in (controls, mitigated, found))
     for t in listed_techniques:
         key = t["technique_id"]
-        own = [c for c in controls if c.technique_id == key]
+        own = controls_of.get(key, [])
         by_source: dict[str, list[str]] = {}
         for c in own:
             by_source.setdefault(c.source, []).append(c.control_id)
             shared.setdefault(c.control_id, _control(c, by_control.get(c.control_id, [])))
-        strategy = [d for d in found if d.technique_id == key]
+        strategy = detection_of.get(key, [])
         analytics = [d for d in strategy if d.analytic_id is not None]
-        t |= {"controls": by_source, "mitigations": [m.mitigation_id for m in mitigated if m.technique_id == key], "detection_strategy": strategy[0].detection_strategy_id if strategy else None}
+        t |= {"controls": by_source, "mitigations": [m.mitigation_id for m in mitigations_of.get(key, [])], "detection_strategy": strategy[0].detection_strategy_id if strategy else None}
         t |= _analytics(analytics, platforms, log_sources, lambda a: a.platforms)
         judged = [a for a in analytics if a.applicable] if platforms else analytics
         kind = "without_applicable_analytic" if platforms and not judged else ("detectable" if any(a.detectable for a in judged) else "undetectable") if log_sources else None
@@ -281,8 +297,7 @@ def techniques_for_actor(kb: dict[str, DataFrame], actor: str, system_descriptio
         coverage |= {"detectable": classes.count("detectable"), "undetectable": gaps.count("undetectable")}
     listed = _listed(by_rule, cats)
     counts = {"coverage": coverage, **_counts(len(mitigated), [a for a in found if a.analytic_id is not None], platforms, log_sources)}
-    if scope and (empty := sorted(c for c, e in shared.items() if not e["rules"])):
-        notes.append(f"No rules in the resolved STIGs: {', '.join(empty)}.")
+    notes += _standing(kb, scope, [c for c, e in shared.items() if not e["rules"]], cats)
     return {
         "summary": {"techniques": len(out), **_summary(by_rule, {c: e["rules"] for c, e in shared.items()}, counts, listed)}, "actor": who,
         "resolved_systems": [{**s, "catalog": "disa"} for s in systems], "techniques": out, "controls": shared, "findings": listed,
@@ -311,9 +326,9 @@ def defense_details(kb: dict[str, DataFrame], defense_ids: list[str], technique_
     m = kb["mitigations"].join(wanted.filter("bucket = 'M'").select(F.col("id").alias("mitigation_id")), "mitigation_id", "left_semi").join(per, "mitigation_id", "left").fillna(0, ["technique_count"]).orderBy("mitigation_id").collect()
     logs = kb["analytic_log_sources"].join(kb["data_components"].select("data_component_id", F.col("name").alias("component")), "data_component_id", "left")
     logs = logs.groupBy("analytic_id").agg(F.sort_array(F.collect_list(F.struct("name", "channel", F.when(F.col("data_component_id").isNotNull(), F.struct("data_component_id", "component")).alias("component")))).alias("log_sources"))
-    analytics = kb["analytics"].join(logs, "analytic_id", "left").withColumn("mutable_elements", F.from_json(F.coalesce("mutable_elements", F.lit("[]")), "array<map<string,string>>"))
+    analytics = kb["analytics"].join(logs, "analytic_id", "left").withColumn("log_sources", F.coalesce("log_sources", F.array())).withColumn("mutable_elements", F.from_json(F.coalesce("mutable_elements", F.lit("[]")), "array<map<string,string>>"))
     a = analytics.join(wanted.filter("bucket = 'AN'").select(F.col("id").alias("analytic_id")), "analytic_id", "left_semi").orderBy("analytic_id").collect()
-    nested = analytics.groupBy("detection_strategy_id").agg(F.sort_array(F.collect_list(F.struct("analytic_id", "name", "platforms"))).alias("analytics"))
+    nested = analytics.groupBy("detection_strategy_id").agg(F.array_sort(F.collect_list(F.struct("analytic_id", "name", "description", "platforms", "log_sources", "mutable_elements")), lambda a, b: F.when(a["analytic_id"] < b["analytic_id"], -1).otherwise(1)).alias("analytics"))
     s = kb["detection_strategies"].join(wanted.filter("bucket = 'DET'").select(F.col("id").alias("detection_strategy_id")), "detection_strategy_id", "left_semi").join(nested, "detection_strategy_id", "left").orderBy("detection_strategy_id").collect()
     got = {r.mitigation_id for r in m} | {r.analytic_id for r in a} | {r.detection_strategy_id for r in s}
     return {"mitigations": [r.asDict(True) for r in m], "detection_strategies": [r.asDict(True) for r in s], "analytics": [r.asDict(True) for r in a], "not_found": [i for i in defense_ids if i.strip().upper() not in got], "sources": _sources(kb)}

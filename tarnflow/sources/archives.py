@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,11 +37,12 @@ def classified(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", kind)
 
 
-def one_library(inventory: DataFrame) -> None:
-    """An error if there are two libraries: which one is meant can't be told."""
+def one_library(inventory: DataFrame) -> str | None:
+    """The library's name, or None; an error if there are two: which one is meant can't be told."""
     names = [r["name"] for r in inventory.filter("kind = 'library'").select("name").limit(10).collect()]
     if len(names) > 1:
         raise ValueError(f"more than one library: {sorted(names)}")
+    return names[0] if names else None
 
 
 def source_status(inventory: DataFrame) -> DataFrame:
@@ -110,12 +114,51 @@ def latest_attack(spark: SparkSession, path: str) -> tuple[str, dict[str, str]]:
     return best.v, best.d or {}
 
 
-def releases(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """(tag, date, name, url) of releases that aren't drafts or prereleases, whose tag starts with `tag` and that hold one dated asset."""
+def release_dates(spark: SparkSession, path: str | None) -> dict[str, str]:
+    """Version -> date of the ATT&CK index; empty where there is none or it can't be read, as dates only make notes more exact."""
+    try:
+        return latest_attack(spark, path)[1] if path else {}
+    except (AnalysisException, SparkRuntimeException):
+        return {}
+
+
+def latest_folder(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(version, folder name) of the highest attack-MAJOR.MINOR folder of a listing. Names of other forms are passed over, since the name goes
+    into a URL; none at all is an error."""
+    rows = spark.read.schema("name string, type string").option("multiLine", True).json(path)
+    version = ids.group(F.col("name"), r"\Aattack-([0-9]+\.[0-9]+)\z")
+    found = rows.filter("type = 'dir'").withColumn("version", version).filter("version is not null")
+    best = found.agg(F.max_by(F.struct("version", "name"), ids.version_pair(F.col("version"))).alias("b")).first().b
+    if best is None:
+        raise ValueError(f"{path} lists no folder attack-MAJOR.MINOR")
+    return best.version, best["name"]
+
+
+def listed_blob(spark: SparkSession, path: str, name: str) -> str:
+    """The git blob id of a file in a listing; an error if the listing hasn't the file, or what it gives is no such id."""
+    rows = spark.read.schema("name string, type string, sha string").option("multiLine", True).json(path)
+    row = rows.filter((F.col("type") == "file") & (F.col("name") == name)).select("sha").first()
+    if row is None:
+        raise ValueError(f"{path} lists no file {name}")
+    if not re.fullmatch("[0-9a-f]{40}", row.sha or ""):
+        raise ValueError(f"{path} gives {row.sha!r} for {name}, which is no blob id")
+    return row.sha
+
+
+def releases(spark: SparkSession, path: str, tag: str, downloads: str | None = None) -> DataFrame:
+    """(tag, date, name, url) of releases that aren't drafts or prereleases, whose tag starts with `tag` and that hold one dated asset. With
+    downloads, the prefix of the repository's own download URLs, an asset of such a release at any URL but prefix, tag and name refuses all."""
     schema = "tag_name string, draft boolean, prerelease boolean, assets array<struct<name:string,browser_download_url:string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = rows.filter(~F.coalesce("draft", F.lit(False)) & ~F.coalesce("prerelease", F.lit(False)) & F.startswith("tag_name", F.lit(tag)))
+    if downloads:
+        plain = F.filter("assets", lambda a: ids.is_bare_name(a["name"]))  # other names are never asked for
+        strange = F.get(F.filter(plain, lambda a: ~a["browser_download_url"].eqNullSafe(F.concat(F.lit(downloads), F.col("tag_name"), F.lit("/"), a["name"]))), 0)
+        refused = F.raise_error(F.concat(F.lit("a release lists "), strange["name"], F.lit(" at "), F.coalesce(strange["browser_download_url"], F.lit("no URL")))).cast("string")
+        rows = rows.withColumn("assets", plain).withColumn("tag_name", F.when(strange.isNull(), F.col("tag_name")).otherwise(refused))
     dated = F.filter("assets", lambda a: a["name"].rlike(r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*\.(?:xz|zip|zst)$"))
-    kept = rows.filter(~F.coalesce("draft", F.lit(False)) & ~F.coalesce("prerelease", F.lit(False)) & F.startswith("tag_name", F.lit(tag))).withColumn("a", dated).filter(F.size("a") == 1)
+    # A barrier, since a filter moved below the check would pass a strange asset over.
+    kept = rows.select(F.explode(F.array(F.struct("tag_name", dated.alias("a")))).alias("r")).select("r.*").filter("tag_name is not null and size(a) = 1")
     one = F.get("a", 0)
     return kept.select("tag_name", ids.group(one["name"], "([0-9]{4}-[0-9]{2}-[0-9]{2})").alias("date"), one["name"].alias("name"), one["browser_download_url"].alias("url"))
 

@@ -125,6 +125,14 @@ def mappings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str]
     return pairs.filter("control_id is not null").distinct(), reviewed, label
 
 
+def mapping_framework(spark: SparkSession, path: str) -> str | None:
+    """The release of the technique data that a JSON mapping was made for, or null; CSV files don't say."""
+    if path.lower().endswith(".csv"):
+        return None
+    rows = spark.read.schema("metadata struct<attack_version:string>").option("multiLine", True).json(path)
+    return rows.select(F.nullif(F.trim("metadata.attack_version"), F.lit(""))).first()[0]
+
+
 def overrides(spark: SparkSession, path: str | None, named: bool = False) -> tuple[DataFrame, DataFrame]:
     """(added pairs, suppressed pairs) of a small YAML file. Without the file both are empty, unless it was named: then it's an error."""
     found = {}
