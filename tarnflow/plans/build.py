@@ -83,14 +83,39 @@ def refused_edges(objects: DataFrame) -> DataFrame:
     return both.join(living, "_s", "left").withColumn("reason", reason).filter("reason is not null").select("pos", "source_ref", "target_ref", "reason")
 
 
+def live_techniques(objects: DataFrame, version: Column) -> DataFrame:
+    """The live attack-patterns with an id, one of each; a parent that isn't among them is null."""
+    sub = F.coalesce("x_mitre_is_subtechnique", F.lit(False))
+    tactics = F.transform(F.filter(F.coalesce("kill_chain_phases", F.array()), lambda p: p["kill_chain_name"] == "mitre-attack"), lambda p: p["phase_name"])
+    patterns = objects.filter("type = 'attack-pattern' and attack_id is not null and live")
+    live = patterns.select(F.col("attack_id").alias("technique_id"), F.coalesce("name", F.lit("")).alias("name"), sub.alias("is_subtechnique"), F.when(sub, F.substring_index("attack_id", ".", 1)).alias("parent_id"), tactics.alias("tactics"), version.alias("attack_version"), ids.date_part(F.col("created")).alias("created"))
+    return relational.parent_repaired(live.dropDuplicates(["technique_id"]), "technique_id", "parent_id")
+
+
+def _actors(objects: DataFrame) -> DataFrame:
+    return objects.filter("type = 'intrusion-set' and live and attack_id is not null")
+
+
+def _mitigations(objects: DataFrame) -> DataFrame:
+    return objects.filter("type = 'course-of-action' and live and attack_id like 'M%'")
+
+
+def attack_edges(objects: DataFrame, answers: DataFrame | None = None) -> dict[str, DataFrame]:
+    """uses (pos, actor_id, technique_id) between live ends, and mitigates (pos, mitigation_id, technique_id, description) from live mitigations
+    to techniques that answer for the target. answers: target_ref, technique_id; live techniques answer for themselves where it isn't given."""
+    edges = objects.filter("type = 'relationship'").select("pos", "relationship_type", "source_ref", "target_ref", "description")
+    direct = objects.filter("type = 'attack-pattern' and attack_id is not null and live").select(F.col("id").alias("target_ref"), F.col("attack_id").alias("technique_id"))
+    uses = edges.filter("relationship_type = 'uses'").join(_actors(objects).select(F.col("id").alias("source_ref"), F.col("attack_id").alias("actor_id")), "source_ref").join(direct, "target_ref").filter("technique_id like 'T%'")
+    held = edges.filter("relationship_type = 'mitigates'").join(_mitigations(objects).select(F.col("id").alias("source_ref"), F.col("attack_id").alias("mitigation_id")), "source_ref")
+    held = held.join(direct if answers is None else answers, "target_ref")
+    return {"uses": uses.select("pos", "actor_id", "technique_id"), "mitigates": held.select("pos", "mitigation_id", "technique_id", "description")}
+
+
 def _attack(objects: DataFrame) -> dict[str, DataFrame]:
     patterns = objects.filter("type = 'attack-pattern' and attack_id is not null")
     version = F.lit((objects.filter("type = 'x-mitre-collection'").select("x_mitre_version").first() or [None])[0])
     edges = objects.filter("type = 'relationship'").select("pos", "relationship_type", "source_ref", "target_ref", "description")
-    sub = F.coalesce("x_mitre_is_subtechnique", F.lit(False))
-    tactics = F.transform(F.filter(F.coalesce("kill_chain_phases", F.array()), lambda p: p["kill_chain_name"] == "mitre-attack"), lambda p: p["phase_name"])
-    live = patterns.filter("live").select(F.col("attack_id").alias("technique_id"), F.coalesce("name", F.lit("")).alias("name"), sub.alias("is_subtechnique"), F.when(sub, F.substring_index("attack_id", ".", 1)).alias("parent_id"), tactics.alias("tactics"), version.alias("attack_version"), ids.date_part(F.col("created")).alias("created"))
-    live = relational.parent_repaired(live.dropDuplicates(["technique_id"]), "technique_id", "parent_id")
+    live = live_techniques(objects, version)
     refs = patterns.select(F.col("id").alias("ref"), "attack_id", "live")
     by_source, by_target = refs.select(F.col("ref").alias("source_ref"), F.col("attack_id").alias("revoked_id")), refs.select(F.col("ref").alias("target_ref"), F.col("attack_id").alias("replacement_id"))
     revoked = edges.filter("relationship_type = 'revoked-by'").join(by_source, "source_ref").join(by_target, "target_ref")
@@ -101,12 +126,9 @@ def _attack(objects: DataFrame) -> dict[str, DataFrame]:
     moved = ends.join(names, "revoked_id", "left").withColumn("source_version", version)
     answers = refs.join(ends.withColumnRenamed("revoked_id", "attack_id"), "attack_id", "left").select(F.col("ref").alias("target_ref"), F.when(F.col("live"), F.col("attack_id")).otherwise(F.col("replacement_id")).alias("technique_id")).filter("technique_id is not null")
 
-    actors = objects.filter("type = 'intrusion-set' and live and attack_id is not null")
-    uses = edges.filter("relationship_type = 'uses'").join(actors.select(F.col("id").alias("source_ref"), F.col("attack_id").alias("actor_id")), "source_ref")
-    uses = uses.join(refs.filter("live").select(F.col("ref").alias("target_ref"), F.col("attack_id").alias("technique_id")), "target_ref").filter("technique_id like 'T%'")
-    mitigations = objects.filter("type = 'course-of-action' and live and attack_id like 'M%'")
-    pair = edges.filter("relationship_type = 'mitigates'").join(mitigations.select(F.col("id").alias("source_ref"), F.col("attack_id").alias("mitigation_id")), "source_ref").join(answers, "target_ref")
-    pair = rank.winners(pair, ["technique_id", "mitigation_id"], [F.asc("pos")]).select("technique_id", "mitigation_id", "description")
+    edge = attack_edges(objects, answers)
+    actors, mitigations, uses = _actors(objects), _mitigations(objects), edge["uses"]
+    pair = rank.winners(edge["mitigates"], ["technique_id", "mitigation_id"], [F.asc("pos")]).select("technique_id", "mitigation_id", "description")
     strategies = objects.filter("type = 'x-mitre-detection-strategy' and live and attack_id is not null")
     detects = edges.filter("relationship_type = 'detects'").join(strategies.select(F.col("id").alias("source_ref"), F.col("attack_id").alias("detection_strategy_id"), "name"), "source_ref").join(answers, "target_ref")
     detects = rank.winners(detects, ["detection_strategy_id"], [F.asc("pos")]).select("detection_strategy_id", "technique_id", "name")
@@ -120,7 +142,6 @@ def _attack(objects: DataFrame) -> dict[str, DataFrame]:
     logs = held.select(F.col("attack_id").alias("analytic_id"), F.posexplode("x_mitre_log_source_references").alias("k", "l")).select("analytic_id", "k", F.trim(F.coalesce("l.name", F.lit(""))).alias("name_"), F.trim(F.coalesce("l.channel", F.lit(""))).alias("channel"), F.col("l.x_mitre_data_component_ref").alias("ref"))
     logs = logs.withColumn("name", fixed).join(components.select(F.col("id").alias("ref"), F.col("attack_id").alias("data_component_id")), "ref", "left")
     logs = rank.winners(logs, ["analytic_id", "name", "channel"], [F.asc("k")]).select("analytic_id", "name", "channel", "data_component_id")
-
     return {
         "techniques": live, "revoked_technique": moved,
         "actors": actors.select(F.col("attack_id").alias("actor_id"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).dropDuplicates(["actor_id"]),

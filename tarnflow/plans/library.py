@@ -196,6 +196,46 @@ def rule_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.drift(t(spark, sf_dir, "part").select(F.col("p_type").alias("stig_id"), F.col("p_size").cast("string").alias("version")), _GOVERNED)
 
 
+# --- bundles
+
+
+def _bundle_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles in JSON: one of each part (an attack-pattern), supplier (an intrusion-set, or a mitigation where the key is odd), and order
+    (relationships that its lines make). Some parts are sub-techniques, some revoked, and some suppliers deprecated."""
+    ref = lambda i: F.array(F.struct(F.lit("elsewhere").alias("source_name"), F.lit("X").alias("external_id")), F.struct(F.lit("mitre-attack").alias("source_name"), i.alias("external_id")))
+    k, sub = F.col("p_partkey"), F.col("p_partkey") % 7 == 0
+    number = F.when(sub, F.concat(((k / 7).cast("long") * 3).cast("string"), F.lit("."), k.cast("string"))).otherwise(k.cast("string"))
+    phases = F.array(F.struct(F.lit("mitre-attack").alias("kill_chain_name"), F.lower("p_brand").alias("phase_name")), F.struct(F.lit("other").alias("kill_chain_name"), F.lit("no").alias("phase_name")))
+    part = F.struct(F.lit("attack-pattern").alias("type"), F.concat(F.lit("p"), k.cast("string")).alias("id"), F.col("p_name").alias("name"), (k % 10 == 4).alias("revoked"), ref(F.concat(F.lit("T"), number)).alias("external_references"), phases.alias("kill_chain_phases"), sub.alias("x_mitre_is_subtechnique"), F.lit("2020-02-03T00:00:00Z").alias("created"))
+    s = F.col("s_suppkey")
+    odd = s % 2 == 1
+    supplier = F.struct(F.when(odd, "course-of-action").otherwise("intrusion-set").alias("type"), F.concat(F.lit("s"), s.cast("string")).alias("id"), F.col("s_name").alias("name"), (s % 5 == 0).alias("x_mitre_deprecated"), ref(F.concat(F.when(odd, F.when(s % 9 == 0, "T").otherwise("M")).otherwise("G"), s.cast("string"))).alias("external_references"), F.array("s_name", F.lit("also")).alias("aliases"))
+    l_odd = F.col("l_suppkey") % 2 == 1
+    edge = F.struct(F.lit("relationship").alias("type"), F.when(l_odd, "mitigates").otherwise("uses").alias("relationship_type"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_ref"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_ref"))
+    text = lambda objects: F.to_json(F.struct(objects.alias("objects"))).alias("content")
+    parts, suppliers = t(spark, sf_dir, "part").select(text(F.array(part))), t(spark, sf_dir, "supplier").select(text(F.array(supplier)))
+    return parts.unionByName(suppliers).unionByName(t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text(F.collect_list(edge))).select("content"))
+
+
+_PARTS = """with p as (select p_partkey, p_name, p_brand, p_partkey % 7 = 0 as sub, p_partkey % 10 = 4 as gone, 'T' || case when p_partkey % 7 = 0 then ((p_partkey // 7) * 3)::varchar || '.' || p_partkey else p_partkey::varchar end as id from part)"""
+
+
+@query(_PARTS + """, s as (select s_suppkey as k, case when s_suppkey % 2 = 1 then case when s_suppkey % 9 = 0 then 'T' else 'M' end else 'G' end || s_suppkey as id, s_suppkey % 5 = 0 as gone from supplier)
+select distinct case when k % 2 = 1 then 'mitigates' else 'uses' end as edge, s.id as source, p.id as technique from lineitem join p on p_partkey = l_partkey join s on k = l_suppkey where not p.gone and not s.gone and s.id not like 'T%'""")
+def bundle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles in JSON, read again; who uses and what mitigates which live technique."""
+    found = build.attack_edges(documents.bundles(_bundle_texts(spark, sf_dir), "content"))
+    uses = found["uses"].select(F.lit("uses").alias("edge"), F.col("actor_id").alias("source"), F.col("technique_id").alias("technique"))
+    return uses.unionByName(found["mitigates"].select(F.lit("mitigates").alias("edge"), F.col("mitigation_id").alias("source"), F.col("technique_id").alias("technique"))).distinct()
+
+
+@query(_PARTS + """select id, p_name as name, sub, case when sub and exists (select 1 from p q where q.id = split_part(p.id, '.', 1) and not q.gone) then split_part(id, '.', 1) end as parent, lower(p_brand) as tactics, '2020-02-03' as created from p where not gone""")
+def bundle_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live techniques of bundles in JSON, parents that aren't live taken out."""
+    live = build.live_techniques(documents.bundles(_bundle_texts(spark, sf_dir), "content"), F.lit(None).cast("string"))
+    return live.select(F.col("technique_id").alias("id"), "name", F.col("is_subtechnique").alias("sub"), F.col("parent_id").alias("parent"), joined("tactics").alias("tactics"), "created")
+
+
 # --- archives and listings
 
 

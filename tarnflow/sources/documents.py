@@ -87,7 +87,17 @@ BUNDLE = (
 
 def bundle(spark: SparkSession, path: str) -> DataFrame:
     """One row for each object, with its place in the file, its external id and whether it is live."""
-    rows = spark.read.schema(BUNDLE).option("multiLine", True).json(path).select(F.posexplode("objects").alias("pos", "o")).select("pos", "o.*")
+    return _objects(spark.read.schema(BUNDLE).option("multiLine", True).json(path))
+
+
+def bundles(texts: DataFrame, content: str) -> DataFrame:
+    """bundle() of bundles that are texts in a column; places are those in each text. A text that is no bundle has no objects."""
+    # The generator keeps the optimizer from parsing the text again for each column that is read of it.
+    return _objects(texts.select(F.explode(F.array(F.from_json(content, BUNDLE))).alias("b")).select("b.objects"))
+
+
+def _objects(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.posexplode("objects").alias("pos", "o")).select("pos", "o.*")
     refs = F.filter(F.coalesce(F.col("external_references"), F.array()), lambda r: r["source_name"] == "mitre-attack")
     live = ~F.coalesce(F.col("revoked"), F.lit(False)) & ~F.coalesce(F.col("x_mitre_deprecated"), F.lit(False))
     return rows.withColumn("attack_id", F.get(refs, 0)["external_id"]).withColumn("live", live)
