@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import ids
 from tarnflow.operators import arbitration, changes, currency, digest, resolver
-from tarnflow.plans import build, notes, questions
+from tarnflow.plans import build, conformance, notes, questions
 from tarnflow.plans.queries import joined, t
 from tarnflow.plans.registry import query
 from tarnflow.sources import archives, documents, manifest
@@ -236,6 +236,31 @@ def bundle_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.select(F.col("technique_id").alias("id"), "name", F.col("is_subtechnique").alias("sub"), F.col("parent_id").alias("parent"), joined("tactics").alias("tactics"), "created")
 
 
+# --- sweeps of a corpus
+
+
+@query("""with d as (select p_partkey as k, (p_size % 9 + 1)::varchar as d from part) select 'P' || k as stig_id, '0' || d as padded from d where k % 4 <> 2""")
+def padded_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that write a version with a leading zero other than as a minor, on every part."""
+    k, d = F.col("p_partkey"), (F.col("p_size") % 9 + 1).cast("string")
+    title = F.when(k % 4 == 0, F.concat(F.lit("Gadget 0"), d)).when(k % 4 == 1, F.concat(F.lit("Gadget v0"), d)).when(k % 4 == 2, F.concat(F.lit("Gadget 14.0"), d)).otherwise(F.concat(F.lit("Gadget 0"), d, F.lit(" Kit 14.0"), d))
+    stigs = t(spark, sf_dir, "part").select(F.concat(F.lit("P"), k.cast("string")).alias("stig_id"), F.lit("1").alias("version"), title.alias("title"), F.lit("").alias("product_keywords"))
+    return conformance.padded_versions(stigs).select("stig_id", joined("padded").alias("padded"))
+
+
+@query("""with d as (select o_orderkey as k, o_orderkey % 13 = 0 as broken, o_orderstatus = 'P' as silent, o_orderpriority = '5-LOW' as odd from orders)
+select 'error' as severity, printf('%010d', k) as name, 'can''t be read' as message from d where broken
+union all select 'error', 'B' || k, 'says no release, in ' || printf('%010d', k) from d where not broken and silent
+union all select 'warning', 'B' || k, 'has no label of version and release but ' || chr(39) || case when silent then '' else 'Release: 4' end || chr(39) from d where not broken and (silent or odd)""")
+def parse_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each order, parsed; what can't be read, says no release or has no label."""
+    k = F.col("o_orderkey")
+    info = F.when(F.col("o_orderstatus") == "P", " ").otherwise("Release: 4")
+    text = F.concat(F.lit('<Benchmark id="B'), k.cast("string"), F.lit('"><title>T</title><plain-text id="release-info">'), info, F.lit("</plain-text><version>"), F.when(F.col("o_orderpriority") == "5-LOW", "one").otherwise("1"), F.lit("</version>"), F.when(k % 13 == 0, "").otherwise("</Benchmark>"))
+    files = t(spark, sf_dir, "orders").select(F.format_string("%010d", k).alias("source_document"), text.alias("content"))
+    return conformance.parse_findings(documents.benchmarks(files)).drop("phase")
+
+
 # --- archives and listings
 
 
