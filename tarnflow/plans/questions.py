@@ -11,6 +11,7 @@ from tarnflow.functions import ids, text
 from tarnflow.operators import currency, entities, rank, relational, resolver
 from tarnflow.plans import notes as said
 from tarnflow.schema import SCHEMA_VERSION
+from tarnflow.sources.publish import shaped
 
 CATS = ("I", "II", "III")
 MOST = {"benchmark_ids": 200, "finding_ids": 50, "defense_ids": 10, "log_sources": 100}
@@ -214,7 +215,8 @@ def defenses_for_technique(kb: dict[str, DataFrame], technique_id: str, system_d
     detect = {"detection_strategy": {"id": found[0].detection_strategy_id, "name": found[0].strategy_name}} | _analytics(analytics, platforms, log_sources, lambda a: {"name": a.name, "platforms": a.platforms}) if found else None
     listed = _listed(by_rule, cats)
     if not controls:
-        notes += said.uncontrolled_notes(kb["techniques"].join(one, "technique_id", "left_semi"), kb["technique_control"], kb["ingest_meta"])
+        own, pairs, meta = (shaped(kb[t], t) for t in ("techniques", "technique_control", "ingest_meta"))
+        notes += said.uncontrolled_notes(own.join(one, "technique_id", "left_semi"), pairs, meta)
     notes += _standing(kb, scope, [c for c, e in answer_controls.items() if not e["rules"]], cats)
     return {
         "summary": _summary(by_rule, {c: e["rules"] for c, e in answer_controls.items()}, _counts(len(mitigations), analytics, platforms, log_sources), listed),
@@ -227,7 +229,8 @@ def defenses_for_technique(kb: dict[str, DataFrame], technique_id: str, system_d
 def _standing(kb: dict[str, DataFrame], scope: list[tuple[str, str]], ruleless: list[str], cats: list[str] | None) -> list[str]:
     """Notes on controls without rules, on benchmarks that may not be current, and on a mapping of another release than the techniques'."""
     empty = said.ruleless_note(sorted(ruleless), cats) if scope else None
-    return [n for n in (empty, *said.currency_notes(kb["stigs"], kb["ingest_meta"], scope), said.version_gap_note(kb["ingest_meta"])) if n]
+    stigs, meta = (shaped(kb[t], t) for t in ("stigs", "ingest_meta"))  # tables made by hand may lack columns
+    return [n for n in (empty, *said.currency_notes(stigs, meta, scope), said.version_gap_note(meta)) if n]
 
 
 def resolved_actor(kb: dict[str, DataFrame], actor: str) -> dict:
