@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,22 @@ from pyspark.sql import functions as F
 #: Parts into which a key that may be hot is dealt.
 SALTS = 64
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What a Python worker keeps from task to task, for one operator at a time: workers live on from stage to stage, and what other operators
+    kept would add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Let go of what the worker keeps, where an operator keeps nothing itself."""
+    _held.clear()
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

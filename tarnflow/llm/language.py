@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import drop_stored, ship, stored
+from tarnflow.llm.common import drop_stored, let_go, ship, stored
 
 #: The classifier is fitted on a sample of labelled documents, chosen by a hash of doc_id and text: about so many documents and characters of each
 #: language at most, and so many characters of all. Every word and n-gram of the sample is kept, so these bound the model too.
@@ -122,6 +122,7 @@ class Model:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
@@ -158,6 +159,7 @@ def fitted(docs: DataFrame) -> Model:
 
 def _predictor(model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found = [model.value.predict(t) for t in batch.column(len(columns)).to_pylist()]
             made = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
@@ -168,6 +170,7 @@ def _predictor(model, columns: list[str]):
 
 def _filter(model, columns: list[str], sure: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found = [model.value.predict(t) for t in batch.column(len(columns)).to_pylist()]
             keep = pa.array([f[0] != UNKNOWN and (f[1] >= sure or f[2] > 0) for f in found], pa.bool_())

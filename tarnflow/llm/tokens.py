@@ -1,8 +1,10 @@
 """Byte-level BPE ids by the tokenizers library, with a bounded cache of words kept by each Python worker.
 
 Byte-level BPE never merges across its pre-tokens, so a text's ids are those of its pre-tokens in a row. Most words of a corpus recur: each
-worker keeps the ids of those it has met and asks the library only for new ones, many at a time. Texts whose spaces do not part the
-pre-tokens (two spaces in a row) and texts with a special token's string are encoded whole by the library.
+worker keeps the ids of those it has met and asks the library's model only for new ones, pre-token by pre-token. The split into pre-tokens is
+made here; each character that occurs is held once against the library's own split, and words with one that the two class differently are
+encoded whole by the library, as are texts whose spaces do not part the pre-tokens (two spaces in a row) and texts with a special token's
+string.
 """
 
 from __future__ import annotations
@@ -11,11 +13,17 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tarnflow.llm.common import held
 
 #: Entries of a worker's cache of words; over that it starts afresh. What is met for the first time stays outside.
 CACHE_WORDS = 1_000_000
-#: Chunks that are new to the cache, gathered for one round of calls.
-NEW_CHUNKS = 8_000
+#: Entries of a worker's cache of two generations, without one round's new ones.
+RECENT_WORDS = 800_000
+#: Characters of the texts, one text at least, whose words are looked up in one round.
+ROUND_CHARS = 4_000_000
 #: Characters of one call of the library for whole texts.
 CALL_CHARS = 200_000
 _FIXED = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -23,14 +31,20 @@ _FIXED = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 #: character that marks a text's first word here.
 _WHOLE = ("  ", "\0", "\x1c", "\x1d", "\x1e", "\x1f")
 
-_open: dict[str, "Words"] = {}
+
+def _byte_letters() -> dict[str, str]:
+    """The letters that stand for bytes that aren't letters of their own in a byte-level vocabulary; \\0 stays, as it parts the words here."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): chr(256 + k) for k, b in enumerate(rest) if b}
+
+
+_LETTERS = _byte_letters()
 
 
 def words_of(path: str) -> "Words":
     """This worker's encoder for the file."""
-    if path not in _open:
-        _open[path] = Words(path)
-    return _open[path]
+    return held(("words", path), lambda: Words(path))
 
 
 class Met:
@@ -52,19 +66,37 @@ class Met:
                 met[at] = 1
 
 
+class Recent:
+    """A bounded cache of two generations: when the young one is full it becomes the old one, and what isn't asked for again until the next
+    change is forgotten."""
+
+    def __init__(self, most: int = RECENT_WORDS):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys) -> set:
+        """Those of keys that aren't known. The others are in the young generation until the next call."""
+        if 2 * len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = {k for k in keys if k not in young}
+        again = [k for k in new if k in old]
+        young.update(zip(again, map(old.__getitem__, again)))  # noqa: B905
+        return new.difference(again) if again else new
+
+
 class Words:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.apart = [*_WHOLE, *[t.content for t in self.tokenizer.get_added_tokens_decoder().values()]]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.mark = newline[0] if len(newline) == 1 else None
-        self.words = Met()
-        self.cache: dict[str, bytes] = self.words.kept
+        self.words = Recent()
+        #: Characters held against the library's split, and those of them that it classes differently.
+        self.seen, self.odd = {chr(c) for c in range(128)}, set()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out, run, size = [], [], 0
@@ -76,38 +108,47 @@ class Words:
                 run, size = [], 0
         return out
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of pre-tokens, each a word with the space before it or a mark, by few calls of the library."""
-        found: dict[str, bytes] = {}
-        # A line feed alone is a pre-token of its own before any other, so it parts the words.
-        joined = [w for w in words if "\n" not in w and not w.isspace()] if self.mark is not None else []
-        for k in range(0, len(joined), 500):
-            part = joined[k : k + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist()
-            if len(cuts) == len(part) - 1:
-                raw, step = ids.tobytes(), ids.itemsize
-                found.update(zip(part, [raw[b:e] for b, e in zip([0, *[c + step for c in cuts]], [*cuts, len(raw)], strict=True)], strict=True))
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._whole(rest), strict=True))
-        return found
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks: what stands between two spaces, with the first of them; after the mark \\0, a text's first. Those met before in this
-        worker go to its cache."""
-        cache = self.cache
-        plain = [c for c in chunks if c.isalpha()]
-        rest = {c: _FIXED.findall(c[1:] if c[:1] == "\0" else " " + c) for c in chunks.difference(plain)}
-        marks = {m for pieces in rest.values() for m in pieces}
-        need = {" " + c: c for c in plain}
-        # Pieces that are a space and a word are known under that word.
-        more = [m for m in marks if m not in need and not (m[0] == " " and m[1:] in cache)]
-        ids = self._words([*need, *more])
-        found = {c: ids[w] for w, c in need.items()}
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, by the library's model."""
+        if not pieces:
+            return []
+        tokenize, flat, ends = self.model.tokenize, [], [0]
+        joined = "\0".join(pieces).encode().decode("latin-1")
+        for c in _LETTERS.keys() & set(joined):
+            joined = joined.replace(c, _LETTERS[c])
+        for piece in joined.split("\0"):
+            flat += [t.id for t in tokenize(piece)]
+            ends.append(len(flat))
+        raw, step = np.array(flat, self.dtype).tobytes(), self.dtype.itemsize
+        return [raw[step * b : step * e] for b, e in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _odd_in(self, chunks: set[str]) -> list[str]:
+        """The chunks with a character that the library's split classes differently than _FIXED."""
+        for c in set("".join(chunks)).difference(self.seen):
+            mine = "a" if c.isalpha() else "1" if c.isdecimal() else "?" if c.isalnum() else " " if c.isspace() else "-"
+            alike = [x for x in "a1-" if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(x + c + x)) == 1]
+            if (alike or [" "]) != [mine]:
+                self.odd.add(c)
+            self.seen.add(c)
+        return [c for c in chunks if not self.odd.isdisjoint(c)] if self.odd else []
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Take in chunks: what stands between two spaces, with the first of them; after the mark \\0, a text's first, or a pre-token without a
+        space."""
+        known = self.words.young
+        odd = self._odd_in(chunks)
+        known.update(zip(odd, self._whole([c[1:] if c[:1] == "\0" else " " + c for c in odd]), strict=True))
+        sound = chunks.difference(odd) if odd else chunks
+        plain = [c for c in sound if c.isalpha()]
+        known.update(zip(plain, self._pieces([" " + c for c in plain]), strict=True))
+        rest = {c: _FIXED.findall(c[1:] if c[:1] == "\0" else " " + c) for c in sound.difference(plain)}
+        # Pieces that are a space and a word are known under that word, others under the mark and themselves.
+        keys = {p: p[1:] if p[0] == " " else "\0" + p for p in set().union(*rest.values())}
+        new = [p for p, k in keys.items() if k not in known]
+        known.update(zip([keys[p] for p in new], self._pieces(new), strict=True))
+        ids = {p: known[k] for p, k in keys.items()}
         for c, pieces in rest.items():
-            found[c] = b"".join([ids[m] if m in ids else cache[m[1:]] for m in pieces])
-        self.words.learn(found)
-        return found
+            known[c] = b"".join([ids[p] for p in pieces])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, equal to the library's."""
@@ -115,30 +156,31 @@ class Words:
         out: list = [None] * len(texts)
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        open_texts: list[tuple[int, list[str], list]] = []
-        new: set[str] = set()
+        waiting: list[int] = []
+        size = 0
 
         def settle() -> None:
-            found = self._learn(new)
-            for at, chunks, ids in open_texts:
-                out[at] = b"".join([i if i is not None else found[c] for c, i in zip(chunks, ids)])  # noqa: B905
-            open_texts.clear()
-            new.clear()
+            chunks = pc.split_pattern(pa.array([texts[k][1:] if texts[k][0] == " " else "\0" + texts[k] for k in waiting], pa.large_string()), " ")
+            coded = chunks.flatten().dictionary_encode()
+            keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist()
+            if new := self.words.missing(keys):
+                self._learn(new)
+            ids = pa.array(map(self.words.young.__getitem__, keys), pa.large_binary(), size=len(keys)).take(coded.indices)
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[chunks.offsets.to_numpy()].tolist()
+            raw = memoryview(ids.buffers()[2] or b"")
+            for k, b, e in zip(waiting, ends[:-1], ends[1:], strict=True):
+                out[k] = raw[b:e]
+            waiting.clear()
 
         for k, text in enumerate(texts):
-            if out[k] is None:
-                chunks = text.split(" ")
-                if chunks[0]:
-                    chunks[0] = "\0" + chunks[0]
-                else:
-                    del chunks[0]
-                ids = list(map(self.cache.get, chunks))
-                if None in ids:
-                    new.update([c for c, i in zip(chunks, ids) if i is None])  # noqa: B905
-                    open_texts.append((k, chunks, ids))
-                    if len(new) >= NEW_CHUNKS:
-                        settle()
-                else:
-                    out[k] = b"".join(ids)
-        settle()
+            if not text:
+                out[k] = b""
+            elif out[k] is None:
+                waiting.append(k)
+                size += len(text)
+                if size >= ROUND_CHARS:
+                    settle()
+                    size = 0
+        if waiting:
+            settle()
         return [np.frombuffer(b, self.dtype) for b in out]

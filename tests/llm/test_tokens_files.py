@@ -120,3 +120,21 @@ def test_windows_are_bounded_and_lose_nothing(lengths, most):
     closed += windows.rest()
     assert sorted(i for w in closed for i in w) == list(enumerate(lengths))
     assert all(sum(n for _, n in w) <= 50 for w in closed)
+
+
+def test_words_are_asked_for_once(words, monkeypatch):
+    asked = []
+    monkeypatch.setattr(words, "_pieces", lambda pieces, own=words._pieces: asked.extend(pieces) or own(pieces))
+    text = "Quaxorin zuvelthe, brombitter.\nQuaxorin été² 1² x½y"
+    for _ in range(3):
+        assert words.encode([text, text[::-1]])[0].tolist() == library(words, [text])[0]
+    assert asked.count(" brombitter") == 1 and len(asked) == len(set(asked))
+
+
+def test_worker_holds_one_operators_words_at_a_time():
+    from tarnflow.llm import common, language
+    from tarnflow.llm.tokens import words_of
+
+    assert words_of(BPE) is words_of(BPE) and len(common._held) == 1
+    list(language._counter(iter([])))
+    assert not common._held
