@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import drop_stored, lookup, salt, ship, stored
+from tarnflow.llm.common import drop_stored, let_go, lookup, salt, ship, stored
 from tarnflow.llm.graph import components, extended
 
 WORDS, PERCENT = 5, 75
@@ -127,6 +127,7 @@ def _listed(rows: np.ndarray, present: list[bool]) -> pa.ListArray:
 
 def _sketcher(bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
@@ -142,6 +143,7 @@ def _sketcher(bands: int, rows: int, words: int):
 
 def _refiner(size: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
                 part = batch.slice(at, 50)
@@ -153,6 +155,7 @@ def _refiner(size: int, words: int):
 
 def _verifier(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         hub = hub_set = None
         for batch in batches:
             found = []
@@ -272,7 +275,8 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ba
     by_row = stored(out.groupBy("doc_id", "text_key").agg(F.bool_or(first).alias("first"), F.count("*").alias("n")).filter("not first or n > 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "first"), "dropped")
     # The columns of docs in one, so that none of their names meets one of ours.
     own, same = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")), F.expr("d.doc_id <=> _doc and xxhash64(d.text) = _key")
-    found = own.join(by_row.filter("not first").select("_doc", "_key"), same, "left_anti")
+    # Shuffled at every size, as the other joins with texts are: a broadcast of these keys would grow with the input, and sorts would hold texts.
+    found = own.join(by_row.filter("not first").select("_doc", "_key").hint("shuffle_hash"), same, "left_anti")
     repeated = by_row.filter("first").select("_doc", "_key")
     if repeated.isEmpty():
         return found.select("d.*")

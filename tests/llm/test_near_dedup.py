@@ -169,3 +169,8 @@ def test_components_of_more_edges(spark, rng):
     got = graph.extended(graph.components(frame(edges[:120])), frame(edges[120:]))
     want = {r.node: r.root for r in graph.components(frame(edges)).collect()}
     assert {r.node: r.root for r in got.collect()} == want and graph.extended(graph.components(frame(edges)), frame([])).count() == len(want)
+
+
+def test_texts_are_dropped_by_a_shuffled_join(corpus):
+    plan = neardup.deduplicated(corpus)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
