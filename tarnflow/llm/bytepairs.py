@@ -22,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tarnflow.llm.common import ship
-from tarnflow.llm.tokens import Met
+from tarnflow.llm.tokens import Recent
 
-#: Characters of text or ids taken at a time, words kept by a worker, rounds of one recursive query (its rows all stay until it ends), bytes
-#: of a word up to which one pair is contracted a round (a cheaper query; over that it would take a round for each byte).
-CHARS, IDS, KEPT, ROUNDS, SHORT = 600_000, 300_000, 300_000, 48, 256
+#: Characters of text taken at a time, those of the new words of one recursive query, ids taken at a time, words kept by a worker, rounds of
+#: one recursive query (its rows all stay until it ends), bytes of a word up to which one pair is contracted a round (a cheaper query; over
+#: that it would take a round for each byte).
+CHARS, WORD_CHARS, IDS, KEPT, ROUNDS, SHORT = 2_000_000, 300_000, 300_000, 500_000, 48, 256
 
 #: Each word's leftmost pair of its least rank.
 _ONE = f"""
@@ -91,7 +92,7 @@ class Merges:
         import duckdb
 
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.tokens, self.known = tokens, Met(KEPT)
+        self.tokens, self.known = tokens, Recent(KEPT)
         self._table("vocabulary", pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "piece": pa.array(tokens, pa.binary())}))
         self.rising = self._rises() if rising is None else rising
 
@@ -138,24 +139,20 @@ class Merges:
         return not any(fell and len(ids) == 1 for fell, ids in zip(ended["fell"].to_pylist(), ended["ids"].to_pylist()))
 
     def encoded(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words. A word that is a token of its own is that token, whatever its contraction gives; what is met for the second time
-        is kept."""
-        kept = self.known.kept
-        out = {w: kept[w] for w in words if w in kept}
+        """The ids of words. A word that is a token of its own is that token, whatever its contraction gives; words are kept when first met."""
         short: list[str] = []
         long: list[str] = []
-        found: dict[str, bytes] = {}
-        for w in words - out.keys():
+        new, found = self.known.missing(words), self.known.young
+        for w in new:
             data = w.encode()
             if (i := self.whole.get(data)) is not None:
                 found[w] = np.uint32(i).tobytes()
             else:
                 (long if self.rising and len(data) > SHORT else short).append(w)
         for part, one in ((short, True), (long, False)):
-            for low, high in _slices(np.array([len(w) for w in part]), CHARS // 2):
+            for low, high in _slices(np.array([len(w) for w in part]), WORD_CHARS):
                 self._read(part[low:high], self.contracted([w.encode() for w in part[low:high]], one), found)
-        self.known.learn(found)
-        return out | found
+        return dict(zip(words, map(found.__getitem__, words)))  # noqa: B905
 
     def _read(self, words: list[str], ended: pa.Table, found: dict[str, bytes]) -> None:
         ids = ended["ids"].combine_chunks()

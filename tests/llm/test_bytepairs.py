@@ -103,3 +103,13 @@ def test_unknown_ids_are_an_error(spark):
     df = spark.createDataFrame([(bytearray(np.array([7, 60_000], "<u4").tobytes()),)], "ids binary")
     with pytest.raises(PythonException, match="not in the vocabulary"):
         bytepairs.decoded(df, PATH).collect()
+
+
+def test_words_are_contracted_once(monkeypatch, library):
+    with open(PATH, "rb") as file:
+        merges = bytepairs.Merges(bytepairs.ranks(file.read()), True)
+    asked = []
+    monkeypatch.setattr(merges, "contracted", lambda words, one=True, own=merges.contracted: asked.extend(words) or own(words, one))
+    for _ in range(3):
+        assert plain(merges.encoded({" quaxorin"})[" quaxorin"]) == library.encode_ordinary(" quaxorin")
+    assert asked == [b" quaxorin"]
