@@ -18,12 +18,13 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
 
     block, held, rows = TaskContext.get().partitionId() << 32, 0, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and held + len(row[0]) > most:
-                yield block, [list(c) for c in zip(*rows)]
-                block, held, rows = block + 1, 0, []
-            rows.append(row)
-            held += len(row[0]) + 1
+        for k in range(0, batch.num_rows, 500):
+            for row in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns)):
+                if rows and held + len(row[0]) > most:
+                    yield block, [list(c) for c in zip(*rows)]
+                    block, held, rows = block + 1, 0, []
+                rows.append(row)
+                held += len(row[0]) + 1
     if rows:
         yield block, [list(c) for c in zip(*rows)]
 

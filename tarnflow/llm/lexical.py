@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from tarnflow.llm.common import drop_stored, lookup, ship, stored
 from tarnflow.llm.inverted import blocks, grouped, words
 
-#: Bytes of text of a block, and best documents kept for each term.
-BLOCK_BYTES, K = 24_000_000, 10
+#: Bytes of text of a block, those whose words are numbered at a time, and best documents kept for each term.
+BLOCK_BYTES, SLICE_BYTES, K = 24_000_000, 3_000_000, 10
 # Bytes of terms are digits, letters and all above 127; the score's constants.
 _TERM = np.zeros(256, bool)
 _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
@@ -34,18 +34,39 @@ _LISTS = "term string, block long, docs array<long>, tfs array<int>, ns array<in
 ITEMS = 1000
 
 
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of SLICE_BYTES at most, one text at least."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        if i > start and held + len(text) > SLICE_BYTES:
+            yield start, i
+            start, held = i, 0
+        held += len(text) + 1
+    yield start, len(texts)
+
+
 def block_lists(texts: list[bytes], keys: list[int]) -> tuple[pa.Table, np.ndarray]:
     """(lists by term, texts with a term): lists name texts by their keys; under the empty term stand all texts that have a term, with its
     count of terms."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    starts, distinct, codes = words(data, _TERM[data])
-    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
-    n = np.bincount(doc, minlength=len(texts)).astype(np.int32)
-    found, tf = np.unique(codes * len(texts) + doc, return_counts=True)
-    doc = found % len(texts)
-    _, at, offsets = grouped(found // len(texts))
+    n, parts = np.zeros(len(texts), np.int32), []
+    for low, high in _slices(texts):
+        data = np.frombuffer(b" ".join(texts[low:high]), np.uint8)
+        starts, distinct, codes = words(data, _TERM[data])
+        doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts[low:high]]), starts, side="right")
+        n[low:high] = np.bincount(doc, minlength=high - low)
+        found, tf = np.unique(codes * (high - low) + doc, return_counts=True)
+        parts.append((distinct, (found // (high - low)).astype(np.int32), (found % (high - low) + low).astype(np.int32), tf.astype(np.int32)))
+    del data, starts, codes, found
+    # The slices' words numbered over the block; its texts ascend within a word, as slices do.
+    all_words = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+    distinct, numbers, ends = all_words.dictionary, all_words.indices.to_numpy(), np.cumsum([0, *[len(p[0]) for p in parts]])
+    codes = np.concatenate([numbers[b:e][p[1]] for p, b, e in zip(parts, ends[:-1], ends[1:])])
+    doc, tf = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
+    del parts
+    order, at, offsets = grouped(codes)
+    doc, tf = doc[order], tf[order]
     some = np.flatnonzero(n)
-    docs, tfs, ns = np.array(keys, np.int64)[np.concatenate([doc, some])], np.concatenate([tf.astype(np.int32), n[some]]), np.concatenate([n[doc], n[some]])
+    docs, tfs, ns = np.array(keys, np.int64)[np.concatenate([doc, some])], np.concatenate([tf, n[some]]), np.concatenate([n[doc], n[some]])
     offsets = pa.array(np.append(offsets, len(docs)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (docs, tfs, ns)]
     return pa.table([pa.concat_arrays([distinct.take(pa.array(at)).cast(pa.string()), pa.array([""])]), *lists], ["term", "docs", "tfs", "ns"]), some
@@ -71,9 +92,12 @@ def lists_of(df: DataFrame, id_column: str, text: str) -> DataFrame:
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))
             ids = [ids[i] for i in order]
             table, some = block_lists([texts[i] for i in order], range(first, first + len(ids)))
+            del texts
             first += len(ids)
             named = pa.array([*[None] * (table.num_rows - 1), [ids[i] for i in some]], pa.list_(kind))
             yield from table.add_column(1, "block", pa.array(np.full(table.num_rows, block))).append_column("ids", named).to_batches(50_000)
+            del table, named
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, f"{_LISTS}, ids array<{rows.schema['id'].dataType.simpleString()}>")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -83,3 +84,21 @@ def test_a_word_of_all_documents_and_items(spark):
     docs = [(i, "the " * (1 + i % 5) + ("rare" if i % 97 == 0 else f"own{i}")) for i in range(600)]
     items = [(i, f"the rare own{i}") for i in range(0, 600, 60)] + [(999, "the")]
     assert found(pairs(spark, docs, "doc_id").repartition(4), pairs(spark, items, "item_id")) == told(docs, items)
+
+
+def test_block_in_slices(monkeypatch, rng):
+    """Short words need many times their bytes while they are numbered, so a block's are numbered by slices, which gives the same lists."""
+    vocabulary = [chr(97 + i) for i in range(26)] + ["É", "日本", "x9"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))).encode() for _ in range(100)] + [b"?!", b"w " * 300, b"last"]
+    monkeypatch.setattr(lexical, "SLICE_BYTES", 10**9, raising=False)
+    whole, some = lexical.block_lists(texts, range(7, 7 + len(texts)))
+    monkeypatch.setattr(lexical, "SLICE_BYTES", 200)
+    sliced, again = lexical.block_lists(texts, range(7, 7 + len(texts)))
+    assert sliced.to_pylist() == whole.to_pylist() and again.tolist() == some.tolist()
+    monkeypatch.undo()
+    texts = [b"a b c d e f g h " * 500] * 1500
+    tracemalloc.start()
+    lexical.block_lists(texts, range(len(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * sum(map(len, texts))
