@@ -36,7 +36,9 @@ def _counter(kind: str, symbols: int):
         total = np.zeros(symbols, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(k, 500).to_pylist()), kind), minlength=symbols)
+                part = batch.column(0).slice(k, 500).cast(pa.large_binary())
+                ends = np.frombuffer(part.buffers()[1], np.int64)[part.offset :]
+                total += np.bincount(np.frombuffer(part.buffers()[2] or b"", np.uint8)[ends[0] : ends[len(part)]].view(kind), minlength=symbols)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["symbol", "n"])
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,19 @@ def let_go() -> None:
     _held.clear()
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without Python's collector of cycles, for a stretch that makes very many small objects and no cycles: it would look through them, and
+    through what the worker keeps, again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -125,24 +125,29 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     offsets, sizes = take("<u8", head["blocks"]), take("<u4", head["blocks"]).astype(np.int64)
     steps = -(-sizes // STEP)
     marks = take("<u4", int(steps.sum())).astype(np.int64)
-    words = np.append(take(">u2", (len(data) - at) // 2).astype(np.uint64), np.zeros(3, np.uint64))
-    bit = np.repeat(offsets.astype(np.int64) * 8, steps) + marks
+    words = np.append(take(">u2", (len(data) - at) // 2).astype(np.uint32), np.zeros(3, np.uint32))
+    pairs = (words[:-1] << np.uint32(16)) | words[1:]
     # Ids in each stretch: STEP, but for the last of a block.
-    length = np.full(len(bit), STEP, np.int64)
-    if len(bit):
+    length = np.full(len(marks), STEP, np.int64)
+    if len(marks):
         length[np.cumsum(steps) - 1] = sizes - (steps - 1) * STEP
-    first = np.cumsum(length) - length
+    # Longer stretches first, so that those that still have an id are the first ones.
+    order = np.argsort(-length, kind="stable")
+    bit, live = (np.repeat(offsets.astype(np.int64) * 8, steps) + marks)[order], np.searchsorted(-length[order], -np.arange(STEP))
     symbols, spans = table(lengths, head["longest"])
-    out = np.zeros(head["tokens"], np.uint32)
-    for k in range(STEP):
-        live = np.flatnonzero(length > k) if k else np.arange(len(bit))
-        if not len(live):
-            break
-        here = bit[live]
-        word = here >> 4
-        window = ((words[word] << np.uint64(16)) | words[word + 1]) >> (np.uint64(16) - (here & 15).astype(np.uint64)) & np.uint64(0xFFFF)
-        out[first[live] + k] = symbols[window]
-        bit[live] = here + spans[window]
+    coded = symbols.astype(np.uint32) << np.uint32(5) | spans  # a length has 5 bits
+    side = np.zeros((STEP, len(marks)), np.uint32)
+    for k, n in enumerate(live.tolist()):
+        here = bit[:n]
+        window = (pairs[here >> 4] >> (16 - (here & 15)).astype(np.uint32)) & np.uint32(0xFFFF)
+        found = coded[window]
+        side[k, :n] = found >> np.uint32(5)
+        here += found & np.uint32(31)
+    out = np.zeros((len(marks), STEP), np.uint32)
+    out[order] = side.T
+    out = out.reshape(-1)
+    if head["tokens"] < len(out):
+        out = out[(np.arange(STEP) < length[:, None]).reshape(-1)]
     return [None if z else k for k, z in zip(keys.tolist(), null.tolist(), strict=True)], counts, out
 
 

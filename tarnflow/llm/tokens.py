@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tarnflow.llm.common import held
+from tarnflow.llm.common import held, uncollected
 
 #: Entries of a worker's cache of words; over that it starts afresh. What is met for the first time stays outside.
 CACHE_WORDS = 1_000_000
@@ -30,13 +30,20 @@ _FIXED = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 #: Where the split at single spaces doesn't hold: runs of spaces, separators that Python counts as white space and Unicode doesn't, and the
 #: character that marks a text's first word here.
 _WHOLE = ("  ", "\0", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Marks that are a pre-token of their own where a chunk ends with them, after an ASCII letter or digit.
+_MARKS = ".,;:!?"
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 
 
-def _byte_letters() -> dict[str, str]:
-    """The letters that stand for bytes that aren't letters of their own in a byte-level vocabulary; \\0 stays, as it parts the words here."""
+def _byte_letters() -> np.ndarray:
+    """The letters that stand for bytes in a byte-level vocabulary, as 16-bit code points; \\0 stays, as it parts the words here."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): chr(256 + k) for k, b in enumerate(rest) if b}
+    letters = np.arange(256, dtype="<u2")
+    rest = np.setdiff1d(letters, own)
+    letters[rest] = 256 + np.arange(len(rest))
+    letters[0] = 0
+    return letters
 
 
 _LETTERS = _byte_letters()
@@ -83,6 +90,36 @@ class Recent:
         young.update(zip(again, map(old.__getitem__, again)))  # noqa: B905
         return new.difference(again) if again else new
 
+    def values(self, keys: list) -> list:
+        """What is known of each of keys, None for the others. All known ones are in the young generation until the next call."""
+        if 2 * len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        for i in [i for i, v in enumerate(out) if v is None]:
+            if (v := old.get(keys[i])) is not None:
+                young[keys[i]] = out[i] = v
+        return out
+
+
+def _parted(chunks: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeStringArray]:
+    """(chunks without their last marks, these marks; empty where there are none, or none that are a
+    pre-token of their own)."""
+    data, ends = np.frombuffer(chunks.buffers()[2] or b"", np.uint8), np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+    size = pc.binary_length(pc.ascii_rtrim(chunks, _MARKS)).to_numpy()
+    cut = ends[:-1] + size
+    apart = (cut < ends[1:]) & (size > 0)
+    apart[apart] = _ALNUM[data[cut[apart] - 1]]
+    cut = np.where(apart, cut, ends[1:])
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[cut[apart]], edges[ends[1:][apart]] = 1, -1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+
+    def part(mask: np.ndarray, lengths: np.ndarray) -> pa.LargeStringArray:
+        return pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(np.append(0, np.cumsum(lengths))), pa.py_buffer(data[mask]))
+
+    return part(~inside, cut - ends[:-1]), part(inside, ends[1:] - cut)
+
 
 class Words:
     def __init__(self, path: str):
@@ -113,9 +150,7 @@ class Words:
         if not pieces:
             return []
         tokenize, flat, ends = self.model.tokenize, [], [0]
-        joined = "\0".join(pieces).encode().decode("latin-1")
-        for c in _LETTERS.keys() & set(joined):
-            joined = joined.replace(c, _LETTERS[c])
+        joined = _LETTERS[np.frombuffer("\0".join(pieces).encode(), np.uint8)].tobytes().decode("utf-16-le")
         for piece in joined.split("\0"):
             flat += [t.id for t in tokenize(piece)]
             ends.append(len(flat))
@@ -150,6 +185,7 @@ class Words:
         for c, pieces in rest.items():
             known[c] = b"".join([ids[p] for p in pieces])
 
+    @uncollected()
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, equal to the library's."""
         whole = [k for k, t in enumerate(texts) if any([s in t for s in self.apart])]
@@ -162,10 +198,18 @@ class Words:
         def settle() -> None:
             chunks = pc.split_pattern(pa.array([texts[k][1:] if texts[k][0] == " " else "\0" + texts[k] for k in waiting], pa.large_string()), " ")
             coded = chunks.flatten().dictionary_encode()
-            keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist()
-            if new := self.words.missing(keys):
-                self._learn(new)
-            ids = pa.array(map(self.words.young.__getitem__, keys), pa.large_binary(), size=len(keys)).take(coded.indices)
+            stems, marks = (x.dictionary_encode() for x in _parted(coded.dictionary))
+            keys = stems.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist()
+            n, keys = len(keys), keys + ["\0" + m for m in marks.dictionary.to_pylist() if m]
+            found = self.words.values(keys)
+            if new := [i for i, v in enumerate(found) if v is None]:
+                self._learn({keys[i] for i in new})
+                for i in new:
+                    found[i] = self.words.young[keys[i]]
+            after = iter(found[n:])
+            first = pa.array(found[:n], pa.large_binary()).take(stems.indices)
+            last = pa.array([next(after) if m else b"" for m in marks.dictionary.to_pylist()], pa.large_binary()).take(marks.indices)
+            ids = pc.binary_join_element_wise(first, last, pa.scalar(b"", pa.large_binary())).take(coded.indices)
             ends = np.frombuffer(ids.buffers()[1], np.int64)[chunks.offsets.to_numpy()].tolist()
             raw = memoryview(ids.buffers()[2] or b"")
             for k, b, e in zip(waiting, ends[:-1], ends[1:], strict=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import random
 import zlib
 
@@ -138,3 +139,20 @@ def test_worker_holds_one_operators_words_at_a_time():
     assert words_of(BPE) is words_of(BPE) and len(common._held) == 1
     list(language._counter(iter([])))
     assert not common._held
+
+
+def test_last_marks_are_looked_up_apart():
+    """A word with and without marks after it is one entry of the cache; ids stay the library's, also where marks join what is before them."""
+    words = Words(BPE)
+    texts = ["alpha alpha, alpha. alpha; alpha?! alpha: Alpha... x9, 42.", "alpha, alpha. (alpha). it's, é, é. ... , . !? word\n. a\n, _. '. '', \"alpha\".", "!", ",", "a.", " a.", " .", ". ", "a. ", "ñ!", "日本, 日本.", "a.b, a,b.", "x.\n", "x.\ty,"]
+    for text in texts:
+        assert words.encode([text])[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [a.tolist() for a in words.encode(texts)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "alpha" in words.words.young and not {"alpha,", "alpha.", "alpha?!", "x9,", "42."} & words.words.young.keys()
+
+
+def test_encoding_leaves_the_collector_as_it_was():
+    words, seen = Words(BPE), []
+    words._odd_in = lambda chunks: seen.append(gc.isenabled()) or []
+    words.encode(["some words"])
+    assert seen == [False] and gc.isenabled()
