@@ -2,7 +2,7 @@
 
 A batch's new words become rows (word, position, token). Each round of a recursive query joins neighbours with the merge table, takes every
 word's least rank and contracts its leftmost pair of that rank, until no word has a pair left. Decoding joins rows (document, position, id)
-with the vocabulary and puts the bytes together by an ordered aggregate.
+with the vocabulary and orders them, so that the pieces' bytes follow each other as in the documents.
 
 In long words a round contracts all pairs of the least rank at once, leftmost first, where ranks only rise while a word is contracted: pairs
 of a lower rank never come up then, so one at a time would give the same. Whether they do is a property of the vocabulary and is found out for
@@ -165,18 +165,17 @@ class Merges:
         """(owners, bytes, ends of each owner's bytes): ids are put together by owner in their order. An id that isn't in the vocabulary is an
         error."""
         self.con.register("given", pa.table({"owner": owner, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-        found = self.con.sql("select owner, list(piece order by pos) as pieces from given join vocabulary using (id) group by owner order by owner").to_arrow_table().combine_chunks()
+        found = self.con.sql("select piece from given join vocabulary using (id) order by owner, pos").to_arrow_table().combine_chunks()
         self.con.unregister("given")
+        if found.num_rows != len(ids):
+            raise ValueError("an id is not in the vocabulary")
         if not found.num_rows:
-            if len(ids):
-                raise ValueError("an id is not in the vocabulary")
             return np.zeros(0, owner.dtype), pa.py_buffer(b""), np.zeros(1, np.int64)
-        lists = found["pieces"].chunk(0)
-        if len(lists.flatten()) != len(ids):
-            raise ValueError("an id is not in the vocabulary")
-        pieces, wide = lists.values, np.int64 if pa.types.is_large_binary(lists.type.value_type) else np.int32
-        offsets = np.frombuffer(pieces.buffers()[1], wide)[pieces.offset : pieces.offset + len(pieces) + 1]
-        return found["owner"].to_numpy(), pieces.buffers()[2], offsets[lists.offsets.to_numpy()].astype(np.int64)
+        # In this order the pieces' bytes are those of the owners.
+        pieces = found["piece"].chunk(0)
+        owners, counts = np.unique(owner, return_counts=True)
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64 if pa.types.is_large_binary(pieces.type) else np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        return owners, pieces.buffers()[2], offsets[np.append(0, np.cumsum(counts))].astype(np.int64)
 
 
 @lru_cache(2)

@@ -113,3 +113,29 @@ def test_words_are_contracted_once(monkeypatch, library):
     for _ in range(3):
         assert plain(merges.encoded({" quaxorin"})[" quaxorin"]) == library.encode_ordinary(" quaxorin")
     assert asked == [b" quaxorin"]
+
+
+def test_decoding_sorts_once(library):
+    """Pieces are put in order by one sort for all documents, not by one for each; documents need not follow each other."""
+    merges, pick = bytepairs.Merges([library.decode_single_token_bytes(i) for i in range(library.n_vocab)], True), np.random.default_rng(3)
+    ids, owner = pick.integers(0, library.n_vocab, 60_000).astype(np.int32), pick.integers(0, 500, 60_000).astype(np.int32)
+    owners, raw, ends = merges.decoded(ids, owner)
+    want = {o: b"".join(library.decode_single_token_bytes(i) for i in ids[owner == o].tolist()) for o in range(500)}
+    assert {o: bytes(memoryview(raw)[a:b]) for o, a, b in zip(owners.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)} == want
+    asked, sql = [], merges.con.sql
+
+    class Noted:
+        def sql(self, text):
+            asked.append("\n".join(row[1] for row in sql(f"explain {text}").fetchall()))
+            return sql(text)
+
+        def __getattr__(self, name):
+            return getattr(con, name)
+
+    con, merges.con = merges.con, Noted()
+    merges.decoded(ids, owner)
+    assert len(asked) == 1 and "order by" in asked[0].lower() and "list(" not in asked[0]
+    merges.con = con
+    with pytest.raises(ValueError):
+        merges.decoded(np.array([0, library.n_vocab], np.int32), np.zeros(2, np.int32))
+    assert merges.decoded(np.zeros(0, np.int32), np.zeros(0, np.int32))[0].tolist() == []
