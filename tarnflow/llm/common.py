@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -25,14 +26,20 @@ def held(key, make: Callable):
     """What a Python worker keeps from task to task, for one operator at a time: workers live on from stage to stage, and what other operators
     kept would add up."""
     if key not in _held:
-        _held.clear()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
 def let_go() -> None:
-    """Let go of what the worker keeps, where an operator keeps nothing itself."""
+    """Let go of what the worker keeps, where an operator keeps nothing itself, and give memory that is free in the worker back to the system:
+    neither Arrow's allocator nor the C library's would soon, and what stages have left there would add up."""
+    import pyarrow as pa
+
     _held.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's alone
+        trim(0)
 
 
 @contextmanager

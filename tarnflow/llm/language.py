@@ -22,8 +22,10 @@ SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS = 2_000, 8_000_000, 100_000_000
 LONGEST = 4
 #: Words of a document that count as independent evidence at most; the score says how sure that many are.
 EVIDENCE = 20
-#: Numbers in the vectors of unseen words that a worker keeps.
-CACHE_NUMBERS = 2_000_000
+#: Bytes of the vectors of unseen words that a worker keeps; a word takes about so many, and 8 for each language.
+CACHE_BYTES, WORD_BYTES = 32_000_000, 270
+#: Rows of a batch that are looked at in one go.
+SLICE_ROWS = 500
 UNKNOWN = "und"
 
 
@@ -86,6 +88,7 @@ class Model:
         self.languages = languages
         self.words, self.grams = Frequencies(languages, *words), Frequencies(languages, *grams)
         self.unseen: dict[str, np.ndarray] = {}
+        self.most_unseen = CACHE_BYTES // (WORD_BYTES + 8 * len(languages))
 
     def backed_off(self, word: str) -> np.ndarray:
         """The mean over the word's characters of the longest known n-gram that ends there, edges marked."""
@@ -111,7 +114,7 @@ class Model:
             word = words[k]
             vector = unseen.get(word)
             if vector is None:
-                if len(unseen) * len(self.languages) >= CACHE_NUMBERS:
+                if len(unseen) >= self.most_unseen:
                     unseen.clear()
                 vector = unseen[word] = self.backed_off(word)
             total += vector
@@ -157,24 +160,31 @@ def fitted(docs: DataFrame) -> Model:
     return model
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _predictor(model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batches:
-            found = [model.value.predict(t) for t in batch.column(len(columns)).to_pylist()]
+        for part in _sliced(batches):
+            found = [model.value.predict(t) for t in part.column(len(columns)).to_pylist()]
             made = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], [*columns, "lang_pred", "score", "n_known"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *made], [*columns, "lang_pred", "score", "n_known"])
 
     return run
 
 
-def _filter(model, columns: list[str], sure: float):
+def _filter(model, text: int, sure: float):
+    """text: the place of the column with the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batches:
-            found = [model.value.predict(t) for t in batch.column(len(columns)).to_pylist()]
-            keep = pa.array([f[0] != UNKNOWN and (f[1] >= sure or f[2] > 0) for f in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(columns)], columns).filter(keep)
+        for part in _sliced(batches):
+            found = [model.value.predict(t) for t in part.column(text).to_pylist()]
+            yield part.filter(pa.array([f[0] != UNKNOWN and (f[1] >= sure or f[2] > 0) for f in found], pa.bool_()))
 
     return run
 
@@ -199,7 +209,8 @@ def accepted(docs: DataFrame, model: Model, sure: float) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # bounded by the sample
-    return docs.select(*docs.columns, F.col("text").alias("_text")).mapInArrow(_filter(sent, docs.columns, sure), docs.schema)
+    text = [c.lower() for c in docs.columns].index("text")  # sent once, as texts are most of a batch
+    return docs.mapInArrow(_filter(sent, text, sure), docs.schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:

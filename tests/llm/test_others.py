@@ -116,6 +116,55 @@ def test_short_texts_that_languages_share_are_accepted(spark):
     assert len(got) == len(rows) + 1 and all(r.score == 42.0 and r.lang_pred == "k" for r in got)
 
 
+def test_texts_are_looked_at_by_slices_and_sent_once(spark, corpus):
+    import pyarrow as pa
+
+    class Sent:
+        value = language.Model(["a", "b"], columns([("a", "hello", 5), ("b", "world", 5)]), columns([("a", "x", 3)]))
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(["hello", "world", None, "123"] * 325)], ["doc_id", "text"])
+    made = list(language._predictor(Sent, ["doc_id"])(iter([batch])))
+    assert [b.num_rows for b in made] == [500, 500, 300] and [x for b in made for x in b.column(0).to_pylist()] == list(range(1300))
+    assert [x for b in made for x in b.column(1).to_pylist()] == ["a", "b", "und", "und"] * 325
+    assert "_text" not in language.accepted(corpus, Sent.value, 0.5)._jdf.queryExecution().toString()
+
+
+def test_unseen_words_take_bounded_memory(monkeypatch):
+    """With few languages too, where a word takes much more than its numbers."""
+    import tracemalloc
+
+    monkeypatch.setattr(language, "CACHE_BYTES", 1_000_000, raising=False)
+    model = language.Model(["a"], columns([("a", "hello", 5)]), columns([("a", "x", 3)]))
+    spelt = str.maketrans("0123456789", "abcdefghij")
+    tracemalloc.start()
+    try:
+        for at in range(0, 20_000, 500):
+            model.predict(" ".join([str(100_000 + k).translate(spelt) for k in range(at, at + 500)]))
+        assert tracemalloc.get_traced_memory()[0] < 2_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_free_memory_is_given_back():
+    import re
+    import subprocess
+    import sys
+
+    code = """
+import re, pyarrow
+from tarnflow.llm.common import let_go
+own = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+many = [bytes([k % 256]) * 60_000 for k in range(2_000)]
+last = bytes([1]) * 60_000
+before = own()
+del many
+let_go()
+print(before - own())
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=re.sub(r"/tarnflow/.*", "", language.__file__))
+    assert float(ran.stdout) > 80
+
+
 # --- SentencePiece
 
 
