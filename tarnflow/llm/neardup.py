@@ -159,12 +159,13 @@ def _verifier(words: int, percent: int):
         hub = hub_set = None
         for batch in batches:
             found = []
-            for b, deal, a, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if a is None:
-                    if (b, deal) != hub:
-                        hub, hub_set = (b, deal), shingles(text, words)
-                elif (b, deal) == hub and alike(shingles(text, words), hub_set, percent):
-                    found.append((a, b))
+            for at in range(0, batch.num_rows, 200):
+                for b, deal, a, text in zip(*[c.to_pylist() for c in batch.slice(at, 200).columns], strict=True):
+                    if a is None:
+                        if (b, deal) != hub:
+                            hub, hub_set = (b, deal), shingles(text, words)
+                    elif (b, deal) == hub and alike(shingles(text, words), hub_set, percent):
+                        found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run

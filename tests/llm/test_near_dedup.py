@@ -174,3 +174,22 @@ def test_components_of_more_edges(spark, rng):
 def test_texts_are_dropped_by_a_shuffled_join(corpus):
     plan = neardup.deduplicated(corpus)._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_long_texts_are_verified_some_at_a_time():
+    """A batch's texts are not all made Python's at once: a batch may hold thousands of long ones."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    hub, other, rows = "a b c d e " + "x" * 20_000, "f g h i j " + "y" * 20_000, 1000
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
+    columns = [[7] * (rows + 1), [0] * (rows + 1), [None, *range(8, 8 + rows)], [hub, *[hub, other] * (rows // 2)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["b", "_deal", "a", "text"])
+    tracemalloc.start()
+    try:
+        (found,) = neardup._verifier(5, 75)(iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    finally:
+        tracemalloc.stop()
+    assert found.column(0).to_pylist() == list(range(8, 8 + rows, 2)) and set(found.column(1).to_pylist()) == {7}
