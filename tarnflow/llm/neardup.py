@@ -26,6 +26,8 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 80, 7
 #: Members of a bucket up to which its pairs are tested by the first sketch; above it by one of FINE coordinates.
 SMALL, FINE = 32, 4096
+#: Members of a deal of such a bucket, and the most deals that it is parted into (what is still too much for a task, Spark splits).
+DEAL, MOST_DEALS = 256, 8
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -200,8 +202,8 @@ def rooted_by_links(docs: DataFrame, classes: DataFrame, words: int, percent: in
     n_words, most = -(-size // 64), most_unlike(size, percent)
     sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     # Every class against the hubs of its buckets.
-    star = met.filter("node <> hub").select("node", "hub").distinct().join(about, "node").select("hub", "node", F.struct("n", "bits").alias("x"))
-    star = lookup(star, "hub", about.select(F.col("node").alias("hub"), F.struct("n", "bits").alias("y")), "node")
+    star = met.filter("node <> hub").groupBy("node").agg(F.collect_set("hub").alias("hubs")).join(about, "node").select(F.explode("hubs").alias("hub"), "node", F.struct("n", "bits").alias("x"))
+    star = star.join(about.select(F.col("node").alias("hub"), F.struct("n", "bits").alias("y")), "hub")
     star = stored(star.filter(f"{sizes} and {_unlike('x.bits', 'y.bits', n_words)} <= {most}").select(F.col("node").alias("a"), F.col("hub").alias("b")), "pairs")
     first = stored(verified(star, texts, words, percent), "links")
     roots = components(first)
@@ -215,14 +217,18 @@ def rooted_by_links(docs: DataFrame, classes: DataFrame, words: int, percent: in
     pairs = few.alias("x").join(few.alias("y"), F.expr(f"{other} and {_unlike('x.bits', 'y.bits', n_words)} <= {most}")).select(*pair)
     many = apart.filter(f"size > {SMALL}")
     if not many.isEmpty():
-        own = many.groupBy("node").agg(F.first("root").alias("root"), F.array_sort(F.collect_list("band")).alias("own"))
+        own = many.groupBy("node").agg(F.first("root").alias("root"), F.array_sort(F.collect_list("band")).alias("own"), F.collect_list(F.struct("band", F.least(F.lit(MOST_DEALS), F.ceil(F.col("size") / DEAL)).cast("int").alias("deals"))).alias("in"))
         fine = texts.join(own.select("node"), "node").mapInArrow(_refiner(FINE, words), "node long, fine array<long>")
         fine = stored(own.join(fine, "node").join(about.select("node", "n"), "node"), "fine")
-        dealt = fine.select("node", "root", "n", "own", "fine", F.explode("own").alias("band"))
+        # A large bucket's members are dealt, and each deal meets each other: one more shuffled copy for each, and no task with the whole bucket.
+        dealt = fine.select("node", "root", "n", "own", "fine", F.explode("in").alias("in")).select("node", "root", "n", "own", "fine", "in.*")
+        deal = F.pmod(F.xxhash64("node"), F.col("deals")).cast("int")
+        every = F.explode(F.expr("sequence(0, deals - 1)"))
+        x, y = dealt.withColumn("i", deal).withColumn("j", every), dealt.withColumn("j", deal).withColumn("i", every)
         # Some of the bits first; each pair in the first bucket that it shares.
         some = f"{_unlike('x.fine', 'y.fine', 8)} <= {most_unlike(512, percent)}"
         all_bits = f"aggregate(zip_with(x.fine, y.fine, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= {most_unlike(FINE, percent)}"
-        pairs = pairs.unionByName(dealt.alias("x").join(dealt.alias("y"), F.expr(f"{other} and {some} and {all_bits} and array_min(array_intersect(x.own, y.own)) = x.band")).select(*pair))
+        pairs = pairs.unionByName(x.alias("x").join(y.alias("y"), F.expr(f"{other} and x.i = y.i and x.j = y.j and {some} and {all_bits} and array_min(array_intersect(x.own, y.own)) = x.band")).select(*pair))
     more = stored(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     second = stored(verified(more, texts, words, percent), "links")
     for done in (buckets, met, texts, star, apart, more):
@@ -240,7 +246,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -
     least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_key"))
     classes = sketched.filter("mark is not null").groupBy("mark").agg(least.alias("own"), F.first(F.struct(F.col("n_shingles").alias("n"), "bands", "bits")).alias("s"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "mark", "own", "s.*"), "classes")
-    placed = stored(lookup(sketched.select("doc_id", "text_key", "n_shingles", "mark"), "mark", classes.select("mark", "node"), "text_key", "left").select("doc_id", "text_key", "n_shingles", "node"), "rows")
+    placed = stored(sketched.select("doc_id", "text_key", "n_shingles", "mark").join(classes.select("mark", "node"), "mark", "left").select("doc_id", "text_key", "n_shingles", "node"), "rows")
     # Rows that share a doc_id.
     shared = placed.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).filter("b < high").select("doc_id", "b")
     same = placed.join(shared, "doc_id").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
@@ -262,7 +268,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: i
     other; component_id is null if it reaches no row with one. An empty table gives no row. Columns but doc_id and text aren't looked at.
     """
     placed, nodes = _grouped(docs, words, percent, bands, rows)
-    out = lookup(placed, "node", nodes, "text_key", "left")
+    out = placed.join(nodes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -271,7 +277,7 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ba
     """The rows of docs, all columns, one of each group of near copies: the one with the smallest doc_id (rows without doc_id come last), then
     the smallest text hash; of rows alike in both, any one. Rows without shingles are in no group and stay."""
     placed, nodes = _grouped(docs, words, percent, bands, rows)
-    out = lookup(placed.filter("node is not null"), "node", nodes, "text_key")
+    out = placed.filter("node is not null").join(nodes, "node")
     first = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_key") == F.col("low.text_key"))
     by_row = stored(out.groupBy("doc_id", "text_key").agg(F.bool_or(first).alias("first"), F.count("*").alias("n")).filter("not first or n > 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "first"), "dropped")
     # The columns of docs in one, so that none of their names meets one of ours.

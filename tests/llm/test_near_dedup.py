@@ -193,3 +193,36 @@ def test_long_texts_are_verified_some_at_a_time():
     finally:
         tracemalloc.stop()
     assert found.column(0).to_pylist() == list(range(8, 8 + rows, 2)) and set(found.column(1).to_pylist()) == {7}
+
+
+def test_a_large_bucket_is_dealt_to_tasks(spark, rng, monkeypatch):
+    """Members of a large bucket meet deal by deal, each pair once: no key of the join holds the whole bucket."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "DEAL", 16)
+    joined = []
+    real = neardup.stored
+
+    def stored(df, name, *codec):
+        if name == "pairs":
+            joined.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name, *codec)
+
+    monkeypatch.setattr(neardup, "stored", stored)
+    words = [f"w{k}" for k in range(150)]
+    agree(spark.createDataFrame([(k, edited(words, rng, rng.randint(0, 12))) for k in range(160)], "doc_id long, text string"))
+    assert any("(i#" in plan and "(j#" in plan for plan in joined)
+
+
+def test_few_tasks_for_few_edges(spark):
+    """A round's joins shuffle each side once: 17 stages in all, 35 where trees were copied by salt and edges made distinct first."""
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1000) for k in range(1, 200)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    tracker, group = spark.sparkContext.statusTracker(), "few-edges"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = {r.node: r.root for r in graph.components(frame).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    assert set(got.values()) == {0} and len(got) == 599
+    assert len(stages) < 25
