@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import language, neardup, packing, pii
-from tarnflow.llm.common import scratch
+from tarnflow.llm.common import let_go, scratch
 from tarnflow.llm.queries import tokenizer_path
 
 #: Least score of a language for a document none of whose words is known.
@@ -16,7 +16,9 @@ ORACLE_SQL = None
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; the model learns from those that aren't held out."""
-    return language.accepted(docs, language.fitted(docs.filter(~language.held_out(F.col("doc_id")))), SURE)
+    known = language.accepted(docs, language.fitted(docs.filter(~language.held_out(F.col("doc_id")))), SURE)
+    let_go()  # the driver's Python has sent the model
+    return known
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ def held(key, make: Callable):
 
 
 def let_go() -> None:
-    """Let go of what the worker keeps, where an operator keeps nothing itself, and give memory that is free in the worker back to the system:
-    neither Arrow's allocator nor the C library's would soon, and what stages have left there would add up."""
+    """Let go of what the worker keeps, where an operator keeps nothing itself, and give memory that is free in the worker (or the driver's
+    Python) back to the system: neither Arrow's allocator nor the C library's would soon, and what stages have left there would add up."""
     import pyarrow as pa
 
     _held.clear()
@@ -79,9 +79,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there."""
+    """df written as Parquet to the shared folder and read again: its lineage ends there.
+
+    Without a file that marks success, which nobody looks for: on a local folder the driver's JVM starts a process for each file it makes."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import pytest
@@ -461,3 +462,18 @@ def test_pipeline(spark, sf):
     assert [r.n_chars for r in third(spark, odd, sf).collect()] == [7]
     four = corpus_pipeline.STAGES[3][1](spark, three, sf).groupBy("doc_id").sum("length").collect()
     assert {r[0] for r in four} == kept and packing.WIDTH == 2048
+
+
+def test_scratch_tables_and_the_model_leave_nothing_on_the_driver(spark, sf, monkeypatch):
+    """Scratch tables have no file that marks success, which the driver's JVM would start two processes for; the model's memory goes back."""
+    import corpus_pipeline
+
+    from tarnflow.llm import common
+
+    table = common.stored(spark.range(5), "five")
+    folder = table.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert table.count() == 5 and not [x for x in os.listdir(folder) if "_SUCCESS" in x]
+    went = []
+    monkeypatch.setattr(corpus_pipeline, "let_go", lambda: went.append(True), raising=False)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.identify(spark, docs, sf).columns == docs.columns and went == [True]
