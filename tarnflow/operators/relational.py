@@ -126,7 +126,7 @@ def alias_hits(rows: DataFrame, key: str, tokens: str, aliases: list[tuple[str,
     table = spark.createDataFrame([(n, p, t) for n, p, t in aliases if t], "alias string, position int, required array<string>")
     # One equi-join on each alias's rarest-looking (longest) token, then the subset test: no row meets an alias without a common token.
     anchored = table.withColumn("anchor", F.reduce("required", F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)))
-    met = rows.select(key, tokens, F.explode(F.array_distinct(F.col(tokens))).alias("anchor")).join(anchored, "anchor")
+    met = rows.select(key, tokens, F.explode(F.array_distinct(F.col(tokens))).alias("anchor")).join(F.broadcast(anchored), "anchor")  # the list's size; Spark would send the rows, which it takes for smaller
     hits = met.filter(F.size(F.array_except("required", tokens)) == 0)
     return hits.groupBy(key, "alias").agg(F.min("position").alias("position"))
 
