@@ -28,13 +28,15 @@ KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Co
 }
 
 
-def ranged(df: DataFrame, keys: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str], order: list[Column], parts: int | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with `_segment`: ranges of (keys, order), numbered along them. Written to the checkpoint folder, since ranges are cut from a sample
-    and a second run of the plan might cut them elsewhere."""
+    and a second run of the plan might cut them elsewhere. hold: what writes it in place of a checkpoint, whose
+    rows are not compressed."""
     spark = df.sparkSession
     shared_dir(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *keys, *order).withColumn("_segment", F.spark_partition_id()).checkpoint()
+    dealt = df.repartitionByRange(parts, *keys, *order).withColumn("_segment", F.spark_partition_id())
+    return hold(dealt) if hold else dealt.checkpoint()
 
 
 def _met(rows: DataFrame, per_range: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -46,18 +48,23 @@ def _met(rows: DataFrame, per_range: DataFrame, keys: list[str], column: str) ->
     return rows.join(told, on, "left").drop("_s", *[f"_k{i}" for i in range(len(keys))])
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, kind: str = "max", inclusive: bool = True, parts: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, kind: str = "max", inclusive: bool = True, parts: int | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with `name`: the max, sum or last non-null of `value` over the key's rows up to the row (`inclusive`) or before it; null where there
-    are none. Null keys are a key. Rows alike in keys and order follow each other in any order, as in a window over rows."""
+    are none. Null keys are a key. Rows alike in keys and order follow each other in any order, as in a window over rows. hold: what writes the
+    ranges and what they say, in place of a checkpoint of the ranges alone; `value` is then made of written rows."""
     fold, joined = KINDS[kind]
-    rows = ranged(df.withColumn("_value", value), keys, order, parts)
+    rows = ranged(df, keys, order, parts, hold).withColumn("_value", value) if hold else ranged(df.withColumn("_value", value), keys, order, parts)
     inside = Window.partitionBy("_segment", *keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # One row a key and range: at most as many as keys and ranges together.
-    sums = rows.withColumn("_total", fold(F.col("_value")).over(whole)).withColumn("_n", F.row_number().over(inside)).filter("_n = 1").select("_segment", *keys, "_total")
+    if hold and kind == "max":  # no order is needed, and so no shuffle
+        sums = rows.groupBy("_segment", *keys).agg(fold(F.col("_value")).alias("_total"))
+    else:
+        sums = rows.withColumn("_total", fold(F.col("_value")).over(whole)).withColumn("_n", F.row_number().over(inside)).filter("_n = 1").select("_segment", *keys, "_total")
     earlier = fold(F.col("_total")).over(Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1))
     carried = sums.withColumn("_before", earlier).filter("_before is not null")
+    carried = hold(carried) if hold else carried
     own = rows.withColumn("_upto", fold(F.col("_value")).over(upto))
     return _met(own, carried, keys, "_before").select(*[F.col(c) for c in df.columns if c != name], joined(F.col("_before"), F.col("_upto")).alias(name))
 

@@ -10,6 +10,7 @@ from tarnflow.operators import arbitration, changes, currency, digest, resolver
 from tarnflow.plans import build, conformance, notes, questions
 from tarnflow.plans.queries import joined, t
 from tarnflow.plans.registry import query
+from tarnflow.session import stored
 from tarnflow.sources import archives, documents, manifest
 
 # --- documents
@@ -84,12 +85,14 @@ g as (select *, row_number() over (partition by final, ver order by not half, k)
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents: what a customer ordered in a year claims one of ten ids, with the parts as rules."""
-    held = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("part")), F.col("l_orderkey") == F.col("o_orderkey"))
-    docs = held.groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").agg(F.collect_set("part").alias("rules"))
+    rules = t(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("rules"))
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").repartition("o_orderkey").distinct()
+    docs = orders.join(rules, F.col("l_orderkey") == F.col("o_orderkey"))
     path = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "third/").when(F.col("o_orderkey") % 3 == 1, "other/").otherwise("-/"), F.col("o_orderkey").cast("string"))
-    return docs.select(
+    docs = docs.select(
         F.concat(F.lit("C"), (F.col("o_custkey") % 10).cast("string")).alias("stig_id"), F.year("o_orderdate").cast("string").alias("version"), F.col("o_orderkey").alias("arrival"), F.col("o_custkey").cast("string").alias("artifact"),
         F.lit(1).alias("release"), (F.col("o_orderstatus") == "F").alias("is_library"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("status_date"), path.alias("path"), "rules")
+    return stored(docs, "claims")  # looked at several times
 
 
 _CLAIMED = {f"C{k}": [("third/", f"C{k}_third"), ("other/", f"C{k}_other")] for k in range(5)}
@@ -99,7 +102,7 @@ _CLAIMED = {f"C{k}": [("third/", f"C{k}_third"), ("other/", f"C{k}_other")] for
 def corrected_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two documents of an id, artifact and release that share no rule part the id; all others follow or are discarded."""
     found = arbitration.settled(_claims(spark, sf_dir), _CLAIMED)
-    docs = found.documents.join(found.winners.select("arrival", F.lit(True).alias("kept")), "arrival", "left")
+    docs = found.documents.join(stored(found.winners.select("arrival", F.lit(True).alias("kept")), "winners"), "arrival", "left")
     return docs.select(F.col("arrival").alias("o_orderkey"), F.col("stig_id").alias("published"), "version", "verdict", F.col("final_id").alias("stig_id"), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,3 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(base)
     return (base if "://" in base else "file://" + base).rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again. Its size is known from then on: Spark sends it whole only where it is small."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

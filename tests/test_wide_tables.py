@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from oracle import connect, rows
 from pyspark.sql import functions as F
 
-from tarnflow.operators import relational
+from tarnflow.operators import arbitration, relational, segments
 from tarnflow.plans import registry
 
 
@@ -29,3 +31,40 @@ def test_a_part_without_a_name_has_no_aliases(spark, tmp_path):
     df = registry.queries()["alias_subset"](spark, str(tmp_path))
     want = con.execute(registry.oracle_sql()["alias_subset"])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in want.description], want.fetchall()) != []
+
+
+CLAIM = "stig_id string, version string, arrival long, artifact string, release int, is_library boolean, status_date string, path string, rules array<string>"
+
+
+def claims(spark, rows):
+    return spark.createDataFrame([(i, "1", k, "a", 1, k % 3 == 0, "2024-01-01", ("x", "y")[k % 2], r) for i, k, r in rows], CLAIM)
+
+
+def test_pairs_of_large_buckets_are_the_first_ones(spark):
+    """Buckets of many documents that nearly all share rules, against all pairs."""
+    pick, rows, want = random.Random(3), [], {}
+    for n, (letters, size, many) in enumerate([("abcdefgh", 4, 60), ("abcdefgh", 4, 400), ("abcdefghi", 5, 500), ("abcdefghij", 4, 80), ("ab", 1, 3)]):
+        own = [(f"S{n}", n * 1000 + k, pick.sample(letters, size) * 2) for k in range(many)]
+        rows += own
+        if found := next(((a[1], b[1]) for i, a in enumerate(own) for b in own[i + 1 :] if set(a[2]).isdisjoint(b[2])), None):
+            want[f"S{n}"] = found
+    pick.shuffle(rows)
+    assert {r.stig_id: (r.first, r.second) for r in arbitration.collisions(claims(spark, rows)).collect()} == want
+    assert len(want) == 4
+
+
+def test_a_bucket_is_no_call_of_its_own(spark):
+    found = arbitration.collisions(claims(spark, [("S", 1, ["a"]), ("S", 2, ["b"])]))
+    assert "FlatMapGroups" not in plan(found) and "MapInArrow" in plan(found)
+
+
+def test_contests_are_scanned_when_departures_are_asked_for(spark, monkeypatch):
+    def unasked(*_, **__):
+        raise AssertionError("documents and winners need no scan")
+
+    docs = claims(spark, [("S", k, [f"r{k % 2}"]) for k in range(6)])
+    with monkeypatch.context() as m:
+        m.setattr(segments, "running", unasked)
+        found = arbitration.settled(docs)
+        assert found.documents.count() == 6 and [r.arrival for r in found.winners.collect()] == [0]
+    assert [tuple(r) for r in found.departures.collect()] == [("S", "1", 4, 1)]  # 3 is the library too
