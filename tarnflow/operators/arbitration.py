@@ -1,9 +1,9 @@
 """Documents that claim one id: two that cannot be releases of each other are told apart and renamed, all others contest.
 
 `settled` is the plan: collisions are found within (id, version, artifact, release), one row a group of documents says whether it can be split,
-and what is folded in order is these rows alone, by families of ids that corrections tie together; the contests are windows. `replayed` tells
-the same story event by event, document after document, and shares nothing with the plan but the columns; `disagreements` holds one against the
-other.
+and what is folded in order is these rows alone, by families of ids that corrections tie together; the contests are scanned by ranges. `replayed`
+tells the same story event by event, document after document, and shares nothing with the plan but the columns and how they are read;
+`disagreements` holds one against the other. Neither keeps a group's documents in a task's memory: rows come in order, and are let go.
 
 Columns of documents: stig_id, version, arrival (a string or number, one for each document, that orders them), artifact, release, is_library,
 status_date, path, rules (array of strings). Corrections: stig_id -> [(part of a path, corrected id)].
@@ -264,75 +264,145 @@ def settled(docs: DataFrame, corrections: Corrections | None = None, hold: Calla
     return Settled(rows, winners)
 
 
+def _brute_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each claim's first pair in this task's buckets, with what the automaton asks about its two documents. Rows lie by bucket and arrival; every
+    document is held against every earlier one that could still begin the first pair. Everything from here on is written out anew."""
+    least: dict[tuple, tuple] = {}
+    now, waiting, known, over, schema = None, [], set(), False, None
+    for batch in batches:
+        schema = batch.schema
+        for doc, rules in zip(zip(*_listed(batch, *BUCKET, "arrival", "is_library", "status_date", "path")), _rules(batch)):
+            if doc[:4] != now:
+                now, waiting, known, over = doc[:4], [], set(), False
+            if over and not waiting:
+                continue
+            for i, (own, other) in enumerate(waiting):
+                if own.isdisjoint(rules):
+                    waiting, over = waiting[:i], True
+                    if doc[:2] not in least or (other[4], doc[4]) < (least[doc[:2]][0][4], least[doc[:2]][1][4]):
+                        least[doc[:2]] = other, doc
+                    break
+            else:
+                if not over and (own := frozenset(rules)) not in known:  # the same rules again begin no earlier pair
+                    known.add(own)
+                    waiting.append((own, doc))
+    rows = [(*key, *(x[k] for x in two for k in (4, 5, 6, 7)), two[0][2], two[0][3]) for key, two in least.items()]
+    if rows:
+        each = ["arrival", "is_library", "status_date", "path"]
+        of = [(n, schema.field(n.partition("_")[2] if n[:2] in ("a_", "b_") else n).type) for n in (*KEY, *(f"{x}_{c}" for x in "ab" for c in each), "artifact", "release")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(of)], [n for n, _ in of])
+
+
 def _automaton(corrections: Corrections):
-    """A family's documents of one version, one event after the other: who sits where, and who left when. Everything here is written out anew."""
+    """A family's documents of one version, one event after the other: who sits where, and who left when. Rows come by family and version, claim
+    after claim as they began, and in a claim first its head (which names the pair that may be parted), then its documents as they arrived. One
+    document a seat is kept, and no claim."""
 
-    def named(doc: dict) -> str | None:
-        hits = [new for part, new in corrections.get(doc["stig_id"], []) if doc["path"] is not None and part in doc["path"]]
+    def named(stig_id: str, path: str | None) -> str | None:
+        hits = [new for part, new in corrections.get(stig_id, []) if path is not None and part in path]
         return hits[0] if len(hits) == 1 else None
 
-    def strength(doc: dict) -> tuple:
-        return doc["release"], doc["is_library"], doc["status_date"] or "", doc["artifact"]
-
-    def play(table: pa.Table) -> pa.Table:
-        claims: dict[str, list[dict]] = {}
-        for doc in sorted(table.to_pylist(), key=lambda d: d["arrival"]):
-            claims.setdefault(doc["stig_id"], []).append(doc | {"left": None, "seat": None})
-        seats: dict[str, dict] = {}
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seats: dict[str, tuple] = {}
+        table, apart, pair, types = None, False, (), None
+        left: list[tuple] = []
 
-        def sit(at: str, doc: dict) -> None:
-            doc["seat"], other = at, seats.get(at)
+        def sit(at: str, strength: tuple, doc: tuple) -> None:
+            other = seats.get(at)
             if other is None:
-                seats[at] = doc
+                seats[at] = strength, doc
                 return
-            win, lose = (doc, other) if strength(doc) > strength(other) else (other, doc)
-            seats[at] = win
-            lose["left"] = "superseded_by_library" if win["is_library"] and not lose["is_library"] else "superseded_same_key"
-
-        for members in claims.values():
-            pair = next(((a, b) for i, a in enumerate(members) for b in members[i + 1 :] if a["artifact"] == b["artifact"] and a["release"] == b["release"]
-                         and a["rules"] and b["rules"] and set(a["rules"]).isdisjoint(b["rules"])), None)
-            new = [named(d) for d in pair] if pair else []
-            apart = bool(pair) and None not in new and new[0] != new[1] and not any(n in seats for n in new)
-            if not apart:
-                for doc in members:
-                    sit(doc["stig_id"], doc)
-                continue
-            for doc, n in zip(pair, new):
-                sit(n, doc)
-            for doc in members:
-                if doc is pair[0] or doc is pair[1]:
+            if strength > other[0]:
+                seats[at], win, (lost, gone) = (strength, doc), strength, other
+            else:
+                win, lost, gone = other[0], strength, doc
+            left.append((*gone, at, "superseded_by_library" if win[1] and not lost[1] else "superseded_same_key"))
+
+        def rise() -> None:
+            left.extend((*doc, at, "kept") for at, (_, doc) in seats.items())
+            seats.clear()
+
+        def told() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in left], t) for k, t in enumerate(types)], ["stig_id", "version", "arrival", "final_id", "fate"])
+            left.clear()
+            return made
+
+        for batch in batches:
+            types = [*(batch.schema.field(c).type for c in ("stig_id", "version", "arrival")), pa.string(), pa.string()]
+            heads = batch.column("head").to_pylist()
+            for (family, stig_id, version, arrival, artifact, release, is_library, date, path), head in zip(zip(*_listed(batch, "family", *KEY, "arrival", "artifact", "release", "is_library", "status_date", "path")), heads):
+                if head is not None:
+                    if (family, version) != table:
+                        rise()
+                        table = family, version
+                    two = [{c: head[f"{x}_{c}"] for c in ("arrival", "is_library", "status_date", "path")} for x in "ab"]
+                    pair = tuple(d["arrival"] for d in two)
+                    new = [named(stig_id, d["path"]) for d in two] if None not in pair else []
+                    apart = bool(new) and None not in new and new[0] != new[1] and not any(n in seats for n in new)
+                    if apart:
+                        for d, n in zip(two, new):
+                            sit(n, (head["release"], d["is_library"], d["status_date"] or "", head["artifact"]), (stig_id, version, d["arrival"]))
                     continue
-                if (n := named(doc)) is None:
-                    doc["left"] = "superseded_same_key"
-                else:
-                    sit(n, doc)
-        docs = [d for members in claims.values() for d in members]
-        of = {c: table.schema.field(c).type for c in ("stig_id", "version", "arrival")}
-        return pa.table({**{c: pa.array([d[c] for d in docs], t) for c, t in of.items()}, "final_id": pa.array([d["seat"] for d in docs], pa.string()), "fate": pa.array([d["left"] or "kept" for d in docs], pa.string())})
+                at, doc = stig_id, (stig_id, version, arrival)
+                if apart:
+                    if arrival in pair:
+                        continue
+                    if (at := named(stig_id, path)) is None:
+                        left.append((*doc, None, "superseded_same_key"))
+                        continue
+                sit(at, (release, is_library, date or "", artifact), doc)
+            if left:
+                yield told()
+        rise()
+        if left:
+            yield told()
 
     return play
 
 
 def replayed(docs: DataFrame, corrections: Corrections | None = None) -> DataFrame:
     """(stig_id, version, arrival, final_id, fate: kept, superseded_by_library or superseded_same_key): the arbitration replayed event by event, a
-    family and version at a time."""
+    family and version in one task, of which it keeps one document a seat. The pairs that collide are found before, bucket by bucket."""
     types, corrections = dict(docs.dtypes), checked(corrections)
     of = families(corrections)
     mapped = F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair]) if of else None
     family = F.coalesce(mapped[F.col("stig_id")], F.col("stig_id")) if of else F.col("stig_id")
-    rows = docs.select(*KEY, "arrival", "artifact", "release", "is_library", F.col("status_date").cast("string").alias("status_date"), "path", F.coalesce("rules", F.array().cast("array<string>")).alias("rules"), family.alias("family"))
-    return rows.groupBy("family", "version").applyInArrow(_automaton(corrections), f"stig_id string, version {types['version']}, arrival {types['arrival']}, final_id string, fate string")
+    rows = docs.select(*BUCKET, "arrival", "is_library", F.col("status_date").cast("string").alias("status_date"), "path", "rules")
+    of_doc = f"arrival {types['arrival']}, is_library boolean, status_date string, path string"
+    head = ", ".join([*(f"{x}_{c}" for x in "ab" for c in of_doc.split(", ")), f"artifact {types['artifact']}", f"release {types['release']}"])
+    lying = rows.filter(F.size("rules") > 0).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "arrival")
+    found = lying.mapInArrow(_brute_pairs, f"stig_id string, version {types['version']}, {head}")
+    names = [c.split(" ")[0] for c in head.split(", ")]
+    least = found.groupBy(*KEY).agg(F.min(F.struct("a_arrival", "b_arrival", *[n for n in names if n[2:] != "arrival"])).alias("p"))
+    began = rows.groupBy(*KEY).agg(F.min("arrival").alias("began")).join(least, KEY, "left")
+    claims = stored(began.select(*KEY, "began", F.struct(*[F.col(f"p.{n}").alias(n) for n in names]).alias("head")), "heads")
+    known = claims.select(F.col("stig_id").alias("_id"), F.col("version").alias("_version"), "began")
+    events = rows.drop("rules").join(known, F.col("stig_id").eqNullSafe(F.col("_id")) & F.col("version").eqNullSafe(F.col("_version")), "left").drop("_id", "_version")
+    events = events.unionByName(claims, allowMissingColumns=True).withColumn("family", family)
+    # A claim's head has no arrival, so it comes before the documents.
+    order = ["family", "version", "began", F.col("head").isNull(), "arrival"]
+    dealt = events.repartition("family", "version").sortWithinPartitions(*order)
+    return dealt.mapInArrow(_automaton(corrections), f"stig_id string, version {types['version']}, arrival {types['arrival']}, final_id string, fate string")
+
+
+def tallied(replay: DataFrame) -> DataFrame:
+    """(final_id, version, winner: its arrival, superseded_by_library, superseded_same_key) of replayed(); discarded documents aside."""
+    fates = [F.count_if(F.col("fate") == c).alias(c) for c in ("superseded_by_library", "superseded_same_key")]
+    return replay.filter("final_id is not null").groupBy("final_id", "version").agg(F.max(F.when(F.col("fate") == "kept", F.col("arrival"))).alias("winner"), *fates)
 
 
 def disagreements(plan: Settled, replay: DataFrame) -> DataFrame:
     """Where plan and replay differ: (final_id, version, what, planned, replayed), what being a winner's arrival or one of the departures' counts."""
+    return differing(plan, tallied(replay))
+
+
+def differing(plan: Settled, told: DataFrame) -> DataFrame:
+    """disagreements() with what tallied() gave."""
     key = ["final_id", "version"]
     won = plan.winners.select(*key, F.col("arrival").cast("string").alias("winner")).join(plan.departures, key, "left").na.fill(0, ["superseded_by_library", "superseded_same_key"])
-    told = replay.filter("final_id is not null").groupBy(*key).agg(F.max(F.when(F.col("fate") == "kept", F.col("arrival").cast("string"))).alias("winner"), *[F.count_if(F.col("fate") == c).alias(c) for c in ("superseded_by_library", "superseded_same_key")])
 
     def long(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*key, F.posexplode(F.array("winner", F.col("superseded_by_library").cast("string"), F.col("superseded_same_key").cast("string"))).alias("k", name))
+        return df.select(*key, F.posexplode(F.array(F.col("winner").cast("string"), F.col("superseded_by_library").cast("string"), F.col("superseded_same_key").cast("string"))).alias("k", name))
 
     both = long(won, "planned").join(long(told, "replayed"), [*key, "k"], "full").filter(~F.col("planned").eqNullSafe(F.col("replayed")))
     return both.select(*key, F.element_at(F.array(*map(F.lit, ("winner", "superseded_by_library", "superseded_same_key"))), F.col("k") + 1).alias("what"), "planned", "replayed")

@@ -114,10 +114,8 @@ from g left join n using (final, ver) where final is not null group by 1, 2""")
 def arbitration_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arbitration replayed event by event, and how often the plan differs from it."""
     docs = _claims(spark, sf_dir)
-    replay = arbitration.replayed(docs, _CLAIMED)
-    differs = arbitration.disagreements(arbitration.settled(docs, _CLAIMED), replay).groupBy("final_id", "version").agg(F.count("*").alias("differs"))
-    told = replay.filter("final_id is not null").groupBy("final_id", "version").agg(
-        F.max(F.when(F.col("fate") == "kept", F.col("arrival"))).alias("winner"), *[F.count_if(F.col("fate") == c).alias(c) for c in ("superseded_by_library", "superseded_same_key")])
+    told = stored(arbitration.tallied(arbitration.replayed(docs, _CLAIMED)), "replay")
+    differs = arbitration.differing(arbitration.settled(docs, _CLAIMED), told).groupBy("final_id", "version").agg(F.count("*").alias("differs"))
     return told.join(differs, ["final_id", "version"], "left").na.fill(0, ["differs"]).withColumnRenamed("final_id", "stig_id")
 
 

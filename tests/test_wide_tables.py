@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from oracle import connect, rows
 from pyspark.sql import functions as F
 
@@ -68,3 +69,35 @@ def test_contests_are_scanned_when_departures_are_asked_for(spark, monkeypatch):
         found = arbitration.settled(docs)
         assert found.documents.count() == 6 and [r.arrival for r in found.winners.collect()] == [0]
     assert [tuple(r) for r in found.departures.collect()] == [("S", "1", 4, 1)]  # 3 is the library too
+
+
+def test_a_family_is_replayed_in_a_stream(spark):
+    """The automaton lets go of documents while others still come, and no group of rows is one table."""
+    rows = [("S", k, ["common", f"r{k}"]) for k in range(20)] + [("T", 100 + k, [f"r{k}"]) for k in range(20)]
+    replay = arbitration.replayed(claims(spark, rows), {"T": [("x", "T_X"), ("y", "T_Y")]})
+    assert "FlatMapGroups" not in plan(replay)
+    told = {r.arrival: (r.final_id, r.fate) for r in replay.collect()}
+    assert told[0] == ("S", "kept") and told[1] == ("S", "superseded_by_library") and told[3] == ("S", "superseded_same_key")
+    assert {f for f, _ in told.values()} == {"S", "T_X", "T_Y"} and len(told) == 40 and sum(fate == "kept" for _, fate in told.values()) == 3
+    taken, head = [], pa.struct([(f"{x}_{c}", t) for x in "ab" for c, t in (("arrival", pa.int64()), ("is_library", pa.bool_()), ("status_date", pa.string()), ("path", pa.string()))] + [("artifact", pa.string()), ("release", pa.int32())])
+    kinds = pa.schema([("family", pa.string()), ("stig_id", pa.string()), ("version", pa.string()), ("arrival", pa.int64()), ("artifact", pa.string()), ("release", pa.int32()), ("is_library", pa.bool_()), ("status_date", pa.string()), ("path", pa.string()), ("head", head)])
+    none = {f.name: None for f in head}
+
+    def coming():
+        for n in range(50):
+            taken.append(n)
+            docs = [("S", "S", "1", n * 10 + k, "a", 1, False, "2024-01-01", "x", None) for k in range(10)]
+            events = [("S", "S", "1", None, None, None, None, None, None, none)] * (n == 0) + docs
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, e)) for e in events], kinds)
+
+    out = arbitration._automaton({})(coming())
+    assert next(out).num_rows == 9 and len(taken) == 1
+    assert sum(b.num_rows for b in out) == 491
+
+
+def test_claims_without_an_id_or_version_collide_in_neither(spark):
+    rows = [(i, v, k, "a", 1, False, "2024-01-01", "x", [f"r{k}"]) for k, (i, v) in enumerate([(None, "1"), (None, "1"), ("S", None), ("S", None)])]
+    docs = spark.createDataFrame(rows, CLAIM)
+    found, split = arbitration.settled(docs, {"S": [("x", "A"), ("y", "B")]}), {"S": [("x", "A"), ("y", "B")]}
+    assert {r.verdict for r in found.documents.collect()} == {"single"} and found.documents.count() == 4
+    assert {(r.arrival, r.final_id) for r in arbitration.replayed(docs, split).collect()} == {(0, None), (1, None), (2, "S"), (3, "S")}
